@@ -249,7 +249,7 @@ ORACLES: dict[str, str] = {
         f"select run, concat('Total Processed Throughput: ', printf('%.2f', total_throughput), "
         f"' events/sec') as value from ({_TOTALS})"),
     "replicated_distance": (
-        f"select q.query_id, d.* from ({_TRIP_DISTANCE}) d, range(0, 4) q(query_id)"),
+        f"select cast(q.query_id as integer) as query_id, d.* from ({_TRIP_DISTANCE}) d, range(0, 4) q(query_id)"),
     "replayed_profitable_areas": _areas(_replayed(_KEPT_17, 20), _slid(trips="emitted")),
     "replayed_trip_distance": _distance(_replayed(_KEPT_18), "emitted"),
     "stream_profitable_areas": _PROFITABLE,
