@@ -29,11 +29,18 @@ class Sliding:
 
     size_ms: int = 150_000
     slide_ms: int = 10_000
-    block_slides: int = 360
+    windows_per_block: int | None = None
 
     def __post_init__(self) -> None:
         if self.size_ms <= 0 or self.slide_ms <= 0:
             raise ValueError("window size and slide must be positive")
+        if self.windows_per_block is not None and self.windows_per_block * self.slide_ms < self.size_ms:
+            raise ValueError("a block must be as long as a window")
+
+    @property
+    def block_slides(self) -> int:
+        """By default eight times a window's reach: an eighth of the panes go to two blocks."""
+        return self.windows_per_block or 8 * -(-self.size_ms // self.slide_ms)
 
     @property
     def pane_ms(self) -> int:
@@ -52,6 +59,9 @@ class Sliding:
     def window_end(self, window: Column) -> Column:
         return window * self.slide_ms
 
+    def first_block(self, pane: Column) -> Column:
+        return floor_div(self.first_window(pane), self.block_slides)
+
     def to_blocks(self, panes: DataFrame) -> DataFrame:
         """Adds `block`, and the windows `w_from..w_to` of that block the pane belongs to."""
         first, last = self.first_window(F.col("pane")), self.last_window(F.col("pane"))

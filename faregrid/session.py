@@ -14,9 +14,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Sliding aggregates hold many small groups per task; the default of 128
-    # groups would push every object-hash aggregate into its sort fallback.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # Window state can outgrow the heap on a real stream.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
