@@ -5,20 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faregrid.operators.panes import floor_div
+
+
+SLICE_MS = 3_600_000
+
 
 def samples_from_checkpoints(checkpoints: DataFrame, keys: list[str]) -> DataFrame:
     """Rates between recorded checkpoints (`t_ms`, `total` events so far) of each source.
 
-    The first checkpoint of a source is its starting point and gives no sample. A source
-    records about one checkpoint a second, so its window is as long as its run.
+    The first checkpoint of a source is its starting point and gives no sample. A source is
+    cut into slices of an hour, so that a long one is spread over tasks; one row per slice
+    carries the count and the last checkpoint over to the next.
     """
-    order = Window.partitionBy(*keys).orderBy("t_ms", "total")
-    steps = checkpoints.withColumns({
-        "interval_ms": F.col("t_ms") - F.lag("t_ms").over(order),
-        "events": F.col("total") - F.lag("total").over(order),
-        "sample_no": F.row_number().over(order).cast("long") - 1})
-    return steps.where("interval_ms > 0").select(
-        *keys, "sample_no", (F.col("events") / F.col("interval_ms") * 1000.0).alias("rate"))
+    part = [*keys, "slice"]
+    rows = checkpoints.withColumn("slice", floor_div(F.col("t_ms"), SLICE_MS))
+    by_slice = Window.partitionBy(*keys).orderBy("slice")
+    carried = rows.groupBy(*part).agg(
+        F.count("*").alias("n"), F.max(F.struct("t_ms", "total")).alias("end")
+    ).select(
+        *part, F.lag("end").over(by_slice).alias("carry"),
+        F.coalesce(F.sum("n").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("before"))
+    order = Window.partitionBy(*part).orderBy("t_ms", "total")
+    steps = rows.withColumns({
+        "previous": F.lag(F.struct("t_ms", "total")).over(order),
+        "no": F.row_number().over(order),
+    }).join(carried, part).withColumn("previous", F.coalesce("previous", "carry"))
+    interval = F.col("t_ms") - F.col("previous.t_ms")
+    return steps.where(interval > 0).select(
+        *keys, (F.col("before") + F.col("no") - 1).alias("sample_no"),
+        ((F.col("total") - F.col("previous.total")) / interval * 1000.0).alias("rate"))
 
 
 def steady_state(samples: DataFrame, keys: list[str], sources: DataFrame | None = None) -> DataFrame:

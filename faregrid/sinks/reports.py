@@ -40,8 +40,11 @@ def source_report(samples: DataFrame, steady: DataFrame, totals: DataFrame, keys
 
 
 def write_source_report(report: DataFrame, run_dir: str, keys: list[str]) -> None:
-    """Appends the lines below `run_dir`, one source's lines together and in order."""
-    (report.repartition(*keys).sortWithinPartitions(*keys, "line_no")
+    """Appends the lines below `run_dir`, in order by source and line over its files.
+
+    Ranges include the line number, so that one long report is spread over tasks.
+    """
+    (report.repartitionByRange(*keys, "line_no").sortWithinPartitions(*keys, "line_no")
      .select("value").write.mode("append").text(run_dir))
 
 

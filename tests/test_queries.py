@@ -1,5 +1,7 @@
 """Every registered query against its SQL, and the plans the batch queries rest on."""
 
+import contextlib
+import io
 import json
 
 import pytest
@@ -24,19 +26,23 @@ def test_every_query_has_its_sql():
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()
 
 
-def test_plans(spark, sf_dir):
-    table = trips(spark, sf_dir)
+def test_plans(spark, sf_dir, tmp_path):
+    trips(spark, sf_dir).write.parquet(str(tmp_path / "trips"))
+    table = spark.read.parquet(str(tmp_path / "trips"))
     distance = plan(trip_distance(table))
-    assert distance.count("Exchange hash") == 1
-    assert "ReadSchema: struct<event_id:bigint,event_type:string,value:double>" in distance
-    assert "PushedFilters: [" in distance and "In(event_type" in distance
+    assert distance.count("Exchange (") == 1
+    assert "EqualTo(vendor_id,VTS), GreaterThan(trip_distance,1.0)" in distance
+    assert "medallion" not in distance and "fare" not in distance
     median = plan(median_profit(table, SLIDING))
-    assert median.count("Exchange") == 1 and "Expand" not in median
-    assert "ReadSchema: struct<event_id:bigint,value:double>" in median
+    assert median.count("Exchange (") == 1 and "Expand" not in median
+    assert "ReadSchema: struct<ts:timestamp,fare:double,tip:double,pickup_we:int,pickup_ns:int>" in median
     last = plan(last_dropoff_by_taxi(table, SLIDING))
-    assert last.count("Exchange") == 2 and "SortAggregate" not in last
+    assert last.count("Exchange (") == 2 and "SortAggregate" not in last
     for text in (distance, median, last):
         assert "Cartesian" not in text and "NestedLoop" not in text and "Python" not in text
