@@ -66,7 +66,7 @@ _COUNTS = """counts as (
          cast(count(distinct medallion) as integer) as count
   from last group by all)"""
 _AREAS = """areas as (
-  select window_end, cell_we, cell_ns, round(profit / count, 6) as profitability
+  select window_end, cell_we, cell_ns, round(profit / count, 9) as profitability
   from profit join counts using (window_end, cell_we, cell_ns))"""
 
 

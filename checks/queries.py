@@ -31,7 +31,9 @@ START_MS = 1_700_000_000_000
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({name: F.round(name, 6) for name in names})
+    # Half cents divided by a taxi count have few digits; at nine none is a tie.
+    digits = 9 if "profitability" in names else 6
+    return df.withColumns({name: F.round(name, digits) for name in names})
 
 
 def profitable_areas(spark, sf):
