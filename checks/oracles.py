@@ -194,6 +194,12 @@ _PROFIT_BY_CELL = (f"with {_TRIPS}, {_slid()}, {_PROFIT} "
                    "select window_end, cell_we, cell_ns, round(profit, 6) as profit from profit")
 _TAXI_COUNT = (f"with {_TRIPS}, {_slid()}, {_LAST}, {_COUNTS} "
                "select window_end, cell_we, cell_ns, count from counts")
+_TOP = (
+    f"with {_TRIPS}, {_slid()}, {_PROFIT}, {_LAST}, {_COUNTS}, {_AREAS} "
+    "select * from (select window_end, cell_we, cell_ns, profitability, "
+    "cast(row_number() over (partition by window_end "
+    "order by profitability desc, cell_we, cell_ns) as integer) as rank from areas) "
+    "where rank <= 5")
 
 ORACLES: dict[str, str] = {
     "profitable_areas": _PROFITABLE,
@@ -211,12 +217,7 @@ ORACLES: dict[str, str] = {
         f"with {_TRIPS}, {_slid()}, {_LAST} "
         "select window_end, medallion, cell_we, cell_ns from last"),
     "empty_taxi_count": _TAXI_COUNT,
-    "top_profitable_cells": (
-        f"with {_TRIPS}, {_slid()}, {_PROFIT}, {_LAST}, {_COUNTS}, {_AREAS} "
-        "select * from (select window_end, cell_we, cell_ns, profitability, "
-        "cast(row_number() over (partition by window_end "
-        "order by profitability desc, cell_we, cell_ns) as integer) as rank from areas) "
-        "where rank <= 5"),
+    "top_profitable_cells": _TOP,
     "grid_cells": _GRID,
     "cell_key_roundtrip": (
         f"with {_TRIPS}, k as (select *, (pickup_we << 16) | (pickup_ns & 65535) as cell_key "
@@ -253,6 +254,7 @@ ORACLES: dict[str, str] = {
     "replayed_profitable_areas": _areas(_replayed(_KEPT_17, 20), _slid(trips="emitted")),
     "replayed_trip_distance": _distance(_replayed(_KEPT_18), "emitted"),
     "stream_profitable_areas": _PROFITABLE,
+    "stream_top_profitable_cells": _TOP,
     "stream_trip_distance": _TRIP_DISTANCE,
     "stream_profit_by_cell": _PROFIT_BY_CELL,
     "stream_empty_taxi_count": _TAXI_COUNT,

@@ -208,6 +208,12 @@ def stream_profitable_areas(spark, sf):
                   "profitability")
 
 
+def stream_top_profitable_cells(spark, sf):
+    return runs.drain(spark, trips(spark, sf), S.FARE_TRIP, P.profitable_areas, slices=1,
+                      per_batch=lambda areas: P.top_profitable_cells(
+                          _round(areas, "profitability"), 5))
+
+
 def stream_trip_distance(spark, sf):
     return _distance(runs.drain(spark, trips(spark, sf), S.DISTANCE_TRIP, trip_distance))
 
@@ -255,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "replayed_profitable_areas": replayed_profitable_areas,
     "replayed_trip_distance": replayed_trip_distance,
     "stream_profitable_areas": stream_profitable_areas,
+    "stream_top_profitable_cells": stream_top_profitable_cells,
     "stream_trip_distance": stream_trip_distance,
     "stream_profit_by_cell": stream_profit_by_cell,
     "stream_empty_taxi_count": stream_empty_taxi_count,

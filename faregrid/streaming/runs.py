@@ -32,12 +32,25 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, **options: s
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def run_available(result: DataFrame, out: str, checkpoint: str, **options: str) -> StreamingQuery:
-    """Processes what has arrived, writes parquet in append mode, and stops."""
-    query = (
-        result.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", checkpoint)
-        .options(**options).trigger(availableNow=True).start())
+def run_available(
+    result: DataFrame, out: str, checkpoint: str,
+    per_batch: Callable[[DataFrame], DataFrame] | None = None, **options: str,
+) -> StreamingQuery:
+    """Processes what has arrived, writes parquet in append mode, and stops.
+
+    `per_batch` is applied to each micro-batch's finished rows, for steps a stream does not
+    know, such as a ranking. A window's rows leave the join in one micro-batch. Each batch
+    has a folder of its own, so that a repeated batch replaces itself.
+    """
+    writer = (result.writeStream.outputMode("append")
+              .option("checkpointLocation", checkpoint).options(**options)
+              .trigger(availableNow=True))
+    if per_batch is None:
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(
+            lambda batch, no: per_batch(batch).write.mode("overwrite")
+            .parquet(f"{out}/batch={no}")).start()
     query.awaitTermination()
     return query
 
@@ -61,6 +74,7 @@ def start_replicas(
 def drain(
     spark: SparkSession, trips: DataFrame, schema: StructType,
     query: Callable[[DataFrame], DataFrame], slices: int = 2,
+    per_batch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Streams bounded trips through `query` and returns everything it emitted.
 
@@ -77,10 +91,12 @@ def drain(
             at = F.unix_millis("ts") - low
             (trips.where((at >= i * step) & (at < (i + 1) * step))
              .write.mode("append").parquet(arrived))
-            run_available(query(read_stream(spark, arrived, schema)), out, checkpoint)
+            run_available(query(read_stream(spark, arrived, schema)), out, checkpoint, per_batch)
     sentinel(spark, schema).write.mode("append").parquet(arrived)
     result = query(read_stream(spark, arrived, schema))
-    run_available(result, out, checkpoint)
+    run_available(result, out, checkpoint, per_batch)
+    if per_batch is not None:
+        return spark.read.parquet(out).drop("batch")
     return spark.read.schema(result.schema).parquet(out)
 
 
