@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faregrid.functions import grid
+from faregrid.sources.trips import cells_of
 
 EVENT_GAP_MS = 50
 
@@ -40,13 +41,9 @@ def raw_trips(events: DataFrame) -> DataFrame:
 
 def on_grid(trips: DataFrame) -> DataFrame:
     """Keeps trips with both ends on the grid and replaces coordinates by cells."""
-    pickup = (F.col("pickup_lat"), F.col("pickup_lon"))
-    dropoff = (F.col("dropoff_lat"), F.col("dropoff_lon"))
-    return trips.where(grid.in_grid(*pickup) & grid.in_grid(*dropoff)).withColumns({
-        "pickup_we": grid.cell_we(pickup[1]), "pickup_ns": grid.cell_ns(pickup[0]),
-        "dropoff_we": grid.cell_we(dropoff[1]), "dropoff_ns": grid.cell_ns(dropoff[0]),
-        "pickup_cell": grid.cell_flat_id(*pickup), "dropoff_cell": grid.cell_flat_id(*dropoff),
-    }).drop("pickup_lat", "pickup_lon", "dropoff_lat", "dropoff_lon")
+    return cells_of(trips).withColumns({
+        "pickup_cell": grid.flat_id(F.col("pickup_we"), F.col("pickup_ns")),
+        "dropoff_cell": grid.flat_id(F.col("dropoff_we"), F.col("dropoff_ns"))})
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:

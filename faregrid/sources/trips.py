@@ -35,8 +35,11 @@ def _fields(lines: DataFrame, layout: Layout, numeric: tuple[str, ...]) -> DataF
         {name: read(name, at) for name, at in layout.fields.items()}).drop("value", "tok")
 
 
-def _on_grid(rows: DataFrame) -> DataFrame:
-    """Box test first, then cell numbers, then their range."""
+def cells_of(rows: DataFrame) -> DataFrame:
+    """Coordinates to cell indices, for trips with both ends on the grid.
+
+    Box test first, then cell numbers, then their range.
+    """
     boxed = rows.where(
         grid.in_box(F.col("pickup_lat"), F.col("pickup_lon"))
         & grid.in_box(F.col("dropoff_lat"), F.col("dropoff_lon")))
@@ -55,7 +58,7 @@ def parse_trips17(lines: DataFrame) -> DataFrame:
     rows = rows.where(
         F.col("fare").isNotNull() & F.col("tip").isNotNull()
         & is_date_time(F.col("pickup_datetime")) & is_date_time(F.col("dropoff_datetime")))
-    return _on_grid(rows).withColumns({
+    return cells_of(rows).withColumns({
         "pickup_ts": date_time(F.col("pickup_datetime")),
         "dropoff_ts": date_time(F.col("dropoff_datetime")),
     }).drop("pickup_datetime", "dropoff_datetime")
@@ -64,7 +67,7 @@ def parse_trips17(lines: DataFrame) -> DataFrame:
 def parse_trips18(lines: DataFrame) -> DataFrame:
     """Trips of the distance layout (exactly 18 fields) from column `value`."""
     rows = _fields(lines, TRIPS18, _POSITIONS + ("trip_distance",))
-    return _on_grid(rows.where(F.col("trip_distance").isNotNull())).withColumns({
+    return cells_of(rows.where(F.col("trip_distance").isNotNull())).withColumns({
         "pickup_cell": grid.flat_id(F.col("pickup_we"), F.col("pickup_ns")),
         "dropoff_cell": grid.flat_id(F.col("dropoff_we"), F.col("dropoff_ns")),
     }).drop("pickup_we", "pickup_ns", "dropoff_we", "dropoff_ns")
