@@ -78,7 +78,7 @@ def _areas(trips: str, slid: str) -> str:
 def _distance(trips: str, source: str = "trips") -> str:
     return f"""with {trips}
   select (ts_ms // 2000 + 1) * 2000 as window_end, pickup_cell as cell_id, count(*) as count,
-         round(avg(trip_distance), 6) as avg_trip_distance
+         round(avg(trip_distance), 9) as avg_trip_distance
   from {source} where vendor_id = 'VTS' and trip_distance > 1 group by 1, 2"""
 
 
@@ -177,7 +177,7 @@ _STEADY = """with s as (
   from events where event_type = 'click'),
 m as (select user_id, avg(rate) as steady_rate from s
       where n < 3 or (i > 1 and i < n) group by user_id)
-select u.user_id, round(coalesce(steady_rate, 0e0), 6) as steady_rate
+select u.user_id, round(coalesce(steady_rate, 0e0), 9) as steady_rate
 from (select distinct user_id from events) u left join m using (user_id)"""
 
 _CHECKPOINTS = """with c as (select user_id, event_id * 1000 as t_ms, event_id * event_id as total
@@ -185,13 +185,13 @@ _CHECKPOINTS = """with c as (select user_id, event_id * 1000 as t_ms, event_id *
 s as (select user_id, row_number() over w - 1 as sample_no,
              t_ms - lag(t_ms) over w as interval_ms, total - lag(total) over w as events
       from c window w as (partition by user_id order by t_ms))
-select user_id, sample_no, round(events / interval_ms * 1000e0, 6) as rate
+select user_id, sample_no, round(events / interval_ms * 1000e0, 9) as rate
 from s where interval_ms > 0"""
 
 _PROFITABLE = _areas(_TRIPS, _slid())
 _TRIP_DISTANCE = _distance(_TRIPS)
 _PROFIT_BY_CELL = (f"with {_TRIPS}, {_slid()}, {_PROFIT} "
-                   "select window_end, cell_we, cell_ns, round(profit, 6) as profit from profit")
+                   "select window_end, cell_we, cell_ns, round(profit, 9) as profit from profit")
 _TAXI_COUNT = (f"with {_TRIPS}, {_slid()}, {_LAST}, {_COUNTS} "
                "select window_end, cell_we, cell_ns, count from counts")
 _TOP = (
@@ -209,7 +209,7 @@ ORACLES: dict[str, str] = {
     "profit_by_cell": _PROFIT_BY_CELL,
     "profit_by_cell_uneven": (
         f"with {_TRIPS}, {_slid(25_000)}, {_PROFIT} "
-        "select window_end, cell_we, cell_ns, round(profit, 6) as profit from profit"),
+        "select window_end, cell_we, cell_ns, round(profit, 9) as profit from profit"),
     "total_profit_by_cell": (
         f"with {_TRIPS}, {_slid()} select window_end, pickup_we as cell_we, pickup_ns as cell_ns, "
         "round(sum(gain), 6) as total_profit from slid group by 1, 2, 3"),

@@ -31,8 +31,8 @@ START_MS = 1_700_000_000_000
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
-    # Half cents divided by a taxi count have few digits; at nine none is a tie.
-    digits = 9 if "profitability" in names else 6
+    # Means and ratios of amounts have few digits; at nine none is a tie.
+    digits = 6 if "total_profit" in names else 9
     return df.withColumns({name: F.round(name, digits) for name in names})
 
 
