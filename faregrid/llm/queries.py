@@ -9,6 +9,7 @@ import public_tokenizers
 
 from faregrid.llm import (
     bpe, chat, common, grammar, licenses, mixing, quality, secrets, simhash, vectors, warc)
+from faregrid.llm.oracles import ORACLES  # noqa: F401
 from faregrid.session import scratch_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -115,4 +116,3 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_source_mix": op10_source_mix,
 }
-ORACLES: dict[str, str] = {}

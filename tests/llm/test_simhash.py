@@ -1,0 +1,117 @@
+"""SimHash near-duplicates against comparing all pairs."""
+
+import random
+import re
+
+import numpy as np
+import xxhash
+from helpers import empty_documents, odd_documents, with_clashes
+
+from faregrid.llm import simhash
+from faregrid.llm.components import components
+
+
+def fingerprint(text):
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def closure(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+    for a, b in linked:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def expected(rows):
+    prints = {fp for _, fp in rows}
+    roots = closure(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2])
+    least = {}
+    for doc_id, fp in rows:
+        if doc_id is not None:
+            least[roots[fp]] = min(least.get(roots[fp], doc_id), doc_id)
+    return sorted(((d, f"{fp:016x}", least.get(roots[fp])) for d, fp in rows), key=str)
+
+
+def near_texts():
+    """Long texts that differ in a few words, so that fingerprints lie close together."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    out = []
+    for k in range(150):
+        own = list(words)
+        for _ in range(rng.randrange(0, 3)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(9)}"
+        out.append((7000 + k, " ".join(own), None, "s0", 0))
+    return out
+
+
+def test_components(spark):
+    docs = odd_documents(spark)
+    docs = docs.unionAll(spark.createDataFrame(near_texts(), docs.schema))
+    found = simhash.near_duplicates(docs).select("doc_id", simhash.hex_fingerprint("fp"), "component_id").collect()
+    want = expected([(r.doc_id, fingerprint(r.text)) for r in docs.collect()])
+    assert sorted(map(tuple, found), key=str) == want
+    assert len({c for d, _, c in want if d and d >= 7000}) < 100
+
+
+def test_links_over_dense_fingerprints(spark):
+    """Many fingerprints in one bucket, in chains of one and two bits."""
+    rng = random.Random(5)
+    prints = {rng.getrandbits(64) for _ in range(50)} | {0, (1 << 64) - 1}
+    for start in list(prints)[:6]:
+        fp = start
+        for _ in range(60):
+            fp ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
+            prints.add(fp)
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    links = simhash.links(spark.createDataFrame(signed, "fp long"))
+    got = {r.node: r.root for r in components(links).collect()}
+    want = closure([p for p, in signed], [(a, b) for a, in signed for b, in signed
+                                          if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2])
+    assert all(got.get(p, p) == root for p, root in want.items())
+
+
+def test_one_of_each_keeps_the_smallest_id_and_whole_rows(spark):
+    docs = with_clashes(odd_documents(spark), "fp", "row_id", "row_hash", "least")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    rows = [(r.doc_id, fingerprint(r.text), r) for r in docs.collect()]
+    component = {(d, fp): c for (d, fp, c) in expected([(d, fp) for d, fp, _ in rows])}
+    names = {}
+    for d, fp, _ in rows:
+        names.setdefault(component[(d, f"{fp:016x}")], []).append(d)
+    kept = [r.doc_id for r in kept.collect()]
+    assert len(kept) == len(names)
+    assert sorted(kept, key=str) == sorted((min((d for d in ids if d is not None), default=None) for ids in names.values()), key=str)
+
+
+def test_empty_table(spark):
+    assert simhash.near_duplicates(empty_documents(spark)).count() == 0
+    assert simhash.one_of_each(empty_documents(spark)).count() == 0
+
+
+def test_majority_of_many_hashes():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2)
+    want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > 1000)
+    assert simhash.fingerprint_bits(hashes) & (1 << 64) - 1 == want
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    chain = [(k, k + 1) for k in range(200)]
+    star = [(1000, k) for k in range(1001, 1400)]
+    links = spark.createDataFrame(chain + star + chain[:5] + [(7, 7)], "u long, v long")
+    roots = {r.node: r.root for r in components(links).collect()}
+    assert roots == {**{k: 0 for k in range(201)}, **{k: 1000 for k in range(1000, 1400)}}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
