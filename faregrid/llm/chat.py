@@ -45,7 +45,7 @@ def conversation_events(rows: DataFrame) -> DataFrame:
     draft = F.array(event("start", F.coalesce("role", F.lit(""))),
                     event("delta", F.substring(text, 1, CHUNK)))
     again = F.array(F.when(F.col("role") == LEARNED, event("regenerate", F.lit("")))
-                    .otherwise(event("edit", F.coalesce(F.element_at(chunks, F.lit(1)), F.lit("")))))
+                    .otherwise(event("edit", F.coalesce(F.get(chunks, F.lit(0)), F.lit("")))))
     rest = F.when(F.col("role") == LEARNED, chunks).otherwise(
         F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0))))
     events = F.concat(draft, again, F.transform(rest, lambda c: event("delta", c)))

@@ -103,8 +103,8 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
     return F.aggregate(steps, begin, step, lambda state: state["found"])
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with `secrets`: all spans (start, place of the rule, end, kind), by start and rule."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
+    """`docs` with a column `into`: all spans (start, place of the rule, end, kind), by start and rule."""
     key, kinds = common.free_name(docs, "row_key"), common.free_name(docs, "kinds")
     allowed = candidates(build_index(docs, rules), rules).select(
         F.col("row_key").alias(key), F.col("kinds").alias(kinds))
@@ -114,9 +114,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     else F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)),
                     _spans(text, rule, place)).otherwise(none)
              for place, rule in enumerate(rules)]
-    kept = common.kept_columns(docs, ["secrets"])
+    kept = common.kept_columns(docs, [into])
     return docs.withColumn(key, _row_key()).join(allowed, key, "left").select(
-        *map(common.quoted, kept), F.array_sort(F.concat(*spans)).alias("secrets"))
+        *map(common.quoted, kept), F.array_sort(F.concat(*spans)).alias(into))
 
 
 def listed(spans: Column) -> Column:
@@ -129,7 +129,7 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = M
     """`docs` with every found span replaced in `text` (overlapping spans by one mask) and
     `n_chars` counted anew; a document without secrets is unchanged."""
     found = common.free_name(docs, "secrets")
-    marked = find_secrets(docs, rules).withColumnRenamed("secrets", found)
+    marked = find_secrets(docs, rules, found)
     text = F.col("text")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
