@@ -118,10 +118,14 @@ emitted as (
   join cached c on c.block_id = sizes.block_id and c.cache_idx = k.emit_no % sizes.cache_n)"""
 
 
-_SAMPLES = f"""samples as (
-  select block_id, s.sample_no, 1e12 / {_BURST_NS}e0 as rate
-  from (select distinct block_id from cached), range(1, {_bursts(DURATION)}) s(sample_no))"""
-_TOTAL = 1000 * _bursts(DURATION)
+_SAMPLES = f"""{_replayed(_KEPT_17)},
+marks as (select block_id, arrival_ms, emit_no from emitted where emit_no % 1000 = 0),
+steps as (
+  select block_id, row_number() over w - 1 as sample_no, emit_no - lag(emit_no) over w as events,
+         arrival_ms - lag(arrival_ms) over w as interval_ms
+  from marks window w as (partition by block_id order by arrival_ms)),
+samples as (select block_id, sample_no, events / interval_ms * 1000e0 as rate
+            from steps where interval_ms is not null)"""
 
 _EVENT_LOG = f"""with {_replayed(_KEPT_17)},
 spans as (select block_id, min(arrival_ms) as a, max(arrival_ms) as b from emitted group by 1),
@@ -133,21 +137,23 @@ select block_id, action, at_ms,
               ' (', at_ms, ')') as line
 from marks"""
 
-_REPORT = f"""with {_TRIPS}, {_cached(_KEPT_17)}, {_SAMPLES},
-sources as (select distinct block_id from cached)
-select block_id, 0 as line_no,
-       concat('--- Subtask ', block_id, ' Throughput Samples (events/sec) ---') as value from sources
+_REPORT = f"""with {_SAMPLES},
+totals as (select block_id, count(*) as n from emitted group by 1),
+ends as (select *, row_number() over (partition by block_id order by sample_no) as i,
+                count(*) over (partition by block_id) as k from samples),
+steady as (select t.block_id, coalesce(avg(rate), 0e0) as rate from totals t
+           left join ends e on e.block_id = t.block_id and (k < 3 or (i > 1 and i < k)) group by 1)
+select block_id, 0 as part, 0 as line_no,
+       concat('--- Subtask ', block_id, ' Throughput Samples (events/sec) ---') as value from steady
 union all
-select block_id, sample_no, concat('Sample ', sample_no, ': ', cast(rate as varchar)) from samples
+select block_id, 1, sample_no, concat('Sample ', sample_no, ': ', cast(rate as varchar)) from samples
 union all
-select block_id, 2000000000, repeat('-', 53) from sources
+select block_id, 2, 0, repeat('-', 53) from steady
 union all
-select block_id, 2000000001, concat('Subtask ', block_id,
-       ' Steady-State Average Throughput (events/sec): ', cast(1e12 / {_BURST_NS}e0 as varchar))
-from sources
+select block_id, 2, 1, concat('Subtask ', block_id,
+       ' Steady-State Average Throughput (events/sec): ', cast(rate as varchar)) from steady
 union all
-select block_id, 2000000002, concat('Subtask ', block_id, ' Total Events Emitted: {_TOTAL}')
-from sources"""
+select block_id, 2, 2, concat('Subtask ', block_id, ' Total Events Emitted: ', n) from totals"""
 
 _TOTALS = """with lines as (
   select *, event_id % 10 = 3 or event_type = 'signup' as silent from events)
@@ -174,12 +180,47 @@ _STEADY = """with s as (
   select user_id, value as rate,
          row_number() over (partition by user_id order by event_id) as i,
          count(*) over (partition by user_id) as n
-  from events where event_type = 'click'),
+  from events),
 m as (select user_id, avg(rate) as steady_rate from s
       where n < 3 or (i > 1 and i < n) group by user_id)
 select u.user_id, round(coalesce(steady_rate, 0e0), 9) as steady_rate
 from (select distinct user_id from events) u left join m using (user_id)"""
 
+_STEADY_BY_TYPE = """with s as (
+  select user_id, event_id // 100 as hour, value as rate,
+         row_number() over (partition by user_id, event_id // 100 order by event_id) as i,
+         count(*) over (partition by user_id, event_id // 100) as n
+  from events where event_type <> 'click'),
+m as (select user_id, hour, avg(rate) as steady_rate from s
+      where n < 3 or (i > 1 and i < n) group by user_id, hour)
+select u.user_id, u.hour, round(coalesce(steady_rate, 0e0), 9) as steady_rate
+from (select distinct user_id, event_id // 100 as hour from events) u left join m using (user_id, hour)"""
+
+_DENSE = """with recursive c as (
+  select user_id, (event_id // 400) * 700 + (event_id % 3) * 150 as t_ms, max(event_id) as total
+  from events group by 1, 2),
+taken as (
+  select user_id, t_ms, total, cast(0 as bigint) as sample_no, cast(0 as double) as rate
+  from (select *, row_number() over (partition by user_id order by t_ms) as i from c) where i = 1
+  union all
+  select user_id, t_ms, total, sample_no, rate from (
+    select k.user_id, c.t_ms, c.total, k.sample_no + 1 as sample_no,
+           (c.total - k.total) / (c.t_ms - k.t_ms) * 1000e0 as rate,
+           row_number() over (partition by k.user_id order by c.t_ms) as i
+    from taken k join c on c.user_id = k.user_id and c.t_ms >= k.t_ms + 1000) where i = 1)
+select user_id, sample_no, round(rate, 9) as rate from taken where sample_no > 0"""
+
+_ROUND_TRIP = """with s as (
+  select user_id, value as rate, row_number() over (partition by user_id order by event_id) as i,
+         count(*) over (partition by user_id) as n from events),
+m as (select user_id, avg(rate) as r from s where n < 3 or (i > 1 and i < n) group by 1)
+select 'run1' as run, round(sum(r), 6) as total_throughput from m"""
+
+_LATE = f"""with {_TRIPS}, last as (select max(ts_ms) as ms from trips)
+select count(*) as late_rows from (
+  select distinct ts_ms // 2000, pickup_cell from trips, last
+  where vendor_id = 'VTS' and trip_distance > 1 and ts_ms < 0.25 * last.ms)"""
+
 _CHECKPOINTS = """with c as (select user_id, event_id * 1000 as t_ms, event_id * event_id as total
                           from events),
 s as (select user_id, row_number() over w - 1 as sample_no,
@@ -189,6 +230,9 @@ select user_id, sample_no, round(events / interval_ms * 1000e0, 9) as rate
 from s where interval_ms > 0"""
 
 _PROFITABLE = _areas(_TRIPS, _slid())
+_TOTAL_PROFIT = (
+    f"with {_TRIPS}, {_slid()} select window_end, pickup_we as cell_we, pickup_ns as cell_ns, "
+    "round(sum(gain), 6) as total_profit from slid group by 1, 2, 3")
 _TRIP_DISTANCE = _distance(_TRIPS)
 _PROFIT_BY_CELL = (f"with {_TRIPS}, {_slid()}, {_PROFIT} "
                    "select window_end, cell_we, cell_ns, round(profit, 9) as profit from profit")
@@ -210,9 +254,7 @@ ORACLES: dict[str, str] = {
     "profit_by_cell_uneven": (
         f"with {_TRIPS}, {_slid(25_000)}, {_PROFIT} "
         "select window_end, cell_we, cell_ns, round(profit, 9) as profit from profit"),
-    "total_profit_by_cell": (
-        f"with {_TRIPS}, {_slid()} select window_end, pickup_we as cell_we, pickup_ns as cell_ns, "
-        "round(sum(gain), 6) as total_profit from slid group by 1, 2, 3"),
+    "total_profit_by_cell": _TOTAL_PROFIT,
     "last_dropoff_by_taxi": (
         f"with {_TRIPS}, {_slid()}, {_LAST} "
         "select window_end, medallion, cell_we, cell_ns from last"),
@@ -239,10 +281,12 @@ ORACLES: dict[str, str] = {
         f"with {_replayed(_KEPT_17)} "
         "select block_id, count(*) as total_events from emitted group by 1"),
     "throughput_samples": (
-        f"with {_TRIPS}, {_cached(_KEPT_17)}, {_SAMPLES} "
-        "select block_id, sample_no, rate from samples"),
+        f"with {_SAMPLES} select block_id, sample_no, rate from samples"),
     "checkpoint_samples": _CHECKPOINTS,
+    "checkpoint_samples_dense": _DENSE,
     "steady_state_throughput": _STEADY,
+    "steady_state_by_type": _STEADY_BY_TYPE,
+    "report_round_trip": _ROUND_TRIP,
     "source_report": _REPORT,
     "run_event_log": _EVENT_LOG,
     "throughput_summary": _TOTALS,
@@ -258,4 +302,9 @@ ORACLES: dict[str, str] = {
     "stream_trip_distance": _TRIP_DISTANCE,
     "stream_profit_by_cell": _PROFIT_BY_CELL,
     "stream_empty_taxi_count": _TAXI_COUNT,
+    "stream_total_profit_by_cell": _TOTAL_PROFIT,
+    "stream_text_trip_distance": _distance(_TRIPS + f", kept as (select * from trips where {_KEPT_18})", "kept"),
+    "stream_text_profitable_areas": _areas(
+        _TRIPS + f", kept as (select * from trips where {_KEPT_17})", _slid(trips="kept")),
+    "stream_late_rows": _LATE,
 }

@@ -20,7 +20,8 @@ from faregrid.plans.distance import replicated_distance, trip_distance
 from faregrid.plans.summary import throughput_summary
 from faregrid.sinks import reports
 from faregrid.sources import blocks, replay, trips as T
-from faregrid.sources.driver_tables import raw_trips, read_events, trips
+from faregrid.session import scratch_dir
+from faregrid.sources.driver_tables import EVENT_GAP_MS, read_events, trips
 from faregrid.streaming import runs
 from faregrid.streaming.profitability import stream_empty_taxis, stream_median_profit
 
@@ -45,8 +46,8 @@ def profitable_areas_15min(spark, sf):
 
 
 def profitable_areas_split(spark, sf):
-    """The same with every cell treated as too large for one task."""
-    return _round(P.profitable_areas(trips(spark, sf), group_limit=0), "profitability")
+    """The same with cells split into narrow bands of gains."""
+    return _round(P.profitable_areas(trips(spark, sf), bands_per_octave=1024), "profitability")
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -94,9 +95,9 @@ def grid_cells(spark, sf):
         "event_id", grid.in_box(lat, lon).alias("in_box"), grid.in_grid(lat, lon).alias("in_grid"),
         grid.cell_we(lon).alias("we"), grid.cell_ns(lat).alias("ns"),
         grid.cell_text_id(lat, lon).alias("text_id"), grid.cell_flat_id(lat, lon).alias("flat_id"),
-        F.round(grid.to_km(F.lit(grid.O_LAT), lat), 6).alias("km_south"),
-        F.round(grid.move_north(lat, 0.25) - grid.move_south(lat, 0.25), 9).alias("span"),
-        F.round(grid.move_east(lon, 0.25) - grid.move_west(lon, 0.25), 9).alias("width"))
+        F.round(grid.axis_km(F.lit(grid.O_LAT), lat), 6).alias("km_south"),
+        F.round(grid.shifted(lat, 0.25) - grid.shifted(lat, -0.25), 9).alias("span"),
+        F.round(grid.shifted(lon, 0.25) - grid.shifted(lon, -0.25), 9).alias("width"))
 
 
 def cell_key_roundtrip(spark, sf):
@@ -140,13 +141,13 @@ def emitted_totals(spark, sf):
     return replay.emitted_totals(replay_events(spark, sf))
 
 
-def _sources(spark, sf) -> DataFrame:
-    lines = blocks.read_blocks(spark, rendered.write_trips(spark, sf, vendor=False), CACHE_SIZE)
-    return T.parse_trips17(lines).select("block_id").distinct()
+def _emitted(spark, sf) -> DataFrame:
+    return replay.replay_events(_blocks17(spark, sf), _plan(spark, sf))
 
 
 def throughput_samples(spark, sf):
-    return replay.modelled_samples(_sources(spark, sf), _plan(spark, sf))
+    """Rates measured on the rows that were emitted."""
+    return throughput.samples_from_checkpoints(replay.checkpoints(_emitted(spark, sf)), ["block_id"])
 
 
 def checkpoint_samples(spark, sf):
@@ -157,24 +158,48 @@ def checkpoint_samples(spark, sf):
     return _round(throughput.samples_from_checkpoints(checkpoints, ["user_id"]), "rate")
 
 
+def checkpoint_samples_dense(spark, sf):
+    """Checkpoints at uneven steps, mostly below a second, several at one time."""
+    checkpoints = read_events(spark, sf).select(
+        "user_id", (F.expr("event_id div 400") * 700 + F.expr("event_id % 3") * 150).alias("t_ms"),
+        F.col("event_id").alias("total"))
+    return _round(throughput.samples_from_checkpoints(checkpoints, ["user_id"]), "rate")
+
+
 def steady_state_throughput(spark, sf):
     events = read_events(spark, sf)
-    samples = events.where("event_type = 'click'").select(
-        "user_id", F.col("event_id").alias("sample_no"), F.col("value").alias("rate"))
+    samples = events.select("user_id", F.col("event_id").alias("sample_no"), F.col("value").alias("rate"))
     return _round(throughput.steady_state(samples, ["user_id"], events), "steady_rate")
 
 
+def steady_state_by_type(spark, sf):
+    """Many sources with few samples or none."""
+    events = read_events(spark, sf).withColumn("hour", F.expr("event_id div 100"))
+    samples = events.where("event_type <> 'click'").select(
+        "user_id", "hour", F.col("event_id").alias("sample_no"), F.col("value").alias("rate"))
+    return _round(throughput.steady_state(samples, ["user_id", "hour"], events), "steady_rate")
+
+
 def source_report(spark, sf):
-    plan, sources = _plan(spark, sf), _sources(spark, sf)
-    samples = replay.modelled_samples(sources, plan)
-    totals = sources.withColumn("total_events", F.lit(plan.total))
-    return reports.source_report(
-        samples, throughput.steady_state(samples, ["block_id"], sources), totals, ["block_id"])
+    emitted = _emitted(spark, sf)
+    samples = throughput.samples_from_checkpoints(replay.checkpoints(emitted), ["block_id"])
+    totals = replay.emitted_totals(emitted)
+    return reports.source_report(samples, throughput.steady_state(samples, ["block_id"], totals), totals, ["block_id"])
 
 
 def run_event_log(spark, sf):
-    emitted = replay.replay_events(_blocks17(spark, sf), _plan(spark, sf))
-    return reports.run_event_log(emitted, "throughput_results_q0")
+    return reports.run_event_log(_emitted(spark, sf), "throughput_results_q0")
+
+
+def report_round_trip(spark, sf):
+    """A report written into a run's folder and summed up again from its files."""
+    events = read_events(spark, sf)
+    samples = events.select("user_id", F.col("event_id").alias("sample_no"), F.col("value").alias("rate"))
+    totals = events.groupBy("user_id").agg(F.count("*").alias("total_events"))
+    report = reports.source_report(samples, throughput.steady_state(samples, ["user_id"]), totals, ["user_id"])
+    main = scratch_dir(spark, "runs")
+    reports.write_source_report(report, f"{main}/run1", ["user_id"])
+    return throughput_summary(spark, main).select("run", F.round("total_throughput", 6).alias("total_throughput"))
 
 
 def throughput_totals(spark, sf):
@@ -225,6 +250,51 @@ def stream_profit_by_cell(spark, sf):
     return _round(runs.drain(spark, trips(spark, sf), S.FARE_TRIP, query), "profit")
 
 
+def stream_total_profit(spark, sf):
+    return _round(runs.drain(spark, trips(spark, sf), S.FARE_TRIP, P.total_profit_by_cell), "total_profit")
+
+
+def _text_stream(spark, sf, vendor: bool, query) -> DataFrame:
+    """Lines with their arrival in front, as a text stream in several batches, then the end."""
+    base = scratch_dir(spark, "text-stream")
+    out, checkpoint, arrived = f"{base}/out", f"{base}/checkpoint", f"{base}/in"
+    parse = T.parse_trips18 if vendor else T.parse_trips17
+    lines = rendered.trip_lines(read_events(spark, sf), vendor).select(
+        "seq", F.concat_ws("\t", F.col("seq") * EVENT_GAP_MS, "seq", "value").alias("value"))
+    half = lines.agg(F.max("seq")).first()[0] // 2
+    for part in (lines.where(F.col("seq") <= half), lines.where(F.col("seq") > half),
+                 rendered.last_line(spark, vendor)):
+        part.select("value").coalesce(1).write.mode("append").text(arrived)
+        result = query(runs.stamped_lines(spark, arrived, parse))
+        runs.run_available(result, out, checkpoint)
+    return spark.read.schema(result.schema).parquet(out)
+
+
+def stream_text_trip_distance(spark, sf):
+    return _distance(_text_stream(spark, sf, True, trip_distance))
+
+
+def stream_text_profitable_areas(spark, sf):
+    return _round(_text_stream(spark, sf, False, P.profitable_areas), "profitability")
+
+
+def stream_late_rows(spark, sf):
+    """Late groups, counted from all micro-batches' progress (one file: aggregated in one task)."""
+    table = trips(spark, sf).select(*(F.col(f.name).cast(f.dataType) for f in S.DISTANCE_TRIP.fields))
+    base = scratch_dir(spark, "late")
+    log = runs.ProgressLog(spark)
+    last = table.agg(F.max(F.unix_millis("ts"))).first()[0]
+    queries = []
+    # Three quarters arrive, then the first quarter again (late), then the rest.
+    for k, part in enumerate(("ms <= 0.75 * last", "ms < 0.25 * last", "ms > 0.75 * last")):
+        table.withColumns({"ms": F.unix_millis("ts"), "last": F.lit(last)}).where(part).drop("ms", "last").coalesce(
+            1).write.mode("append").parquet(f"{base}/in")
+        result = trip_distance(runs.read_stream(spark, f"{base}/in", S.DISTANCE_TRIP))
+        queries.append(runs.run_available(result, f"{base}/out", f"{base}/checkpoint"))
+    log.wait_for(*queries)
+    return runs.late_rows(log.close()).select("late_rows")
+
+
 def stream_empty_taxi_count(spark, sf):
     def query(t):
         return stream_empty_taxis(t, SLIDING).select(
@@ -252,7 +322,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "emitted_totals": emitted_totals,
     "throughput_samples": throughput_samples,
     "checkpoint_samples": checkpoint_samples,
+    "checkpoint_samples_dense": checkpoint_samples_dense,
     "steady_state_throughput": steady_state_throughput,
+    "steady_state_by_type": steady_state_by_type,
+    "report_round_trip": report_round_trip,
     "source_report": source_report,
     "run_event_log": run_event_log,
     "throughput_summary": throughput_totals,
@@ -265,4 +338,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_trip_distance": stream_trip_distance,
     "stream_profit_by_cell": stream_profit_by_cell,
     "stream_empty_taxi_count": stream_empty_taxi_count,
+    "stream_total_profit_by_cell": stream_total_profit,
+    "stream_text_trip_distance": stream_text_trip_distance,
+    "stream_text_profitable_areas": stream_text_profitable_areas,
+    "stream_late_rows": stream_late_rows,
 }

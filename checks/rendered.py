@@ -54,6 +54,14 @@ def write_trips(spark: SparkSession, sf_dir: str, vendor: bool) -> str:
     return path
 
 
+def last_line(spark: SparkSession, vendor: bool) -> DataFrame:
+    """One stamped line far in the future, on the grid, that closes every window before it."""
+    spot = f"{O_LON + 0.1},{O_LAT - 0.1},{O_LON + 0.1},{O_LAT - 0.1}"
+    date = "2200-01-01 00:00:00"
+    fields = ["end-of-stream", "h", *(["VTS"] if vendor else []), date, date, "1", "9", spot, "CRD", "1", "0", "0", "1", "0", "1.0"]
+    return spark.createDataFrame([(f"7258118400000\t{2 ** 62}\t{','.join(fields)}",)], "value string")
+
+
 def write_logs(spark: SparkSession, sf_dir: str) -> str:
     """Run folders of throughput logs; runs of `signup` events have no steady-state line."""
     path = scratch_dir(spark, "logs")

@@ -20,47 +20,29 @@ DEG_PER_RAD = 57.29577951308232
 RAD_PER_DEG = 0.017453292519943295
 
 
-def to_deg(km):
-    """Kilometres along the sphere as degrees (number or Column)."""
-    return km / EARTH_RADIUS_KM * DEG_PER_RAD
+def shifted(degrees, km):
+    """A coordinate moved by so many kilometres: north or east if positive (number or Column)."""
+    return degrees + km / EARTH_RADIUS_KM * DEG_PER_RAD
 
 
-def to_km(start_deg, end_deg) -> Column:
-    """Kilometres between two coordinates on one axis."""
-    return F.abs((end_deg - start_deg) * RAD_PER_DEG * EARTH_RADIUS_KM)
-
-
-def move_north(lat, km):
-    return lat + to_deg(km)
-
-
-def move_south(lat, km):
-    return lat - to_deg(km)
-
-
-def move_east(lon, km):
-    return lon + to_deg(km)
-
-
-def move_west(lon, km):
-    return lon - to_deg(km)
+def axis_km(a, b) -> Column:
+    """Kilometres between two coordinates of one axis."""
+    return F.abs((b - a) * RAD_PER_DEG * EARTH_RADIUS_KM)
 
 
 # Corners, folded to plain numbers here so that plans carry literals only.
-O_LAT = move_north(FIRST_CELL_LAT, CELL_KM / 2)
-O_LON = move_west(FIRST_CELL_LON, CELL_KM / 2)
-S_LAT = move_south(O_LAT, GRID_KM)
-NE_LON = move_east(O_LON, GRID_KM)
+O_LAT, O_LON = shifted(FIRST_CELL_LAT, CELL_KM / 2), shifted(FIRST_CELL_LON, -CELL_KM / 2)
+S_LAT, NE_LON = shifted(O_LAT, -GRID_KM), shifted(O_LON, GRID_KM)
 
 
 def cell_we(lon: Column) -> Column:
     """West-east index of a longitude, counted from 1."""
-    return F.ceil(to_km(F.lit(O_LON), lon) / CELL_KM).try_cast("int")
+    return F.ceil(axis_km(F.lit(O_LON), lon) / CELL_KM).try_cast("int")
 
 
 def cell_ns(lat: Column) -> Column:
     """North-south index of a latitude, counted from 1."""
-    return F.ceil(to_km(F.lit(O_LAT), lat) / CELL_KM).try_cast("int")
+    return F.ceil(axis_km(F.lit(O_LAT), lat) / CELL_KM).try_cast("int")
 
 
 def in_box(lat: Column, lon: Column) -> Column:

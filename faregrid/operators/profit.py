@@ -6,30 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faregrid.functions.scalars import gain, profitability
-from faregrid.operators.median import GROUP_LIMIT, sliding_median
+from faregrid.operators.median import BANDS_PER_OCTAVE, sliding_median
 from faregrid.operators.panes import Sliding, explode_windows, gather
 
 CELL = ["cell_we", "cell_ns"]
 
 
-def _gains(trips: DataFrame, sliding: Sliding) -> DataFrame:
+def gains(trips: DataFrame) -> DataFrame:
+    """`ts`, pickup cell and gain of the trips that have one, for batch and stream alike."""
     return trips.select(
-        sliding.pane(F.col("ts")).alias("pane"),
-        F.col("pickup_we").alias("cell_we"), F.col("pickup_ns").alias("cell_ns"),
-        gain(F.col("fare"), F.col("tip")).alias("gain"))
+        "ts", F.col("pickup_we").alias("cell_we"), F.col("pickup_ns").alias("cell_ns"),
+        gain(F.col("fare"), F.col("tip")).alias("gain")).where("gain is not null and not isnan(gain)")
+
+
+def _gains(trips: DataFrame, sliding: Sliding) -> DataFrame:
+    return gains(trips).select(sliding.pane(F.col("ts")).alias("pane"), *CELL, "gain")
 
 
-def median_profit(trips: DataFrame, sliding: Sliding, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def median_profit(
+    trips: DataFrame, sliding: Sliding, bands_per_octave: int = BANDS_PER_OCTAVE,
+) -> DataFrame:
     """Median gain per sliding window and pickup cell (batch)."""
     return sliding_median(
-        _gains(trips, sliding), CELL, "gain", sliding, "profit", group_limit
+        _gains(trips, sliding), CELL, "gain", sliding, "profit", bands_per_octave
     ).select(sliding.window_end(F.col("w")).alias("window_end"), *CELL, "profit")
 
 
 def total_profit(trips: DataFrame, sliding: Sliding) -> DataFrame:
     """Summed gain per sliding window and pickup cell (batch)."""
     panes = (
-        _gains(trips, sliding).where(~F.isnan("gain"))
+        _gains(trips, sliding)
         .groupBy("pane", *CELL).agg(F.sum("gain").alias("gain")))
     # One row per pane and cell is left, so a block of a cell is a small group.
     return (

@@ -2,53 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from faregrid.operators.panes import floor_div
-
+from collections.abc import Iterator
 
-SLICE_MS = 3_600_000
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def samples_from_checkpoints(checkpoints: DataFrame, keys: list[str]) -> DataFrame:
+def samples_from_checkpoints(
+    checkpoints: DataFrame, keys: list[str], min_interval_ms: int = 1000,
+) -> DataFrame:
     """Rates between recorded checkpoints (`t_ms`, `total` events so far) of each source.
 
-    The first checkpoint of a source is its starting point and gives no sample. A source is
-    cut into slices of an hour, so that a long one is spread over tasks; one row per slice
-    carries the count and the last checkpoint over to the next.
+    The first checkpoint of a source is its starting point. A sample is taken at the first
+    checkpoint that lies `min_interval_ms` or more behind the last one taken; of checkpoints at
+    the same time the largest total counts. Which ones are taken depends on all before, so a
+    source's checkpoints pass through one task in order, which remembers the last one only.
     """
-    part = [*keys, "slice"]
-    rows = checkpoints.withColumn("slice", floor_div(F.col("t_ms"), SLICE_MS))
-    by_slice = Window.partitionBy(*keys).orderBy("slice")
-    carried = rows.groupBy(*part).agg(
-        F.count("*").alias("n"), F.max(F.struct("t_ms", "total")).alias("end")
-    ).select(
-        *part, F.lag("end").over(by_slice).alias("carry"),
-        F.coalesce(F.sum("n").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("before"))
-    order = Window.partitionBy(*part).orderBy("t_ms", "total")
-    steps = rows.withColumns({
-        "previous": F.lag(F.struct("t_ms", "total")).over(order),
-        "no": F.row_number().over(order),
-    }).join(carried, part).withColumn("previous", F.coalesce("previous", "carry"))
-    interval = F.col("t_ms") - F.col("previous.t_ms")
-    return steps.where(interval > 0).select(
-        *keys, (F.col("before") + F.col("no") - 1).alias("sample_no"),
-        ((F.col("total") - F.col("previous.total")) / interval * 1000.0).alias("rate"))
+    merged = checkpoints.groupBy(*keys, "t_ms").agg(F.max("total").alias("total"))
+    ordered = merged.repartition(*keys).sortWithinPartitions(*keys, "t_ms")
+    n_keys = len(keys)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, last_ms, last_total, number = None, 0, 0, 0
+        for batch in batches:
+            rows, numbers, rates = [], [], []
+            for i, (t_ms, total, *own) in enumerate(zip(
+                    *(batch.column(k).to_pylist() for k in (n_keys, n_keys + 1, *range(n_keys))))):
+                if own != source:
+                    source, last_ms, last_total, number = own, t_ms, total, 0
+                elif t_ms - last_ms >= min_interval_ms:
+                    number += 1
+                    rows.append(i)
+                    numbers.append(number)
+                    rates.append((total - last_total) / (t_ms - last_ms) * 1000.0)
+                    last_ms, last_total = t_ms, total
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns[:n_keys], pa.array(numbers, pa.int64()), pa.array(rates, pa.float64())],
+                names=[*keys, "sample_no", "rate"])
+
+    schema = merged.select(*keys, F.lit(0).cast("long").alias("sample_no"), F.lit(0.0).alias("rate")).schema
+    return ordered.mapInArrow(take, schema)
 
 
 def steady_state(samples: DataFrame, keys: list[str], sources: DataFrame | None = None) -> DataFrame:
     """Mean rate per source without its first and last sample, if it has three or more.
 
-    `sources` lists all sources; those without any sample then report 0.0. The trim needs
-    only sums and extremes, so it is one mergeable aggregate and no sort.
+    Only the samples in between are added up, so that extreme first or last ones leave no trace.
+    `sources` lists all sources; those without any sample then report 0.0.
     """
-    trimmed = F.count("*") >= 3
-    ends = F.min_by("rate", "sample_no") + F.max_by("rate", "sample_no")
-    means = samples.groupBy(*keys).agg(
-        F.when(trimmed, (F.sum("rate") - ends) / (F.count("*") - 2))
-        .otherwise(F.avg("rate")).alias("steady_rate"))
+    ends = samples.groupBy(*keys).agg(
+        F.min("sample_no").alias("first_no"), F.max("sample_no").alias("last_no"), F.count("*").alias("n"))
+    inside = F.expr("n < 3 or (sample_no > first_no and sample_no < last_no)")
+    means = samples.join(ends, keys).where(inside).groupBy(*keys).agg(F.avg("rate").alias("steady_rate"))
     if sources is None:
         return means
     return sources.select(*keys).distinct().join(means, keys, "left").withColumn(

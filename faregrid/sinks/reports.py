@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faregrid.functions.scalars import format_ms
-from faregrid.sources.logs import STEADY_LABEL
+from faregrid.sources.logs import (
+    RESULT_LINE, RULE, SAMPLES_HEAD, SAMPLES_TAIL, STEADY_LABEL, TOTAL_LABEL, open_folder)
 
 
 def discard(result: DataFrame) -> None:
@@ -17,35 +18,32 @@ def discard(result: DataFrame) -> None:
 def source_report(samples: DataFrame, steady: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Log lines of every source: numbered samples, steady-state mean, total.
 
-    The last of `keys` is the instance number. Columns: keys, `line_no` (order within the
-    source's report), `value`.
+    The last of `keys` is the instance number. Columns: keys, `part` (head, samples, trailer) and
+    `line_no` (order within a part), `value`.
     """
     subtask = F.concat(F.lit("Subtask "), F.col(keys[-1]).cast("string"))
-    last = F.lit(2_000_000_000).cast("long")
 
-    def line(df: DataFrame, no, *parts) -> DataFrame:
-        return df.select(*keys, no.cast("long").alias("line_no"), F.concat(*parts).alias("value"))
+    def line(df: DataFrame, part: int, no, *texts) -> DataFrame:
+        return df.select(*keys, F.lit(part).alias("part"), no.cast("long").alias("line_no"), F.concat(*texts).alias("value"))
 
     return (
-        line(steady, F.lit(0), F.lit("--- "), subtask,
-             F.lit(" Throughput Samples (events/sec) ---"))
-        .union(line(samples, F.col("sample_no"), F.lit("Sample "),
-                    F.col("sample_no").cast("string"), F.lit(": "),
-                    F.col("rate").cast("string")))
-        .union(line(steady, last, F.lit("-" * 53)))
-        .union(line(steady, last + 1, subtask, F.lit(f" {STEADY_LABEL} "),
-                    F.col("steady_rate").cast("string")))
-        .union(line(totals, last + 2, subtask, F.lit(" Total Events Emitted: "),
-                    F.col("total_events").cast("string"))))
+        line(steady, 0, F.lit(0), F.lit(SAMPLES_HEAD), subtask, F.lit(SAMPLES_TAIL))
+        .union(line(samples, 1, F.col("sample_no"), F.lit("Sample "), F.col("sample_no").cast("string"),
+                    F.lit(": "), F.col("rate").cast("string")))
+        .union(line(steady, 2, F.lit(0), F.lit(RULE)))
+        .union(line(steady, 2, F.lit(1), subtask, F.lit(f" {STEADY_LABEL} "), F.col("steady_rate").cast("string")))
+        .union(line(totals, 2, F.lit(2), subtask, F.lit(f" {TOTAL_LABEL} "), F.col("total_events").cast("string"))))
 
 
 def write_source_report(report: DataFrame, run_dir: str, keys: list[str]) -> None:
-    """Appends the lines below `run_dir`, in order by source and line over its files.
+    """Appends the lines to `.csv` files of `run_dir`, in order by source and line over its files.
 
-    Ranges include the line number, so that one long report is spread over tasks.
+    Ranges include the line number, so that one long report is spread over tasks. Lines hold
+    neither quotes nor the separator, so they are written as they are.
     """
-    (report.repartitionByRange(*keys, "line_no").sortWithinPartitions(*keys, "line_no")
-     .select("value").write.mode("append").text(run_dir))
+    order = [*keys, "part", "line_no"]
+    (report.repartitionByRange(*order).sortWithinPartitions(*order).select("value")
+     .write.mode("append").option("sep", "\u0001").option("escapeQuotes", "false").csv(run_dir))
 
 
 def run_event_log(emitted: DataFrame, name: str) -> DataFrame:
@@ -64,10 +62,17 @@ def append_event_log(log: DataFrame, path: str) -> None:
 
 def summary_lines(totals: DataFrame) -> DataFrame:
     """The one line each run's result file holds."""
-    return totals.select("run", F.format_string(
-        "Total Processed Throughput: %.2f events/sec", "total_throughput").alias("value"))
+    return totals.select("run", F.format_string(RESULT_LINE, "total_throughput").alias("value"))
 
 
-def write_summary(totals: DataFrame, path: str) -> None:
-    """One folder per run below `path`, with that run's result line."""
-    summary_lines(totals).write.mode("overwrite").partitionBy("run").text(path)
+def write_summary(totals: DataFrame, main_dir: str) -> None:
+    """Writes `result.txt` into each run's own folder below `main_dir`; touches nothing else.
+
+    One small file per run; the runs' names come from a listing on the driver as well.
+    """
+    files, root = open_folder(main_dir.rstrip("/"))
+    for row in summary_lines(totals).toLocalIterator():
+        folder = f"{root}/{row['run']}"
+        files.create_dir(folder)
+        with files.open_output_stream(f"{folder}/result.txt") as out:
+            out.write(f"{row['value']}\n".encode())

@@ -7,43 +7,33 @@ from pyspark.sql import functions as F
 
 from faregrid.session import scratch_dir
 
-# One row per input split (about 128 MB of text): 2 million splits are some 250 TB,
-# and at three longs each under 100 MB as a broadcast.
-MAX_BROADCAST_SPLITS = 2_000_000
-
-
-def number_lines(spark: SparkSession, path: str, store: str | None = None) -> DataFrame:
+def number_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file or folder with `line_no` from 0, in file-name and file order.
 
-    Positions within a split come for free from the scan; only one count per split has to
-    be summed up. The scan is written to `store` (the shared scratch folder by default)
-    once, so that positions cannot change between the two uses or when a task is re-run.
+    A first scan counts the lines of each input split; its text is not kept. Counts are summed up
+    over files, then inside a file. The second scan has the same splits in the same partitions,
+    since both come from one listing, so a row's position in its partition tells its line.
     """
-    store = store or scratch_dir(spark, "lines")
-    (spark.read.text(path)
-     .select("value", F.col("_metadata.file_path").alias("file"),
-             F.col("_metadata.file_block_start").alias("split_start"),
-             F.monotonically_increasing_id().alias("pos"))
-     # A partition may read several splits; the row position tells them apart below.
-     .write.parquet(store))
-    lines = spark.read.parquet(store)
-
-    counted = lines.groupBy("file", "split_start").agg(
-        F.min("pos").alias("first_pos"), F.count("*").alias("n"))
-    # One row per split, not per line, goes through this global running sum.
-    in_order = Window.orderBy("file", "split_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = counted.select(
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("pos"))
+    store = scratch_dir(spark, "splits")
+    lines.groupBy("file", "split_start").agg(
+        F.min("pos").alias("first_pos"), F.count("*").alias("n")).write.parquet(store)
+    counted = spark.read.parquet(store)
+
+    # One row per file goes through the running sum over all files.
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = counted.groupBy("file").agg(F.sum("n").alias("n")).select(
+        "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = counted.join(files, "file").select(
+        # A partition may read several splits; the row position tells them apart below.
         F.shiftright("first_pos", 33).alias("part"), "first_pos",
         (F.col("first_pos") + F.col("n") - 1).alias("last_pos"),
-        (F.coalesce(F.sum("n").over(in_order), F.lit(0)) - F.col("first_pos")).alias("shift"))
-    splits_store = scratch_dir(spark, "splits")
-    splits.write.parquet(splits_store)
-    splits = spark.read.parquet(splits_store)
-    if splits.count() <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    # A scan partition packs few splits, so the range test has few candidates.
+        (F.col("base") + F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first_pos")).alias("shift"))
     return (
-        lines.withColumn("part", F.shiftright("pos", 33)).join(splits, "part")
+        lines.select("value", "pos").withColumn("part", F.shiftright("pos", 33)).join(splits, "part")
         .where(F.col("pos").between(F.col("first_pos"), F.col("last_pos")))
         .select((F.col("pos") + F.col("shift")).alias("line_no"), "value"))
 

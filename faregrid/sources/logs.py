@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import re
+from fnmatch import fnmatch
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the log format.
+SAMPLES_HEAD, SAMPLES_TAIL = "--- ", " Throughput Samples (events/sec) ---"
+RULE = "-" * 53
+TOTAL_LABEL = "Total Events Emitted:"
+RESULT_LINE = "Total Processed Throughput: %.2f events/sec"
 STEADY_LABEL = "Steady-State Average Throughput (events/sec):"
 # The exponent matters: large rates are printed like 1.2E7.
 STEADY_PATTERN = r"Steady-State Average Throughput \(events/sec\):\s*([0-9.]+(?:E-?[0-9]+)?)"
 
 
-def list_runs(spark: SparkSession, main_dir: str) -> DataFrame:
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match("file:/(?!/)", path) else path)
+    return fs.LocalFileSystem(), path
+
+
+def _entries(path: str) -> list[fs.FileInfo]:
+    files, root = open_folder(path.rstrip("/"))
+    return sorted(files.get_file_info(fs.FileSelector(root)), key=lambda f: f.base_name)
+
+
+def run_names(main_dir: str) -> list[str]:
     """Run folders directly below `main_dir`, empty ones included (a directory listing)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(main_dir)
-    found = root.getFileSystem(conf).listStatus(root)
-    names = sorted(s.getPath().getName() for s in found if s.isDirectory())
-    return spark.createDataFrame([(name,) for name in names], "run string")
+    return [f.base_name for f in _entries(main_dir) if f.type == fs.FileType.Directory]
+
+
+def list_runs(spark: SparkSession, main_dir: str) -> DataFrame:
+    return spark.createDataFrame([(name,) for name in run_names(main_dir)], "run string")
 
 
 def steady_rates(lines: DataFrame) -> DataFrame:
@@ -32,8 +52,16 @@ def steady_rates(lines: DataFrame) -> DataFrame:
 
 
 def read_steady_rates(spark: SparkSession, main_dir: str, files: str = "*.csv") -> DataFrame:
-    """`run`, `file` and rate for every matching line of every run's own files."""
-    lines = spark.read.text(f"{main_dir.rstrip('/')}/*/{files}").select(
+    """`run`, `file` and rate for every matching line of every run's own files.
+
+    Files are taken from a listing, so that runs without any are no error.
+    """
+    main = main_dir.rstrip("/")
+    paths = [f"{main}/{run}/{f.base_name}" for run in run_names(main) for f in _entries(f"{main}/{run}")
+             if fnmatch(f.base_name, files) and not f.base_name.startswith(("_", "."))]
+    if not paths:
+        return spark.createDataFrame([], "run string, file string, steady_rate double")
+    lines = spark.read.text(paths).select(
         "value",
         F.element_at(F.split("_metadata.file_path", "/"), -2).alias("run"),
         F.col("_metadata.file_name").alias("file"))

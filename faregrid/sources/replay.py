@@ -58,19 +58,6 @@ class Replay:
         """Events emitted by one instance."""
         return BURST * self.bursts
 
-    @property
-    def bursts_per_sample(self) -> int:
-        """A throughput sample is due at the first checkpoint a second or more after the last."""
-        return -(-NANOS // self.burst_nanos)
-
-    @property
-    def n_samples(self) -> int:
-        return max(self.bursts - 1, 0) // self.bursts_per_sample
-
-    @property
-    def sample_rate(self) -> float:
-        return BURST * NANOS / self.burst_nanos
-
 
 def replay_events(cached: DataFrame, replay: Replay) -> DataFrame:
     """Emits every instance's cache round-robin until its total is reached.
@@ -107,19 +94,10 @@ def emitted_totals(emitted: DataFrame) -> DataFrame:
     return emitted.groupBy("block_id").agg(F.count("*").alias("total_events"))
 
 
-def modelled_samples(blocks: DataFrame, replay: Replay) -> DataFrame:
-    """Throughput samples of each instance in closed form; `blocks` has `block_id`.
-
-    An instance with an empty cache is not in `blocks` and reports nothing.
-    """
-    if replay.n_samples == 0:
-        return blocks.select("block_id", F.lit(0).cast("long").alias("sample_no"),
-                             F.lit(0.0).alias("rate")).where(F.lit(False))
-    return blocks.select(
-        "block_id",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replay.n_samples).cast("long"))
-                  ).alias("sample_no"),
-        F.lit(replay.sample_rate).alias("rate"))
+def checkpoints(emitted: DataFrame) -> DataFrame:
+    """What each instance had emitted when, as found in the rows: one checkpoint per burst."""
+    return emitted.where(F.col("emit_no") % BURST == 0).select(
+        "block_id", F.col("arrival_ms").alias("t_ms"), F.col("emit_no").alias("total"))
 
 
 def replicate(trips: DataFrame, copies: int) -> DataFrame:

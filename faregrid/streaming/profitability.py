@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faregrid.functions import grid
-from faregrid.functions.scalars import gain, window_end_ms
+from faregrid.functions.scalars import window_end_ms
+from faregrid.operators.last_dropoff import named_taxis
 from faregrid.operators.panes import Sliding
-from faregrid.operators.profit import CELL, join_profitability
+from faregrid.operators.profit import CELL, gains, join_profitability
 
 
 def _ms(value: int) -> str:
@@ -21,11 +22,8 @@ def stream_median_profit(trips: DataFrame, sliding: Sliding) -> DataFrame:
     Equal gains of a pane are counted first. A trip thus updates one state row, and only a
     closed pane's distinct gains are copied into the windows that hold the pane.
     """
-    rides = trips.select(
-        "ts", F.col("pickup_we").alias("cell_we"), F.col("pickup_ns").alias("cell_ns"),
-        gain(F.col("fare"), F.col("tip")).alias("gain"))
     panes = (
-        rides.where(~F.isnan("gain"))
+        gains(trips)
         .groupBy(F.window("ts", _ms(sliding.pane_ms)).alias("pane"), *CELL, "gain")
         .agg(F.count("*").alias("n")))
     return (
@@ -34,30 +32,49 @@ def stream_median_profit(trips: DataFrame, sliding: Sliding) -> DataFrame:
         .agg(F.percentile("gain", F.lit(0.5), F.col("n")).alias("profit")))
 
 
-def stream_empty_taxis(trips: DataFrame, sliding: Sliding) -> DataFrame:
+def stream_empty_taxis(trips: DataFrame, sliding: Sliding, delay: str = "0 seconds") -> DataFrame:
     """Taxis per last drop-off cell, counted one slide after their window.
 
     Time is moved on by one slide before windowing. The shifted window is then the join
-    key itself, which lets the watermark release the join's state.
+    key itself, which lets the watermark release the join's state. A trip updates the one state
+    row of its pane and taxi; only closed panes are copied into windows.
     """
     key = grid.pack_cell(F.col("dropoff_we"), F.col("dropoff_ns"))
     late_by_a_slide = (
-        trips.withColumn("ts_lag", F.timestamp_millis(F.unix_millis("ts") + sliding.slide_ms))
-        .withWatermark("ts_lag", "0 seconds"))
-    last = late_by_a_slide.groupBy(
-        F.window("ts_lag", _ms(sliding.size_ms), _ms(sliding.slide_ms)).alias("window"),
-        "medallion").agg(F.max_by(key, "seq").alias("cell_key"))
+        named_taxis(trips)
+        .withColumn("ts_lag", F.timestamp_millis(F.unix_millis("ts") + sliding.slide_ms))
+        .withWatermark("ts_lag", delay))
+    panes = late_by_a_slide.groupBy(
+        F.window("ts_lag", _ms(sliding.pane_ms)).alias("pane"), "medallion").agg(
+        F.max_by(key, "seq").alias("cell_key"), F.max("seq").alias("seq"))
+    last = panes.groupBy(
+        F.window("pane", _ms(sliding.size_ms), _ms(sliding.slide_ms)).alias("window"),
+        "medallion").agg(F.max_by("cell_key", "seq").alias("cell_key"))
     return last.groupBy(
         "window", grid.packed_we(F.col("cell_key")).alias("cell_we"),
         grid.packed_ns(F.col("cell_key")).alias("cell_ns"),
     ).agg(F.count("*").cast("int").alias("count"))
 
 
+def stream_total_profit(trips: DataFrame, sliding: Sliding) -> DataFrame:
+    """Summed gain per window and pickup cell. `trips` carries a watermark on `ts`."""
+    panes = (
+        gains(trips).groupBy(F.window("ts", _ms(sliding.pane_ms)).alias("pane"), *CELL)
+        .agg(F.sum("gain").alias("gain")))
+    totals = panes.groupBy(
+        F.window("pane", _ms(sliding.size_ms), _ms(sliding.slide_ms)).alias("window"), *CELL).agg(
+        F.sum("gain").alias("total_profit"))
+    return totals.select(window_end_ms(F.col("window")).alias("window_end"), *CELL, "total_profit")
+
+
 def stream_profitable_areas(
     trips: DataFrame, sliding: Sliding, delay: str = "0 seconds",
 ) -> DataFrame:
-    """Append-mode profitability; every state is released as its window closes."""
+    """Append-mode profitability; every state is released as its window closes.
+
+    `delay` is how far a trip may lie behind the latest one and still count.
+    """
     profit = stream_median_profit(trips.withWatermark("ts", delay), sliding)
-    counts = stream_empty_taxis(trips, sliding)
+    counts = stream_empty_taxis(trips, sliding, delay)
     areas = join_profitability(profit, counts, "window")
     return areas.select(window_end_ms(F.col("window")).alias("window_end"), *CELL, "profitability")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
+from faregrid.functions.scalars import arrival_now
 from faregrid.session import scratch_dir
 
 SENTINEL_MEDALLION = "end-of-stream"
@@ -100,15 +102,86 @@ def drain(
     return spark.read.schema(result.schema).parquet(out)
 
 
-def progress_samples(query: StreamingQuery) -> DataFrame:
-    """Rates of the recent micro-batches of a live query (a bounded list kept by Spark)."""
-    spark = SparkSession.active()
-    rows = [(str(query.name), int(p["batchId"]), float(p["processedRowsPerSecond"]))
-            for p in query.recentProgress if p["numInputRows"] > 0]
-    return spark.createDataFrame(rows, "query_id string, sample_no long, rate double")
+class ProgressLog(StreamingQueryListener):
+    """Keeps one row of every micro-batch's progress and appends it to a table.
+
+    Spark itself only remembers the latest progress of a query. Rows are written when a query
+    ends, or by `flush`; until then the driver holds one small row per micro-batch.
+    """
+
+    SCHEMA = "query string, run string, batch long, at string, rows long, rate double, late long, state_rows long"
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or scratch_dir(spark, "progress")
+        self.pending: list[tuple] = []
+        self.ended: set[str] = set()
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.pending.append((
+            p.name or str(p.id), str(p.runId), p.batchId, p.timestamp, p.numInputRows,
+            float(p.processedRowsPerSecond), sum(op.numRowsDroppedByWatermark for op in p.stateOperators),
+            sum(op.numRowsTotal for op in p.stateOperators)))
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def wait_for(self, *queries: StreamingQuery, seconds: float = 30) -> None:
+        """Until the last event of every given (stopped) query has arrived."""
+        until = time.monotonic() + seconds
+        while not {str(q.runId) for q in queries} <= self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+
+    def flush(self) -> DataFrame:
+        """Writes what is pending; returns the table."""
+        rows, self.pending = self.pending, []
+        self.spark.createDataFrame(rows, self.SCHEMA).write.mode("append").parquet(self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def close(self) -> DataFrame:
+        self.spark.streams.removeListener(self)
+        return self.flush()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark has dropped, over the recent micro-batches."""
-    return sum(op["numRowsDroppedByWatermark"]
-               for p in query.recentProgress for op in p["stateOperators"])
+def progress_samples(progress: DataFrame) -> DataFrame:
+    """Rate of every micro-batch that read rows, by query, from a progress table."""
+    return progress.where("rows > 0").select(
+        F.col("query").alias("query_id"), F.col("batch").alias("sample_no"), "rate")
+
+
+def late_rows(progress: DataFrame) -> DataFrame:
+    """Rows that the watermark has dropped, by query, from a progress table.
+
+    Spark counts them as they reach the state, behind the aggregation inside a task.
+    """
+    return progress.groupBy(F.col("query").alias("query_id")).agg(F.sum("late").alias("late_rows"))
+
+
+def stamped_lines(
+    spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], **options: str,
+) -> DataFrame:
+    """A text stream as trips, from lines with their arrival in front: `ms<TAB>seq<TAB>line`."""
+    parts = F.split("value", "\t", 3)
+    lines = spark.readStream.options(**options).text(path)
+    return parse(lines.select(
+        F.timestamp_millis(F.get(parts, F.lit(0)).try_cast("long")).alias("ts"),
+        F.get(parts, F.lit(1)).try_cast("long").alias("seq"),
+        F.get(parts, F.lit(2)).alias("value")).where("ts is not null and value is not null"))
+
+
+def arriving_lines(
+    spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], **options: str,
+) -> DataFrame:
+    """A text stream as trips that arrive now: the lines of a micro-batch share its time. A text
+    stream has no positions, so among them `seq` is a fixed order by hash."""
+    lines = spark.readStream.options(**options).text(path).withColumn(
+        "place", F.pmod(F.xxhash64("value"), F.lit(1 << 20)))
+    return parse(lines).withColumns({
+        "ts": arrival_now(), "seq": F.unix_millis(arrival_now()) * (1 << 20) + F.col("place")}).drop("place")

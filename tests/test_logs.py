@@ -1,12 +1,7 @@
-import os
-
-from pyspark.sql import functions as F
-
 from faregrid.operators import throughput
 from faregrid.plans.summary import throughput_summary
 from faregrid.schema import RUN_TOTAL
 from faregrid.sinks import reports
-from faregrid.sources import replay as R
 
 LABEL = "Steady-State Average Throughput (events/sec):"
 
@@ -33,24 +28,44 @@ def test_summary(spark, tmp_path):
         ("20240101", 12e6), ("20240102", 10000.75), ("20240103", 0.0), ("20240104", 0.0)]
     assert reports.summary_lines(totals).collect()[1].value == (
         "Total Processed Throughput: 10000.75 events/sec")
-    reports.write_summary(totals, str(tmp_path / "out"))
-    assert sorted(d for d in os.listdir(tmp_path / "out") if d.startswith("run=")) == [
-        "run=20240101", "run=20240102", "run=20240103", "run=20240104"]
+    before = {p: p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    reports.write_summary(totals, str(tmp_path))
+    after = {p: p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert {p: t for p, t in after.items() if p in before} == before
+    assert sorted(str(p.relative_to(tmp_path)) for p in after.keys() - before.keys()) == [
+        f"2024010{k}/result.txt" for k in (1, 2, 3, 4)]
+    assert after[tmp_path / "20240102/result.txt"] == "Total Processed Throughput: 10000.75 events/sec\n"
+    assert throughput_summary(spark, f"file://{tmp_path}").collect() == totals.collect()
+
+
+def test_runs_without_any_log(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r2").mkdir()
+    assert [tuple(r) for r in throughput_summary(spark, str(tmp_path)).collect()] == [("r1", 0.0), ("r2", 0.0)]
+    assert throughput_summary(spark, str(tmp_path / "r1")).count() == 0
 
 
 def test_report_can_be_summarised(spark, tmp_path):
-    plan = R.Replay(2000, 5, instances=2)
-    sources = spark.range(2).withColumnRenamed("id", "block_id")
-    samples = R.modelled_samples(sources, plan)
-    steady = throughput.steady_state(samples, ["block_id"], sources)
-    totals = sources.withColumn("total_events", F.lit(plan.total))
+    rows = [(b, k, 1000.0 if b else 5.5 * k) for b in range(2) for k in range(1, 5)]
+    samples = spark.createDataFrame(rows, "block_id long, sample_no long, rate double")
+    totals = spark.createDataFrame([(0, 7), (1, 5000)], "block_id long, total_events long")
+    steady = throughput.steady_state(samples, ["block_id"], totals)
     report = reports.source_report(samples, steady, totals, ["block_id"])
-    lines = [r.value for r in report.where("block_id = 1").orderBy("line_no").collect()]
+    lines = [r.value for r in report.where("block_id = 1").orderBy("part", "line_no").collect()]
     assert lines == [
         "--- Subtask 1 Throughput Samples (events/sec) ---",
         *(f"Sample {i}: 1000.0" for i in range(1, 5)),
         "-----------------------------------------------------",
         f"Subtask 1 {LABEL} 1000.0", "Subtask 1 Total Events Emitted: 5000"]
     reports.write_source_report(report, str(tmp_path / "run1"), ["block_id"])
-    assert [tuple(r) for r in throughput_summary(spark, str(tmp_path), "*.txt").collect()] == [
-        ("run1", 2000.0)]
+    written = [line for p in sorted((tmp_path / "run1").glob("*.csv")) for line in p.read_text().splitlines()]
+    assert written == [r.value for r in report.orderBy("block_id", "part", "line_no").collect()]
+    assert [tuple(r) for r in throughput_summary(spark, str(tmp_path)).collect()] == [("run1", 1000.0 + 5.5 * 2.5)]
+
+
+def test_event_log_is_appended(spark, tmp_path):
+    emitted = spark.createDataFrame([(0, 5), (0, 9), (3, 7)], "block_id long, arrival_ms long")
+    for _ in range(2):
+        reports.append_event_log(reports.run_event_log(emitted, "q0"), str(tmp_path / "log"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert len(lines) == 8 and len(set(lines)) == 4

@@ -7,51 +7,38 @@ from faregrid.sinks import reports
 from faregrid.sources import replay as R
 
 
-def simulate(rate, seconds):
-    """The emission loop step by step on an ideal clock: total, samples, arrivals in ms."""
-    nanos = 10**9 // rate
-    clock, total, last, last_total, samples, arrivals = 0, 0, 0, 0, [], []
-    while True:
-        if total % 1000 == 0:
-            if clock >= seconds * 10**9:
-                return total, samples, arrivals
-            if clock - last >= 10**9:
-                samples.append((total - last_total) / ((clock - last) / 10**9))
-                last, last_total = clock, total
-        arrivals.append(clock // 10**6)
-        total += 1
-        if total % 1000 == 0:
-            clock += nanos * 1000
-
-
 def cache(spark, *sizes):
     rows = [(b, i, n, f"{b}-{i}") for b, n in enumerate(sizes) for i in range(n)]
     return spark.createDataFrame(
         rows, "block_id long, cache_idx long, cache_n long, medallion string")
 
 
-@pytest.mark.parametrize("rate", [300, 999, 1000, 7000, 12_345])
-@pytest.mark.parametrize("seconds", [0, 1, 5])
-def test_closed_form(rate, seconds):
-    total, samples, _ = simulate(rate, seconds)
+@pytest.mark.parametrize("rate, seconds, burst_ns, bursts", [
+    (1000, 5, 1_000_000_000, 5), (1000, 0, 1_000_000_000, 0), (300, 1, 3_333_333_000, 1),
+    (300, 5, 3_333_333_000, 2), (999, 1, 1_001_001_000, 1), (7000, 1, 142_857_000, 8),
+    (7000, 5, 142_857_000, 36), (12_345, 5, 81_004_000, 62)])
+def test_closed_form(rate, seconds, burst_ns, bursts):
     plan = R.Replay(rate, seconds)
-    assert (plan.total, plan.n_samples) == (total, len(samples))
-    assert samples == pytest.approx([plan.sample_rate] * len(samples))
+    assert (plan.burst_nanos, plan.bursts, plan.total) == (burst_ns, bursts, 1000 * bursts)
 
 
 def test_events(spark, monkeypatch):
     monkeypatch.setattr(R, "REPEATS_PER_ROW", 7)   # several rows per cached event
     plan = R.Replay(2 * 900 + 1, 3, instances=2, start_ms=5)
     got = R.replay_events(cache(spark, 3, 1, 4), plan).collect()   # block 2 has no instance
-    total, _, arrivals = simulate(900, 3)
-    assert len(got) == 2 * total
+    assert len(got) == 2 * 3000
     for r in got:
         assert r.medallion == f"{r.block_id}-{r.emit_no % (3, 1)[r.block_id]}"
-        assert r.arrival_ms == 5 + arrivals[r.emit_no]
+        assert r.arrival_ms == 5 + (0, 1111, 2222)[r.emit_no // 1000]
         assert r.seq == r.emit_no * 2 + r.block_id
-    assert {(r.block_id, r.emit_no) for r in got} == {(b, k) for b in (0, 1) for k in range(total)}
-    totals = R.emitted_totals(R.replay_events(cache(spark, 3, 1, 4), plan)).collect()
-    assert {(r.block_id, r.total_events) for r in totals} == {(0, total), (1, total)}
+    assert {(r.block_id, r.emit_no) for r in got} == {(b, k) for b in (0, 1) for k in range(3000)}
+    emitted = R.replay_events(cache(spark, 3, 1, 4), plan)
+    assert {(r.block_id, r.total_events) for r in R.emitted_totals(emitted).collect()} == {(0, 3000), (1, 3000)}
+    marks = [(b, 5 + ms, n) for b in (0, 1) for ms, n in ((0, 0), (1111, 1000), (2222, 2000))]
+    assert sorted(map(tuple, R.checkpoints(emitted).collect())) == marks
+    samples = throughput.samples_from_checkpoints(R.checkpoints(emitted), ["block_id"]).collect()
+    assert sorted((r.block_id, r.sample_no, round(r.rate, 3)) for r in samples) == [
+        (b, k, 900.09) for b in (0, 1) for k in (1, 2)]
 
 
 def test_even_spacing(spark):
@@ -68,7 +55,6 @@ def test_limits(spark):
     assert R.Replay(100_000, 10, instances=3).local_rate == 33_333
     with pytest.raises(ValueError):
         R.Replay(2, 10, instances=3).total
-    assert R.modelled_samples(cache(spark, 2), R.Replay(10_000, 1)).isEmpty()
 
 
 def test_steady_state(spark):
@@ -81,11 +67,28 @@ def test_steady_state(spark):
     assert got == {"a": 15.0, "b": 20.0, "c": 15.0, "d": 7.0, "e": 0.0}
 
 
+def test_middle_samples_only_are_added_up(spark):
+    rows = [("a", i, v) for i, v in enumerate([1e17, 1.0, 2.0, 3.0, 5.0])]
+    samples = spark.createDataFrame(rows, "q string, sample_no long, rate double")
+    assert [r.steady_rate for r in throughput.steady_state(samples, ["q"]).collect()] == [2.0]
+
+
+def samples_of(spark, rows, **options):
+    df = spark.createDataFrame(rows, "q string, t_ms long, total long")
+    got = throughput.samples_from_checkpoints(df, ["q"], **options).collect()
+    return sorted((r.q, r.sample_no, r.rate) for r in got)
+
+
 def test_checkpoint_samples(spark):
     rows = [("a", 0, 0), ("a", 1000, 500), ("a", 3000, 2500), ("b", 10, 0)]
-    got = throughput.samples_from_checkpoints(
-        spark.createDataFrame(rows, "q string, t_ms long, total long"), ["q"]).collect()
-    assert {(r.q, r.sample_no, r.rate) for r in got} == {("a", 1, 500.0), ("a", 2, 1000.0)}
+    assert samples_of(spark, rows) == [("a", 1, 500.0), ("a", 2, 1000.0)]
+    # Steps below a second are passed over; at the same time the largest total counts.
+    dense = [("a", 10 * k, k) for k in range(301)]
+    assert samples_of(spark, dense) == [("a", k, 100.0) for k in (1, 2, 3)]
+    ties = [("a", 0, 0), ("a", 1000, 10), ("a", 1000, 20), ("a", 2000, 30), ("a", 2500, 33)]
+    assert samples_of(spark, ties) == [("a", 1, 20.0), ("a", 2, 10.0)]
+    assert samples_of(spark, ties, min_interval_ms=500) == [("a", 1, 20.0), ("a", 2, 10.0), ("a", 3, 6.0)]
+    assert samples_of(spark, [("a", 5, 1)]) == []
 
 
 def test_run_event_log(spark):

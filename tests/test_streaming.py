@@ -1,11 +1,19 @@
+import contextlib
+import io
+
+import pytest
 from pyspark.sql import functions as F
 
 from faregrid import schema as S
+from faregrid.operators import throughput
+from faregrid.operators.panes import Sliding
 from faregrid.plans import profitability as P
 from faregrid.plans.distance import trip_distance
 from faregrid.sources import replay as R
 from faregrid.sources.driver_tables import trips
+from faregrid.sources.trips import parse_trips18
 from faregrid.streaming import runs
+from faregrid.streaming.profitability import stream_empty_taxis
 
 
 def rows(df):
@@ -37,11 +45,30 @@ def test_areas_stream_equals_batch_and_frees_its_state(spark, sf_dir, tmp_path):
     join = [op for op in query.lastProgress["stateOperators"]
             if op["operatorName"] == "symmetricHashJoin"]
     assert join and sum(op["numRowsTotal"] for op in join) == 0
-    assert runs.late_rows(query) == 0
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
+def test_all_progress_is_kept(spark, tmp_path):
+    """More micro-batches than Spark itself remembers."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    log = runs.ProgressLog(spark, str(tmp_path / "progress"))
+    try:
+        for k in range(12):
+            spark.range(k * 10, k * 10 + k + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = runs.discard_stream(stream, str(tmp_path / "state"), "many", availableNow=True)
+        query.awaitTermination()
+        log.wait_for(query)
+        samples = runs.progress_samples(log.close()).collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert sorted(r.sample_no for r in samples) == list(range(12)) and {r.query_id for r in samples} == {"many"}
+    steady = throughput.steady_state(spark.createDataFrame(samples), ["query_id"]).first().steady_rate
+    assert steady == pytest.approx(sum(r.rate for r in samples if 0 < r.sample_no < 11) / 10)
+
+
+def late_case(spark, tmp_path, delay):
     arrived, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    log = runs.ProgressLog(spark, str(tmp_path / "progress"))
 
     def arrive(*ms):
         spark.createDataFrame(
@@ -49,15 +76,83 @@ def test_late_rows_are_dropped(spark, tmp_path):
             "seq long, ms long, vendor_id string, pickup_cell int, dropoff_cell int, "
             "trip_distance double").select(
                 *(F.col(f.name) if f.name != "ts" else F.timestamp_millis("ms").alias("ts")
-                  for f in S.DISTANCE_TRIP.fields)).write.mode("append").parquet(arrived)
+                  for f in S.DISTANCE_TRIP.fields)).coalesce(1).write.mode("append").parquet(arrived)
         return runs.run_available(
-            trip_distance(runs.read_stream(spark, arrived, S.DISTANCE_TRIP)), out, state)
+            trip_distance(runs.read_stream(spark, arrived, S.DISTANCE_TRIP), delay=delay), out, state)
+
+    queries = [arrive(100, 1900, 4100), arrive(500, 8100), arrive(30_000)]
+    log.wait_for(*queries)
+    late = runs.late_rows(log.close()).agg(F.sum("late_rows")).first()[0]
+    return late, [tuple(r) for r in spark.read.parquet(out).orderBy("window_end").collect()]
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    late, areas = late_case(spark, tmp_path, "0 seconds")   # 500 ms is in a reported window
+    assert late == 1 and areas == [(2000, 600, 2, 2.0), (6000, 600, 1, 2.0), (10_000, 600, 1, 2.0)]
 
-    arrive(100, 1900, 4100)
-    late = arrive(500, 8100)        # 500 ms belongs to a window that has been reported
-    assert runs.late_rows(late) == 1
-    assert [tuple(r) for r in spark.read.parquet(out).orderBy("window_end").collect()] == [
-        (2000, 600, 2, 2.0), (6000, 600, 1, 2.0)]
+
+def test_a_delay_keeps_late_rows(spark, tmp_path):
+    late, areas = late_case(spark, tmp_path, "10 seconds")
+    assert late == 0 and areas == [(2000, 600, 3, 2.0), (6000, 600, 1, 2.0), (10_000, 600, 1, 2.0)]
+
+
+def test_delay_reaches_both_branches_of_the_areas(spark, tmp_path):
+    """A trip behind the watermark counts for profit and for its taxi if the delay allows it."""
+    rows = [(1, 60_000, "a", 5.0), (2, 1_000_000, "b", 7.0), (3, 61_000, "c", 9.0)]
+    want = {}
+    for delay in ("0 seconds", "1000 seconds"):
+        base = tmp_path / delay.split()[0]
+        for k, (seq, ms, taxi, fare) in enumerate(rows):
+            df = spark.createDataFrame([(seq, ms, taxi, 5, 5, 5, 5, fare, 0.0)],
+                                       "seq long, ms long, medallion string, pickup_we int, pickup_ns int, dropoff_we int, "
+                                       "dropoff_ns int, fare double, tip double").withColumn("ts", F.timestamp_millis("ms"))
+            df.select(*(F.col(f.name).cast(f.dataType) for f in S.FARE_TRIP.fields)).write.mode("append").parquet(str(base / "in"))
+            runs.run_available(P.profitable_areas(runs.read_stream(spark, str(base / "in"), S.FARE_TRIP), delay=delay),
+                               str(base / "out"), str(base / "state"))
+        runs.sentinel(spark, S.FARE_TRIP).write.mode("append").parquet(str(base / "in"))
+        runs.run_available(P.profitable_areas(runs.read_stream(spark, str(base / "in"), S.FARE_TRIP), delay=delay),
+                           str(base / "out"), str(base / "state"))
+        want[delay] = {r.window_end: r.profitability for r in spark.read.parquet(str(base / "out")).collect()}
+    assert want["0 seconds"][100_000] == 5.0 and want["1000 seconds"][100_000] == 7.0 / 2
+
+
+def test_nulls_are_the_same_in_batch_and_stream(spark):
+    rows = [(1, 1000, "a", 5, 5, 5, 5, 3.0, 1.0), (2, 2000, None, 5, 5, 5, 5, 4.0, 1.0), (3, 3000, "b", 5, 5, 5, 5, None, 1.0),
+            (4, 4000, "c", 5, 5, 5, 5, float("nan"), 0.0), (5, 5000, "d", 6, 6, 5, 5, None, None)]
+    table = spark.createDataFrame(
+        rows, "seq long, ms long, medallion string, pickup_we int, pickup_ns int, dropoff_we int, dropoff_ns int, "
+        "fare double, tip double").withColumn("ts", F.timestamp_millis("ms"))
+    for query in (P.profitable_areas, P.total_profit_by_cell):
+        want = query(table).collect()
+        assert sorted(map(tuple, runs.drain(spark, table, S.FARE_TRIP, query).collect())) == sorted(map(tuple, want))
+        assert want and not any(None in r for r in want)
+
+
+def test_lines_that_arrive_now(spark, tmp_path):
+    """Text, parsed and stamped with the clock, then the distance query."""
+    line = ",".join(["m", "h", "VTS", "d", "d", "60", "2.5", "-73.99", "40.75", "-73.98", "40.76", "CRD", "1", "0", "0", "1", "0", "1.0"])
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"{line}\nbad,line\n" * (k + 1))
+    trips = runs.arriving_lines(spark, str(tmp_path / "in"), parse_trips18)
+    query = runs.run_available(trips, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 6 and got.where("ts is null or seq is null").count() == 0
+    assert query.exception() is None and trip_distance(trips).isStreaming
+
+
+def test_taxis_are_reduced_to_panes_before_windows(spark, sf_dir, tmp_path):
+    """Trips are aggregated below the step that copies rows into windows."""
+    fields = [F.col(f.name).cast(f.dataType) for f in S.FARE_TRIP.fields]
+    trips(spark, sf_dir).limit(50).select(*fields).write.parquet(str(tmp_path / "in"))
+    stream = runs.read_stream(spark, str(tmp_path / "in"), S.FARE_TRIP)
+    query = runs.discard_stream(stream_empty_taxis(stream, Sliding()), str(tmp_path / "state"), "taxis", availableNow=True)
+    query.awaitTermination()
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        query.explain()
+    plan = text.getvalue()
+    assert "max_by" in plan[plan.rindex("Expand"):]
 
 
 def test_live_replay_and_replicas(spark, tmp_path):
@@ -65,8 +160,9 @@ def test_live_replay_and_replicas(spark, tmp_path):
         F.col("id").alias("cache_idx"), F.lit("VTS").alias("vendor_id"),
         F.lit(600).alias("pickup_cell"), F.lit(600).alias("dropoff_cell"),
         (F.col("id") + 2.0).alias("trip_distance"))
+    log = runs.ProgressLog(spark, str(tmp_path / "progress"))
     queries = runs.start_replicas(
-        lambda i: R.live_replay(spark, cached, 200), trip_distance, 2, str(tmp_path),
+        lambda i: R.live_replay(spark, cached, 200), trip_distance, 2, str(tmp_path / "state"),
         processingTime="1 second")
     try:
         assert {q.name for q in queries} == {"query_0", "query_1"}
@@ -75,8 +171,9 @@ def test_live_replay_and_replicas(spark, tmp_path):
                 if any(p["numInputRows"] for p in query.recentProgress):
                     break
                 query.awaitTermination(1)
-            samples = runs.progress_samples(query).collect()
-            assert samples and all(r.rate > 0 for r in samples)
     finally:
         for query in queries:
             query.stop()
+        log.wait_for(*queries)
+        samples = runs.progress_samples(log.close()).collect()
+    assert {r.query_id for r in samples} == {"query_0", "query_1"} and all(r.rate > 0 for r in samples)

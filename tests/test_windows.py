@@ -63,42 +63,35 @@ def as_map(df, value):
 
 @pytest.mark.parametrize("size,slide", [(150_000, 10_000), (25_000, 10_000), (30_000, 30_000),
                                         (5_000, 20_000)])
-@pytest.mark.parametrize("limit", [1_000_000, 60, 0])
-def test_median(spark, make_trips, size, slide, limit):
-    """Small groups, split groups, and both in one query (the middle limit)."""
-    rows = random_rows(600, seed=size + limit, hot=0.4)
-    got = as_map(median_profit(make_trips(rows), Sliding(size, slide), limit), "profit")
+@pytest.mark.parametrize("bands", [1, M.BANDS_PER_OCTAVE, 1024])
+def test_median(spark, make_trips, size, slide, bands):
+    """Gains in one band, in a few, and nearly each in its own."""
+    rows = random_rows(600, seed=size + bands, hot=0.4)
+    got = as_map(median_profit(make_trips(rows), Sliding(size, slide), bands), "profit")
     want = brute_profit(rows, size, slide)
     assert got.keys() == want.keys()
     for key, gains in want.items():
         assert got[key] == pytest.approx(statistics.median(gains), rel=1e-12), key
 
 
-def test_mixed_limit_really_mixes(make_trips):
-    rows = make_trips(random_rows(600, seed=150_060, hot=0.4))
-    sliding = Sliding()
-    gains = rows.select(sliding.pane(F.col("ts")).alias("pane"), "pickup_we", "pickup_ns")
-    large = M.large_groups(gains, ["pickup_we", "pickup_ns"], sliding, 60)
-    cells = {row[1:] for row in large}
-    assert A in cells and len(cells) < 4
-
-
-def test_too_many_large_groups_need_no_list(make_trips, monkeypatch):
-    monkeypatch.setattr(M, "MAX_LARGE_GROUPS", 1)
-    rows = random_rows(300, seed=3)
-    got = as_map(median_profit(make_trips(rows), Sliding(), 5), "profit")
-    want = brute_profit(rows, 150_000, 10_000)
-    assert got == pytest.approx({k: statistics.median(v) for k, v in want.items()})
+def test_building_a_plan_starts_no_job(spark, make_trips):
+    trips = make_trips(random_rows(300, seed=3))
+    spark.sparkContext.setJobGroup("plan", "building")
+    try:
+        P.profitable_areas(trips)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.mark.parametrize("gains,want", [
     ([1, 2, 4, 10], 3.0), ([5], 5.0), ([float("nan"), 1, 3], 2.0), ([-1, 0, 0, 7], 0.0),
     ([float("inf"), 1, 2], 2.0),
 ])
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_median_cases(make_trips, gains, want, limit):
+@pytest.mark.parametrize("bands", [M.BANDS_PER_OCTAVE, 1024])
+def test_median_cases(make_trips, gains, want, bands):
     trips = make_trips([(i, 1000 + i, "m", A, B, g, 0) for i, g in enumerate(gains)])
-    got = as_map(median_profit(trips, Sliding(), limit), "profit")
+    got = as_map(median_profit(trips, Sliding(), bands), "profit")
     assert len(got) == 15 and set(got.values()) == {want}
 
 
@@ -150,10 +143,10 @@ def test_total_profit(make_trips):
     assert got == pytest.approx({k: sum(v) for k, v in want.items()}, abs=1e-3)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 40])
-def test_areas(make_trips, limit):
+@pytest.mark.parametrize("bands", [4, 512])
+def test_areas(make_trips, bands):
     rows = random_rows(500, seed=21, hot=0.3)
-    got = as_map(P.profitable_areas(make_trips(rows), group_limit=limit), "profitability")
+    got = as_map(P.profitable_areas(make_trips(rows), bands_per_octave=bands), "profitability")
     assert got == pytest.approx(brute_areas(rows))
 
 
