@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from faregrid.llm import chat, secrets
+from faregrid.llm import chat, licenses, secrets, warc
 
 
 def _quote(text: str) -> str:
@@ -59,4 +59,107 @@ select conv_id, count(*) as n_turns,
 from c group by conv_id"""
 
 
-ORACLES = {"op1_secret_scan": secret_scan(), "op8_chat": chat_format()}
+def license_scan() -> str:
+    """All lines against all statements, without anything dropped before."""
+    scan = licenses.Scan()
+    values = ", ".join(f"({k}, {_quote(name)}, {_quote(term)}, {n})"
+                       for k, (name, counts) in enumerate(scan.statements) for term, n in counts.items())
+    top = "(doc_id // 4096) || '/' || (doc_id // 64)"
+    return rf"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text,
+         case when doc_id % 64 = 0 then {top} || '/LICENSE'
+              when doc_id % 4 = 0 then {top} || '/' || (doc_id // 4) || '/LICENSE.txt'
+              else {top} || '/' || (doc_id // 4) || '/' || doc_id || '.txt' end as path
+  from documents),
+s(statement, license, term, n) as (values {values}),
+l as (select distinct rid, unnest(string_split(lower(text), chr(10))) as line from d),
+lines as (select row_number() over () as lid, rid, line from l),
+w as (select lid, rid, unnest(regexp_extract_all(line, '{licenses.TERM}')) as term from lines),
+idf as (select term, 1 + ln((1 + (select count(*) from d)) / (1 + count(distinct rid))::double) as idf
+        from (select distinct term from s) left join w using (term) group by term),
+a as (select lid, rid, term, count(*) as n from w group by all),
+aw as (select lid, rid, term, a.n * coalesce(idf, 1 + ln((1 + (select count(*) from d))::double)) as weight
+       from a left join idf using (term)),
+an as (select lid, sqrt(sum(weight * weight)) as size from aw group by lid),
+bw as (select statement, license, term, s.n * idf as weight from s join idf using (term)),
+bn as (select statement, sqrt(sum(weight * weight)) as size from bw group by statement),
+dots as (select lid, rid, statement, license, sum(aw.weight * bw.weight) as dot
+         from aw join bw using (term) group by all),
+c as (select rid, license, dot / (an.size * bn.size) as cosine
+      from dots join an using (lid) join bn using (statement)),
+own as (select rid, arg_min(license, (-round(cosine, 9), license)) as own_license, max(round(cosine, 9)) as score
+        from c where cosine >= {scan.cosine} group by rid),
+f as (select d.*, own_license, score, regexp_replace(path, '/[^/]*$', '') as dir from d left join own using (rid)),
+named as (select dir, arg_min(own_license, (-score, own_license, path)) as license,
+                 arg_min(path, (-score, own_license, path)) as by_path
+          from f where own_license is not null and regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENSE_FILE}')
+          group by dir),
+above as (select rid, k, array_to_string(string_split(dir, '/')[1:k], '/') as dir
+          from (select rid, dir, unnest(range(0, len(string_split(dir, '/')) + 1)) as k from f)),
+near as (select rid, arg_max(license, k) as license, arg_max(by_path, k) as by_path
+         from above join named using (dir) group by rid)
+select doc_id, path, own_license, round(score, 6) as score, coalesce(own_license, license) as license,
+       case when own_license is not null then path else by_path end as licensed_by
+from f left join near using (rid)"""
+
+
+def warc_audit(levels: int = 8) -> str:
+    """Both trees level by level, and all records compared with each other."""
+    def tree(side: str) -> str:
+        out = [f"""{side}0 as (
+  select file, "offset" // {warc.RANGE_BYTES} as node, min("offset") as a, max("offset" + length) as b, count(*) as n,
+         sha256(string_agg("offset" || ':' || length || ':' || digest, chr(10) order by "offset", digest, length)) as hash
+  from {side} group by all)"""]
+        for k in range(levels):
+            out.append(f"""{side}{k + 1} as (
+  select file, node // {warc.FANOUT} as node, min(a) as a, max(b) as b, sum(n)::bigint as n,
+         sha256(string_agg(node || ':' || a || ':' || b || ':' || hash, chr(10) order by node)) as hash
+  from {side}{k} group by file, node // {warc.FANOUT})""")
+        roots = " union all ".join(f"select file, n, b, hash, {k + 1} as level from {side}{k + 1}" for k in range(levels))
+        return ",\n".join([*out, f"{side}_root as (select * from ({roots}) where level = (select height from h))"])
+    head = (r"'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e"
+            r" || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e")
+    return f"""
+with r as (select page_id, printf('pages-%06d.warc', page_id // {warc.FILE_RECORDS}) as file,
+                  {head} || coalesce(html, '') || e || e as record
+           from pages, (select chr(13) || chr(10) as e)),
+o as (select *, strlen(record) as length, coalesce(sum(strlen(record)) over (
+        partition by file order by page_id, record rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from r),
+ours as (select page_id, file, "offset", length, sha256(record) as digest from o),
+theirs as (select page_id, file, "offset", length, sha256(
+             case when page_id % 97 = 13 then left(record, length(record) - 5) || '~' || right(record, 4) else record end) as digest
+           from o where page_id % 193 <> 101),
+h as (select greatest(1, ceil(log(max("offset") // {warc.RANGE_BYTES} + 1) / log({warc.FANOUT}) - 1e-9)) as height from o),
+{tree("ours")},
+{tree("theirs")},
+bad as (select ours.file, count(*) as n, string_agg(ours.page_id, ',' order by ours.page_id) as page_ids,
+               string_agg(ours."offset", ',' order by ours."offset") as offsets
+        from ours left join theirs using (page_id) where theirs.digest is null or theirs.digest <> ours.digest group by 1)
+select u.file, u.n as n_records, u.b::bigint as n_bytes, u.hash as our_root, t.hash as their_root,
+       u.hash is not distinct from t.hash as intact, coalesce(bad.n, 0) as n_damaged,
+       coalesce(page_ids, '') as page_ids, coalesce(offsets, '') as offsets
+from ours_root u left join theirs_root t using (file) left join bad using (file)"""
+
+
+def near_vectors() -> str:
+    """All pairs of a label, and everything that can be reached."""
+    return """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+pairs as (select a.vec_id, b.vec_id as other from v a join v b
+          on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id, vec_id as other from v
+          union select r.vec_id, p.other from reach r join pairs p on p.vec_id = r.other),
+c as (select vec_id, min(other) as component_id from reach group by 1),
+n as (select vec_id, count(*) as n_links from pairs group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from c left join n using (vec_id)"""
+
+
+ORACLES = {
+    "op1_secret_scan": secret_scan(),
+    "op3_license_scan": license_scan(),
+    "op4_warc_audit": warc_audit(),
+    "op7_near_vectors": near_vectors(),
+    "op8_chat": chat_format(),
+}

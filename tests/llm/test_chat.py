@@ -5,8 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from checks.compare import difference
-from faregrid.llm import chat, queries
+from faregrid.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 EVENTS = "conv_id long, message long, seq long, kind string, text string"
@@ -59,7 +58,3 @@ def test_odd_conversations(spark):
 def test_empty_table(spark):
     events = chat.conversation_events(spark.createDataFrame([], SCHEMA))
     assert chat.read_back(chat.render(chat.fold(events))).count() == 0
-
-
-def test_query_against_sql(spark, sf_dir):
-    assert difference(queries.op8_chat(spark, sf_dir), sf_dir, queries.ORACLES["op8_chat"]) is None
