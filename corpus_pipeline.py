@@ -37,8 +37,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and whether decoding gives its text back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
-    return decoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), path, decoded="decoded")
+    return encoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                           (F.col("decoded") == common.whole_text()).alias("round_trip"))
 
 

@@ -31,7 +31,7 @@ from tokenizers import pre_tokenizers
 from faregrid.llm import common
 
 #: Units that a worker remembers; beyond that it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Unicode's white space, and the word pattern of byte-level vocabularies.
 SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
@@ -304,7 +304,8 @@ class Vocabulary:
             self.known.clear()
         new = {u for parts in units for part in parts if isinstance(part, list) for u in part}.difference(self.known)
         if new:
-            self.learn(new)
+            with common.uncollected():
+                self.learn(new)
         known = self.known
         return [b"".join(b"".join([known[u] for u in part]) if isinstance(part, list) else np.int32(part).tobytes()
                          for part in parts) for parts in units]
@@ -322,6 +323,14 @@ class Vocabulary:
         place = np.repeat(np.append(self.offsets, 0)[ids] - (ends - lengths), lengths)
         return self.data[place + np.arange(len(place))], lengths
 
+    def texts(self, column: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids."""
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        data, lengths = self.decode(column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        raw = data.tobytes()
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
+
 
 @lru_cache(maxsize=2)
 def vocabulary(file: str) -> Vocabulary:
@@ -333,12 +342,14 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
-def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """`docs` with the column `ids` (array of int): the tokens of `text`.
+def encode(docs: DataFrame, path: str, ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """`docs` with the column `ids` (array of int): the tokens of `text`; and, if a name is given,
+    the column `decoded`: the text that these ids stand for, decoded in the same pass.
 
     The vocabulary file (a few MB) is read by the driver and sent to the workers.
     """
-    kept = common.kept_columns(docs, [ids])
+    added = [ids] if decoded is None else [ids, decoded]
+    kept = common.kept_columns(docs, added)
     at = kept.index("text")
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
@@ -350,12 +361,14 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 rows = words.encode([t.decode() for t in texts])
                 ends = np.cumsum([0] + [len(r) // 4 for r in rows], dtype=np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+                new = [column] if decoded is None else [column, words.texts(column)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(done, len(texts)) for c in batch.columns), column], names=[*kept, ids])
+                    [*(c.slice(done, len(texts)) for c in batch.columns), *new], names=[*kept, *added])
                 done += len(texts)
 
+    kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
     return common.map_arrow(docs.select(*map(common.quoted, kept)), step,
-                            common.extended(docs, kept, [(ids, T.ArrayType(T.IntegerType()))]))
+                            common.extended(docs, kept, list(zip(added, kinds))))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -373,14 +386,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
             # Pieces of a million ids; a longer row is one piece.
             piece = np.cumsum(sizes) // (1 << 20)
             for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(piece)) + 1) if len(sizes) else ():
-                own = column.slice(int(rows[0]), len(rows))
-                data, lengths = words.decode(own.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64))
-                ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes[rows])))]
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(int(rows[0]), len(rows)) for c in batch.columns),
-                     pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.string())],
-                    names=[*kept, text])
+                own = [c.slice(int(rows[0]), len(rows)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*own, words.texts(own[at])], names=[*kept, text])
 
     return common.map_arrow(encoded.select(*map(common.quoted, kept)), step,
                             common.extended(encoded, kept, [(text, T.StringType())]))

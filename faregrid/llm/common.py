@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,19 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[byte
         yield out
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Many short-lived tuples would start Python's collector again and again over large caches
+    that hold no cycles: it rests meanwhile."""
+    resting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if resting:
+            gc.enable()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit hashes so that any of their bits may be used."""
     h = h ^ (h >> np.uint64(32))

@@ -30,8 +30,7 @@ def op1_secret_scan(spark, sf):
 
 def op2_bpe(spark, sf):
     path = public_tokenizers.path(BYTE_BPE)
-    encoded = bpe.encode(_documents(spark, sf).select("doc_id", "text"), path).select("doc_id", "ids")
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(_documents(spark, sf).select("doc_id", "text"), path, decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -68,6 +68,7 @@ def test_operator(spark, library):
     docs = with_clashes(odd_documents(spark), "ids", "decoded", "token")
     rows = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert len(rows) == docs.count()
+    assert sorted(map(str, rows)) == sorted(map(str, bpe.encode(docs, PATH, decoded="decoded").collect()))
     for r in rows:
         assert r.decoded == (r.text or "") and r.token == "own"
         assert list(r.ids) == library.encode(r.text or "", add_special_tokens=False).ids
