@@ -10,14 +10,16 @@ A shard is one binary value (little-endian; layout in `pack`) in a Parquet file,
 and commits the files on any file system and a lost task leaves nothing behind.
 
 Cases: a null or empty text has the end id alone; documents without id come first; documents of
-the same id follow each other in the order of their texts; a document longer than a shard is a
+the same id follow each other in the order of a hash of their texts; a document longer than a shard is a
 shard of its own; an empty table gives no shard.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,17 +31,23 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from faregrid.llm import common
-from faregrid.llm.bpe import read_vocabulary
+from faregrid.llm.bpe import byte_letters, read_vocabulary
 
 MAGIC = b"RPR1"
 HEAD = struct.Struct("<4sIQQQQ")
 SHARD_IDS = 1 << 20
 #: Chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 900_000
-#: A pair has to occur so often to become a rule; a round has to remove this share of a sequence.
+REMEMBERED = 1_400_000
+#: A pair has to occur so often to become a rule; a round that removes less than this share of a
+#: sequence is the last.
 LEAST_COUNT = 4
-LEAST_GAIN = 0.08
-SLOT_BITS = 20
+LEAST_GAIN = 0.12
+SLOT_BITS = 18
+
+
+#: Chunks of these letters alone are one word that normalising leaves as it is, so the library's
+#: model may be asked directly: a to z, and the small letters of two bytes from U+00DF to U+00FF.
+SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 # Ids of texts
@@ -56,6 +64,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
@@ -66,7 +75,8 @@ class ChunkEncoder:
         new = set()
         for row in chunks:
             new.update(row)
-        self._learn(new.difference(known))
+        with common.uncollected():
+            self._learn(new.difference(known))
         return [b"".join([known[c] for c in row]) for row in chunks]
 
     def _learn(self, chunks: set[bytes]) -> None:
@@ -79,7 +89,14 @@ class ChunkEncoder:
                 if core[-1:].isalnum():
                     ended[chunk] = core, chunk[len(core):]
         cores = {part for pair in ended.values() for part in pair}
-        plain = list((chunks.difference(ended) | cores).difference(known))
+        plain = []
+        tokenize = self.tokenizer.model.tokenize
+        for chunk in (chunks.difference(ended) | cores).difference(known):
+            if SIMPLE.fullmatch(chunk):
+                word = chunk.decode("latin-1").translate(self.letters)
+                known[chunk] = array("I", [token.id for token in tokenize(word)]).tobytes()
+            else:
+                plain.append(chunk)
         for i in range(0, len(plain), 256):
             some = plain[i:i + 256]
             words = [c.decode() for c in some]
@@ -133,8 +150,9 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         hits = hits[(order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0]
         used = np.bincount(slot[hits], minlength=n_slots)
         hits = hits[used[slot[hits]] >= LEAST_COUNT]
-        if len(hits) < LEAST_GAIN * len(seq):
+        if not len(hits):
             break
+        enough = len(hits) >= LEAST_GAIN * len(seq)
         made = np.flatnonzero(used >= LEAST_COUNT)
         name = np.zeros(n_slots, np.int64)
         name[made] = symbols + np.arange(len(made))
@@ -145,6 +163,8 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         stays = np.ones(len(seq), bool)
         stays[hits + 1] = False
         seq = seq[stays]
+        if not enough:
+            break
     none = np.empty(0, np.int64)
     return base, np.concatenate([none, *left]), np.concatenate([none, *right]), seq
 
@@ -245,7 +265,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, shar
 
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
-            for texts in common.text_slices(batch.column(1)):
+            for texts in common.text_slices(batch.column(1), 4 * common.SLICE_BYTES):
                 for row in words.encode(texts):
                     if rows and size + len(row) // 4 >= shard_ids:
                         yield filled()
@@ -258,8 +278,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, shar
             yield filled()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    common.map_arrow(ordered, step, "part int, shard int, n_ids long, doc_ids array<long>, data binary").write.parquet(path)
+    ordered = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    # The hash lets documents of one id, or without any, be dealt to several ranges.
+    ordered = ordered.repartitionByRange(n, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
+    common.map_arrow(ordered.select("doc_id", "text"), step, "part int, shard int, n_ids long, doc_ids array<long>, data binary").write.parquet(path)
 
 
 def read_ids(files: DataFrame) -> DataFrame:

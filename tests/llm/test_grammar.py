@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import empty_documents, odd_documents
+from pyspark.sql import functions as F
 from test_bpe import texts
 from tokenizers import Tokenizer
 
@@ -54,7 +55,7 @@ def test_frequent_pairs_become_rules():
 
 def expected(docs, library):
     start = 0
-    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode())):
+    for r in docs.orderBy("doc_id", F.xxhash64("text"), "text").collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids + [2]
         yield r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
