@@ -45,8 +45,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: A PEM key from BEGIN through END. Where END is missing: its headers and its base64 up to the last
+#: long run, and what is left of a line behind that. There are no loops over groups without a
+#: bound, as Java would follow them by recursion.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[\t\n\r\x20\\nr\"'>#]{0,8}(?:Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]{1,100}){0,4}"
+    r"(?:[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|[A-Za-z0-9+/=\t\n\r\x20\\\"'>#]*[A-Za-z0-9+/]{40}[A-Za-z0-9+/]*={0,2}(?:(?:\r?\n|\\n)[\t\x20]{0,40}[A-Za-z0-9+/]{1,76}={0,2})?"
+    r"|)")
 RULES = BASE + (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}[.]eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]+"),

@@ -70,6 +70,28 @@ def test_query_digests(spark, docs, tmp_path):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(k) for s in own) for k in ("assign", "access", "hex")]
 
 
+BODY = "\n".join("MIIEpAIBAAKCAQEA" + "q7Zx+/Wd" * 6 for _ in range(5)) + "\nc0ffeeQ="
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("text, masked", [
+    (f"a\n{BEGIN}\n{BODY}\n{END}\nb", "a\n[SECRET]\nb"),
+    (f"a {BEGIN}\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,3F17F5316E2BAC89\n\n{BODY}\n{END} b", "a [SECRET] b"),
+    (f"{{\"key\": \"{BEGIN}\\n{BODY}\\n{END}\\n\"}}".replace("\n", "\\n"), "{\"key\": \"[SECRET]\\n\"}"),
+    (f"{BEGIN}\n{BODY}\n, the rest stays", "[SECRET]\n, the rest stays"),
+    (f"{BEGIN}\n{BODY}\n{BEGIN}\n{BODY}\n{END}.", "[SECRET]\n[SECRET]."),
+    (f"{BEGIN} is how a key begins", "[SECRET] is how a key begins"),
+    (f"{BEGIN}\n" + "A" * 64 + ("\n" + "B" * 64) * 20_000 + "\n", "[SECRET]\n"),
+    (f"{BEGIN}\n" + "x y " * 50_000 + ".", "[SECRET]\n" + "x y " * 50_000 + ".")])
+def test_whole_private_keys(spark, text, masked):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.text for r in secrets.mask_secrets(docs).collect()] == [masked]
+
+
+def test_private_key_query():
+    assert trigram_query(secrets.PRIVATE_KEY) == trigram_query(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+
+
 def test_empty_table(spark):
     assert secrets.find_secrets(empty_documents(spark)).count() == 0
 
