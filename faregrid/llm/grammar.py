@@ -56,7 +56,9 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, each different chunk between white space once.
 
     Fits vocabularies whose words never reach over white space, where ids of a text are the ids
-    of its chunks, and that ignore case.
+    of its chunks, and that ignore case. Chunks of ASCII letters are shared in either case. Others
+    reach the library as they are: it composes letters and marks before it lowers them, and finds
+    special tokens, which begin with "<|", in their own case only.
     """
 
     def __init__(self, file: str):
@@ -70,7 +72,7 @@ class ChunkEncoder:
         """The ids of each text as 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        chunks = [text.lower().split() for text in texts]
+        chunks = [self._chunks(text) for text in texts]
         known = self.known
         new = set()
         for row in chunks:
@@ -79,6 +81,14 @@ class ChunkEncoder:
             self._learn(new.difference(known))
         return [b"".join([known[c] for c in row]) for row in chunks]
 
+    @staticmethod
+    def _chunks(text: bytes) -> list[bytes]:
+        lowered = text.lower().split()
+        special = b"<|" in text
+        if special or not text.isascii():
+            return [b if b.isascii() and not (special and b"<|" in b) else a for a, b in zip(text.split(), lowered)]
+        return lowered
+
     def _learn(self, chunks: set[bytes]) -> None:
         known = self.known
         # Final marks behind a letter or digit are words of their own.

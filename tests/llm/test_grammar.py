@@ -29,6 +29,15 @@ def test_ids_of_chunks(library):
     assert [np.frombuffer(f, np.uint32).tolist() for f in found] == want
 
 
+def test_case_of_special_tokens_and_marked_letters(library):
+    every = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b <|EndOfText|>.", "<|STARTOFTEXT|>A", "A<|endoftext|>B", "<| ENDOFTEXT |>",
+             "J\u030c", "H\u0331 x", "T\u0308.", "W\u030aW\u030A", "j\u030c h\u0331 t\u0308 w\u030a", "ÀB É́ A\u0300B\u0301 ΑΣ ΑΣ. İI"]
+    every += [" ".join(every), "\n".join(t.lower() for t in every), "<|endoftext|> J\u030c Plain WORDS"]
+    found = grammar.ChunkEncoder(read_vocabulary(PATH)).encode([t.encode() for t in every])
+    want = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
+    assert [np.frombuffer(f, np.uint32).tolist() for f in found] == want
+
+
 @pytest.mark.parametrize("ids", [
     [], [5], [5, 5], [7] * 1001, [1, 2] * 600, list(range(3000)), [0, 1, 2, 3] * 50 + [9] * 7 + [1, 2] * 9,
     [random.Random(1).randrange(6) for _ in range(5000)], [70_000, 2 ** 31 - 1] * 40])
