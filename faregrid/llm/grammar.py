@@ -2,7 +2,7 @@
 
 Documents are encoded in ascending order of their id, an end id after each, and cut into shards
 of consecutive documents. In each shard frequent pairs of ids are replaced by new symbols, again
-and again, until a round shortens the sequence too little. A shard keeps the rules, the length
+and again, until no pair is frequent. A shard keeps the rules, the length
 that each symbol expands to, the remaining sequence and the documents' lengths, so that any range
 of ids is found by lengths alone and only the symbols that touch it are expanded.
 
@@ -38,10 +38,8 @@ HEAD = struct.Struct("<4sIQQQQ")
 SHARD_IDS = 1 << 20
 #: Chunks that a worker remembers; beyond that it starts anew.
 REMEMBERED = 1_400_000
-#: A pair has to occur so often to become a rule; a round that removes less than this share of a
-#: sequence is the last.
+#: A pair has to occur so often, without overlaps, to become a rule.
 LEAST_COUNT = 4
-LEAST_GAIN = 0.12
 SLOT_BITS = 18
 
 
@@ -129,54 +127,99 @@ def encoder(file: str) -> ChunkEncoder:
 
 # Grammars
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct codes, each code's place among them).
+
+    A slot speaks for one of the codes that fall into it; the others are dealt anew by another factor.
+    """
+    n_slots = 1 << SLOT_BITS
+    place = np.empty(len(codes), np.int64)
+    left, distinct, n = np.arange(len(codes)), [np.empty(0, np.int64)], 0
+    holds, number = np.empty(n_slots, np.int64), np.empty(n_slots, np.int64)
+    factor = 0x9E3779B97F4A7C15
+    while len(left):
+        own = codes[left]
+        slot = ((own.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        holds[slot] = own
+        met = holds[slot] == own
+        taken = np.zeros(n_slots, bool)
+        taken[slot] = True
+        taken = np.flatnonzero(taken)
+        number[taken] = n + np.arange(len(taken))
+        distinct.append(holds[taken])
+        n += len(taken)
+        place[left[met]] = number[slot[met]]
+        left = left[~met]
+        factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
+    return np.concatenate(distinct), place
+
+
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first new symbol, the rules' left and right symbols, the remaining sequence).
 
-    Each round counts all pairs in a table of slots; a slot speaks for the pair that it holds.
-    Where replacements would overlap, the more frequent pair wins; runs of one pair are replaced
-    at every other place.
+    Each round counts the pairs exactly, in a run of one symbol every other place, and replaces all
+    that are more frequent than their neighbours (of equal ones, the one with the higher number).
+    So the most frequent pair is always replaced, and at the end none has LEAST_COUNT places. Rounds
+    leave out places whose pair was too rare, until no other is left; then all are counted again, as
+    a rule used once more can make a rare pair frequent.
     """
     seq = ids.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 1
-    left, right, symbols = [], [], base
-    n_slots = 1 << SLOT_BITS
-    holds = np.empty(n_slots, np.int64)
-    while len(seq) > 2:
-        codes = (seq[:-1] << 32) | seq[1:]
-        slot = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        holds[slot] = codes
-        count = np.bincount(slot, minlength=n_slots)
-        # Slots that are too rare, or whose pair differs, take no part.
-        weight = np.where(holds[slot] == codes, count[slot], 0)
-        weight[weight < LEAST_COUNT] = 0
-        best = weight > 0
-        best[1:] &= weight[1:] >= weight[:-1]
-        best[:-1] &= weight[:-1] >= weight[1:]
-        hits = np.flatnonzero(best)
-        if not len(hits):
-            break
-        order = np.arange(len(hits))
-        begins = np.concatenate(([True], np.diff(hits) > 1))
-        hits = hits[(order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0]
-        used = np.bincount(slot[hits], minlength=n_slots)
-        hits = hits[used[slot[hits]] >= LEAST_COUNT]
-        if not len(hits):
-            break
-        enough = len(hits) >= LEAST_GAIN * len(seq)
+    # Some places of a pair may be taken in a later round, by the same rule.
+    rules, symbols = {}, base
+    # Places whose pair may be frequent.
+    open_ = np.ones(max(len(seq) - 1, 0), bool)
+    while True:
+        at = np.flatnonzero(open_)
+        whole = len(at) == len(open_)
+        first, second = seq[at], seq[at + 1]
+        distinct, pair = _numbered((first << 32) | second)
+        # Of a run of places with one symbol twice, every other one counts.
+        counts_here = np.ones(len(at), bool)
+        twice = np.flatnonzero(first == second)
+        if len(twice):
+            order = np.arange(len(twice))
+            begins = np.concatenate(([True], (np.diff(at[twice]) > 1) | (np.diff(pair[twice]) != 0)))
+            counts_here[twice] = (order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0
+        count = np.bincount(pair[counts_here], minlength=len(distinct))
+        frequent = count[pair] >= LEAST_COUNT
+        open_[at[~frequent]] = False
+        at, pair, counts_here = at[frequent], pair[frequent], counts_here[frequent]
+        if not len(at):
+            if whole:
+                break
+            open_[:] = True
+            continue
+        weight = count[pair] * len(distinct) + pair
+        best = counts_here.copy()
+        close = np.diff(at) == 1
+        best[1:] &= ~close | (weight[1:] >= weight[:-1])
+        best[:-1] &= ~close | (weight[:-1] >= weight[1:])
+        used = np.bincount(pair[best], minlength=len(distinct))
         made = np.flatnonzero(used >= LEAST_COUNT)
-        name = np.zeros(n_slots, np.int64)
-        name[made] = symbols + np.arange(len(made))
-        left.append(holds[made] >> 32)
-        right.append(holds[made] & 0xFFFFFFFF)
-        symbols += len(made)
-        seq[hits] = name[slot[hits]]
+        best &= used[pair] >= LEAST_COUNT
+        hits = at[best]
+        name = np.zeros(len(distinct), np.int64)
+        codes = distinct[made].tolist()
+        new = [code for code in codes if code not in rules]
+        rules.update(zip(new, range(symbols, symbols + len(new))))
+        symbols += len(new)
+        name[made] = [rules[code] for code in codes]
+        seq[hits] = name[pair[best]]
         stays = np.ones(len(seq), bool)
         stays[hits + 1] = False
-        seq = seq[stays]
-        if not enough:
-            break
-    none = np.empty(0, np.int64)
-    return base, np.concatenate([none, *left]), np.concatenate([none, *right]), seq
+        # The places of a new symbol and before it hold new pairs.
+        open_[hits] = True
+        open_[hits[hits > 0] - 1] = True
+        before = hits[hits > 1]
+        before = before[~stays[before - 1]]
+        open_[before - 2] = True
+        open_ = np.concatenate((open_, [False]))
+        last = hits[hits + 2 == len(seq)]
+        open_[last] = False
+        seq, open_ = seq[stays], open_[stays][:-1]
+    codes = np.array(list(rules), np.int64)
+    return base, codes >> 32, codes & 0xFFFFFFFF, seq
 
 
 class Grammar:

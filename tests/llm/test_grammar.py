@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -62,6 +63,33 @@ def test_frequent_pairs_become_rules():
     assert (np.maximum(left, right) < base + np.arange(len(left))).all()
 
 
+def places(seq):
+    """How often each pair occurs; in a run of one symbol every other place counts."""
+    out, skip = Counter(), False
+    for k, pair in enumerate(zip(seq, seq[1:])):
+        skip = not skip and k > 0 and pair[0] == pair[1] == seq[k - 1]
+        out[pair] += not skip
+    return out
+
+
+@pytest.mark.parametrize("n, kinds", [(20_000, 40), (20_000, 3), (300_000, 60_000), (3000, 1)])
+def test_no_frequent_pair_is_left(n, kinds):
+    rng = np.random.default_rng(n + kinds)
+    ids = np.minimum(rng.zipf(1.3, n), kinds).astype(np.uint32)
+    base, left, right, seq = grammar.compress(ids)
+    assert max(places(seq.tolist()).values(), default=0) < grammar.LEAST_COUNT
+    assert len(set(zip(left.tolist(), right.tolist()))) == len(left)
+    g = grammar.Grammar(base, left, right, grammar.expansion_lengths(base, left, right), seq)
+    assert (g.ids() == ids).all()
+
+
+def test_colliding_pairs_are_counted():
+    codes = np.random.default_rng(3).integers(0, 1 << 62, 400_000)
+    codes = np.concatenate((codes, codes))
+    distinct, place = grammar._numbered(codes)
+    assert len(np.unique(distinct)) == len(distinct) and (distinct[place] == codes).all()
+
+
 def expected(docs, library):
     start = 0
     for r in docs.orderBy("doc_id", F.xxhash64("text"), "text").collect():
