@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from faregrid.llm import (
-    bpe, chat, common, grammar, licenses, mixing, quality, secrets, simhash, vectors, warc)
+    bpe, chat, classifier, common, grammar, licenses, mixing, quality, secrets, simhash, vectors, warc)
 from faregrid.llm.oracles import ORACLES  # noqa: F401
 from faregrid.session import scratch_dir
 
@@ -103,6 +103,10 @@ def op10_source_mix(spark, sf):
     return mixing.taken(_documents(spark, sf))
 
 
+def op11_quality_classifier(spark, sf):
+    return classifier.classify(_documents(spark, sf).select("doc_id", "text"), common.read_table(spark, sf, "labels")).drop("text")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
@@ -114,4 +118,5 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_source_mix": op10_source_mix,
+    "op11_quality_classifier": op11_quality_classifier,
 }

@@ -25,6 +25,14 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes: differences of prefix sums of a polynomial."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts])
+
+
 class Words:
     """The words of a list of texts.
 
@@ -53,8 +61,5 @@ class Words:
         return np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[self.offsets])
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: differences of prefix sums of a polynomial."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * _power(_INVERSE, n)[self.starts])
+        """A 64-bit hash of each word's bytes."""
+        return span_hashes(self.data, self.starts, self.ends)

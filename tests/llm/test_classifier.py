@@ -1,0 +1,127 @@
+"""The classifier against plain Python, and on labels it has not seen."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import empty_documents, odd_documents, with_clashes
+
+from faregrid.llm import classifier, common
+from faregrid.llm.classifier import Classifier
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def shape(word):
+    kinds = re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", re.sub(rb"[0-9]", b"0", word.encode())))
+    return re.sub(rb"(?s)(.)\1+", rb"\1", kinds)
+
+
+def plain_features(text):
+    """Counts of the named features of a text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    shapes = [*map(shape, words)]
+    found = Counter(("word", w) for w in words)
+    found.update(("pair", p) for p in zip(words, words[1:]))
+    found.update(("shape", s) for s in shapes)
+    found.update(("shapes", p) for p in zip(shapes, shapes[1:]))
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    if again:
+        found["again"] = again
+    return found
+
+
+TEXTS = ["", None, "a", "A a B!! b", "go go go stop 12 345 é中 x", "Ab1!!?? Ab1!!?? " * 9, "the end. the end\x0b of it"]
+
+
+def test_features_are_the_named_ones():
+    model = Classifier(buckets=1 << 30)
+    owner, _, values = classifier.features([(t or "").encode() for t in TEXTS], model)
+    for k, text in enumerate(TEXTS):
+        want = [1 + math.log(n) for n in plain_features(text).values()]
+        length = math.sqrt(sum(v * v for v in want))
+        assert sorted(values[owner == k]) == pytest.approx(sorted(v / length for v in want))
+
+
+def plain_training(rows, model):
+    """One shard after the other, one feature after the other."""
+    state = {}
+    for _ in range(model.rounds):
+        ends = []
+        for shard in range(model.shards):
+            own = {k: list(v) for k, v in state.items()}
+            used = False
+            for features, label in rows.get(shard, []):
+                used = True
+                weight = {}
+                for at in features:
+                    z, n = own.setdefault(at, [0.0, 0.0])
+                    weight[at] = 0.0 if abs(z) <= model.l1 else (
+                        -(z - math.copysign(model.l1, z)) / ((model.beta + math.sqrt(n)) / model.alpha + model.l2))
+                p = 1 / (1 + math.exp(-sum(weight[at] * v for at, v in features.items())))
+                for at, v in features.items():
+                    g, n = (p - label) * v, own[at][1]
+                    own[at][0] += g - (math.sqrt(n + g * g) - math.sqrt(n)) / model.alpha * weight[at]
+                    own[at][1] += g * g
+            if used:
+                ends.append(own)
+        state = {k: [sum(e.get(k, [0, 0])[i] for e in ends) / len(ends) for i in (0, 1)] for e in ends for k in e}
+    return state
+
+
+def test_training_matches_plain_python(spark):
+    model = Classifier(buckets=1 << 12, shards=3, rounds=3)
+    docs = spark.createDataFrame([(k, f"word{k % 5} and {'!! ' * (k % 3)}more of {k % 7} go go") for k in range(60)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), 0) for k in range(60)] + [(3, 0, 0), (4, None, 0), (5, 7, 0)], LABELS)
+    state = classifier.train(docs, labels, model)
+    sample = classifier.training_rows(docs, labels, model).orderBy("shard", "place").collect()
+    assert {r.doc_id for r in sample} == {k for k in range(60) if zlib.crc32(str(k).encode()) % 5}
+    assert {r.label for r in sample if r.doc_id == 3} <= {0.5}
+    rows = {}
+    for r in sample:
+        rows.setdefault(r.shard, []).append((dict(zip([*r.buckets, model.buckets], [*r["values"], 1.0])), r.label))
+    want = plain_training(rows, model)
+    for at, (z, n) in want.items():
+        assert (state.z[at], state.n[at]) == (pytest.approx(z), pytest.approx(n))
+    assert np.count_nonzero(state.n) == len(want)
+
+
+def test_every_row_is_scored_once(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(None, 1, 0), (9999, 1, 0)], LABELS)
+    state = classifier.train(docs, labels)
+    rows = classifier.score(docs.repartition(3), state).collect()
+    assert len(rows) == docs.count()
+    weights = state.weights(Classifier())
+    for r in rows:
+        assert r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0)
+        owner, bucket, values = classifier.features([(r.text or "").encode()], Classifier())
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(weights[bucket] @ values + weights[-1]))))
+        assert r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+
+
+def test_partitions_do_not_matter(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], LABELS)
+    one, other = (classifier.train(docs.repartition(n), labels.repartition(n)) for n in (1, 5))
+    assert (one.z == other.z).all() and (one.n == other.n).all()
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    none = spark.createDataFrame([], LABELS)
+    assert classifier.classify(empty_documents(spark), none).count() == 0
+    docs = with_clashes(odd_documents(spark, 20), "score", "held_out", "predicted", "label", "place", "shard", "quality")
+    rows = classifier.classify(docs, none).collect()
+    assert len(rows) == docs.count() and all(r.score == 0.5 and r.label == "own" for r in rows)
+
+
+@pytest.mark.parametrize("sf, junk_kept", [("sf0.01", 0.2), ("sf0.1", 0.05)])
+def test_held_out_labels(spark, sf_dir, sf, junk_kept):
+    docs, labels = (common.read_table(spark, sf_dir.replace("sf0.001", sf), name) for name in ("documents", "labels"))
+    rows = classifier.classify(docs.select("doc_id", "text"), labels).join(labels, "doc_id").where("held_out").collect()
+    good, junk = ([r.predicted for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(junk) <= junk_kept * len(junk)
