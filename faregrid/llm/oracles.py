@@ -156,10 +156,32 @@ select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component
 from c left join n using (vec_id)"""
 
 
+def ranked_search() -> str:
+    """Every document that holds a term of an item."""
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')," \
+            r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, {terms} as terms from documents),
+held as (select *, len(terms) as n from d where len(terms) > 0),
+c as (select count(*) as docs, sum(n)::bigint as terms from held),
+post as (select rid, term, count(*) as tf from (select rid, unnest(terms) as term from held) group by all),
+df as (select term, count(*) as df from post group by term),
+i as (select row_number() over () as place, item_id, {terms} as terms from (select distinct item_id, text from benchmark)),
+q as (select place, item_id, term, count(*) as q from (select place, item_id, unnest(terms) as term from i) group by all),
+scored as (
+  select place, item_id, rid, doc_id,
+         sum(q * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint
+             * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // c.terms))))::bigint as score
+  from q join df using (term) join post using (term) join held using (rid) cross join c group by all),
+r as (select *, row_number() over (partition by place order by score desc, doc_id nulls last) as rank from scored where score > 0)
+select item_id, rank::integer as rank, doc_id, score from r where rank <= 10"""
+
+
 ORACLES = {
     "op1_secret_scan": secret_scan(),
     "op3_license_scan": license_scan(),
     "op4_warc_audit": warc_audit(),
     "op7_near_vectors": near_vectors(),
     "op8_chat": chat_format(),
+    "op12_ranked_search": ranked_search(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from faregrid.llm import (
-    bpe, chat, classifier, common, grammar, licenses, mixing, quality, secrets, simhash, vectors, warc)
+    bpe, chat, classifier, common, grammar, licenses, mixing, quality, search, secrets, simhash, vectors, warc)
 from faregrid.llm.oracles import ORACLES  # noqa: F401
 from faregrid.session import scratch_dir
 
@@ -107,6 +107,10 @@ def op11_quality_classifier(spark, sf):
     return classifier.classify(_documents(spark, sf).select("doc_id", "text"), common.read_table(spark, sf, "labels")).drop("text")
 
 
+def op12_ranked_search(spark, sf):
+    return search.ranked(_documents(spark, sf), common.read_table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
@@ -119,4 +123,5 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_source_mix": op10_source_mix,
     "op11_quality_classifier": op11_quality_classifier,
+    "op12_ranked_search": op12_ranked_search,
 }
