@@ -199,7 +199,7 @@ class Block:
         """`found`, the (-score, no id, id) of earlier blocks, and this one's: the first `top`."""
         docs, begins, bound = self.groups(terms, factors)
         order = np.argsort(-bound, kind="stable")
-        at, some = 0, 4 * top
+        at, some = 0, top
         while at < len(order):
             # Groups of equal bound as the last result may hold one of the same score and a smaller id.
             if bound[order[at]] <= 0 or (len(found) == top and bound[order[at]] < -found[-1][0]):
