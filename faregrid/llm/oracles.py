@@ -177,6 +177,33 @@ r as (select *, row_number() over (partition by place order by score desc, doc_i
 select item_id, rank::integer as rank, doc_id, score from r where rank <= 10"""
 
 
+def phrase_collocations() -> str:
+    """All n-grams of all pieces."""
+    return r"""
+with d as (select coalesce(lang, 'und') as lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+t as (select lang, sum(len(words))::hugeint as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) as phrase
+      from w cross join range(1, 6) r(k) where len(words) >= k),
+f as (select lang, k, phrase, count(*) as a from g group by all having count(*) >= 100),
+s as (select *, string_split(phrase, ' ') as words from f where k > 1),
+spans as (select lang, a, words, k, i, unnest(range(i + 1, k + 1)) as j from (select *, unnest(range(1, k + 1)) as i from s)),
+longer as (select lang, array_to_string(words[i:j], ' ') as phrase, max(a) as most from spans
+           where j - i + 1 between 2 and k - 1 group by all),
+free as (select s.* from s left join longer using (lang, phrase) where most is null or 100 * most < 100 * a),
+cuts as (select lang, phrase, a, words, k, unnest(range(1, k)) as c from free),
+c as (select cuts.lang, cuts.phrase, cuts.a, c, x.a as l, y.a as r, n,
+             (1000::hugeint * cuts.a * n) // (x.a::hugeint * y.a) as score
+      from cuts join f x on x.lang = cuts.lang and x.phrase = array_to_string(words[1:c], ' ')
+           join f y on y.lang = cuts.lang and y.phrase = array_to_string(words[c + 1:cuts.k], ' ')
+           join t on t.lang = cuts.lang),
+b as (select *, row_number() over (partition by lang, phrase order by score, c) as weakest from c),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from b where weakest = 1)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from o where rank <= 2000"""
+
+
 ORACLES = {
     "op1_secret_scan": secret_scan(),
     "op3_license_scan": license_scan(),
@@ -184,4 +211,5 @@ ORACLES = {
     "op7_near_vectors": near_vectors(),
     "op8_chat": chat_format(),
     "op12_ranked_search": ranked_search(),
+    "op13_phrase_collocations": phrase_collocations(),
 }

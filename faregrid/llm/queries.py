@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from faregrid.llm import (
-    bpe, chat, classifier, common, grammar, licenses, mixing, quality, search, secrets, simhash, vectors, warc)
+    bpe, chat, classifier, common, grammar, licenses, mixing, phrases, quality, search, secrets, simhash, vectors,
+    warc)
 from faregrid.llm.oracles import ORACLES  # noqa: F401
 from faregrid.session import scratch_dir
 
@@ -111,6 +112,10 @@ def op12_ranked_search(spark, sf):
     return search.ranked(_documents(spark, sf), common.read_table(spark, sf, "benchmark"))
 
 
+def op13_phrase_collocations(spark, sf):
+    return phrases.collocations(_documents(spark, sf))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
@@ -124,4 +129,5 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
     "op11_quality_classifier": op11_quality_classifier,
     "op12_ranked_search": op12_ranked_search,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
