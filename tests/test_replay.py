@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,58 @@ def test_replicas_match_single(spark):
     assert {r.query_id for r in copies} == {0, 1, 2}
     for q in range(3):
         assert {tuple(r)[1:] for r in copies if r.query_id == q} == single
+
+
+def plain_samples(rows, step):
+    """One source after the other, one checkpoint after the other."""
+    totals = {}
+    for q, t, total in rows:
+        if t is not None:
+            own = totals.setdefault(q, {})
+            own[t] = max(own.get(t, total), total)
+    out = []
+    for q, own in totals.items():
+        last = number = None
+        for t in sorted(own):
+            if last is None:
+                last, number = t, 0
+            elif t - last >= step:
+                number += 1
+                out.append((q, number, (own[t] - own[last]) / (t - last) * 1000.0))
+                last = t
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_samples_match_plain_python(spark, step):
+    """Dense runs, long gaps, times before 0, several groups and levels, sources without a name."""
+    rng = random.Random(step)
+    rows = []
+    for source, n, reach in (("a", 400, 3), ("b", 300, 2.5 * step), ("c", 60, 900 * step), ("d", 1, 1), (None, 50, 70 * step)):
+        t = rng.randrange(-100 * step, 100)
+        for k in range(n):
+            t += rng.randrange(0, int(reach) + 1) if rng.random() < 0.98 else 5000 * step
+            rows += [(source, t, k)] * rng.randrange(1, 3)
+    rows += [("a", None, 5), ("e", None, 1)]
+    df = spark.createDataFrame(rows, "q string, t_ms long, total long").repartition(3)
+    got = throughput.samples_from_checkpoints(df, ["q"], min_interval_ms=step)
+    assert sorted(map(tuple, got.collect()), key=str) == plain_samples(rows, step)
+
+
+def test_one_source_is_spread_over_tasks(spark):
+    """No Python, and every step's groups are bounded by time, not by source."""
+    df = spark.range(40_000).select(F.lit("a").alias("q"), (F.col("id") * 300).alias("t_ms"), F.col("id").alias("total"))
+    got = throughput.samples_from_checkpoints(df, ["q"])
+    assert got.agg(F.count("*"), F.max("sample_no")).first() == (9999, 9999)
+    assert got.agg(F.min("rate"), F.max("rate")).first() == (pytest.approx(4 / 1.2), pytest.approx(4 / 1.2))
+    assert "Arrow" not in got._jdf.queryExecution().toString() and "Python" not in got._jdf.queryExecution().toString()
+    points = df.select(F.struct("q").alias("source"), F.col("t_ms").alias("t"))
+    groups = throughput._linked(throughput._successors(points, 1000), 1000 * throughput.FANOUT)
+    assert groups.agg(F.max(F.size("nodes"))).first()[0] <= 64_000 // 300 + 1
+    assert groups.count() == -(-40_000 * 300 // 64_000)
+
+
+def test_no_checkpoints(spark):
+    none = spark.createDataFrame([], "q string, t_ms long, total long")
+    got = throughput.samples_from_checkpoints(none, ["q"])
+    assert got.columns == ["q", "sample_no", "rate"] and got.count() == 0
