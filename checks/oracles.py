@@ -216,10 +216,46 @@ _ROUND_TRIP = """with s as (
 m as (select user_id, avg(rate) as r from s where n < 3 or (i > 1 and i < n) group by 1)
 select 'run1' as run, round(sum(r), 6) as total_throughput from m"""
 
-_LATE = f"""with {_TRIPS}, last as (select max(ts_ms) as ms from trips)
-select count(*) as late_rows from (
-  select distinct ts_ms // 2000, pickup_cell from trips, last
-  where vendor_id = 'VTS' and trip_distance > 1 and ts_ms < 0.25 * last.ms)"""
+_LATE = f"""with {_TRIPS}, last as (select max(ts_ms) as ms from trips),
+mark as (select max(ts_ms) as ms from trips, last where ts_ms <= 0.75 * last.ms)
+select f.files::integer as files, 1::bigint as batch, seq, ts_ms, pickup_cell, trip_distance
+from trips, last, mark, (values (1), (8)) f(files)
+where ts_ms < 0.25 * last.ms and (ts_ms // 2000 + 1) * 2000 <= mark.ms"""
+
+_HOT = f"""with {_TRIPS}, {_slid()} select window_end, 300 as cell_we, 301 as cell_ns, round(median(gain), 9) as profit
+from slid group by 1"""
+
+_SECONDS = f"lines as (select * exclude (ts_ms), ts_ms // 1000 * 1000 as ts_ms from trips where {_KEPT_17})"
+
+_TEXT_LAST = (f"with {_TRIPS}, {_SECONDS}, {_slid(trips='lines')}, {_LAST} "
+              "select window_end, medallion, cell_we, cell_ns from last")
+
+_LANDED = f"""with {_TRIPS}, {_SECONDS}
+select ts_ms, medallion, fare, row_number() over (partition by ts_ms order by seq) as place from lines"""
+
+_STREAM_TOTALS = f"""with {_TRIPS}, q(query_id) as (values ('distance'), ('profit'))
+select query_id, 3::bigint as batches, (select count(*) + 1 from trips) as total_events from q"""
+
+_STREAM_REPORT = f"""with {_TRIPS}, q(query_id) as (values ('distance'), ('profit'))
+select query_id, 0 as part, 0::bigint as line_no, '--- Subtask ' || query_id || ' Throughput Samples (events/sec) ---' as value from q
+union all select query_id, 2, 0, repeat('-', 53) from q
+union all select query_id, 2, 2, 'Subtask ' || query_id || ' Total Events Emitted: ' || (select count(*) + 1 from trips) from q"""
+
+# A pane lives until the watermark, the latest time, has passed it; then its windows do. The taxis' time is
+# a slide ahead. What is counted or joined leaves its state at once.
+_AUDIT = f"""with {_TRIPS}, wm as (select max(ts_ms) as ms from trips),
+r(k) as (select * from range(1, 16)),
+own as (select *, (ts_ms // 10000 + 1) * 10000 as pane, ts_ms // 10000 * 10000 as t from trips),
+ahead as (select *, (ts_ms // 10000 + 2) * 10000 as pane, ts_ms // 10000 * 10000 + 10000 as t from trips)
+select distinct 1::bigint as operator_id, 'stateStoreSave' as operator, t + 10000 * k as window_end, pickup_we as cell_we, pickup_ns as cell_ns,
+       null::varchar as medallion, null::double as gain from own, r, wm where pane <= wm.ms and t + 10000 * k > wm.ms
+union all select distinct 2, 'stateStoreSave', pane, pickup_we, pickup_ns, null, round(gain, 9) from own, wm where pane > wm.ms
+union all select distinct 4, 'stateStoreSave', t + 10000 * k, null, null, medallion, null from ahead, r, wm where pane <= wm.ms and t + 10000 * k > wm.ms
+union all select distinct 5, 'stateStoreSave', pane, null, null, medallion, null from ahead, wm where pane > wm.ms"""
+
+_CHECKED = f"""with {_TRIPS}, {_slid()}, {_PROFIT}, {_LAST}, {_COUNTS}, {_AREAS},
+pairs as (select window_end, count(*) as pairs from areas group by 1)
+select window_end, count(*) as groups, any_value(pairs) as pairs from counts left join pairs using (window_end) group by 1"""
 
 _CHECKPOINTS = """with c as (select user_id, event_id * 1000 as t_ms, event_id * event_id as total
                           from events),
@@ -307,4 +343,20 @@ ORACLES: dict[str, str] = {
     "stream_text_profitable_areas": _areas(
         _TRIPS + f", kept as (select * from trips where {_KEPT_17})", _slid(trips="kept")),
     "stream_late_rows": _LATE,
+    "stream_on_time_distance": _TRIP_DISTANCE,
+    "stream_text_last_dropoff": _TEXT_LAST,
+    "landed_order": _LANDED,
+    "arrival_stamps": f"with {_TRIPS} select count(*) as n, count(*) as n_stamped from trips where {_KEPT_18}",
+    "stream_emitted_totals": _STREAM_TOTALS,
+    "stream_source_report": _STREAM_REPORT,
+    "stream_state_audit": _AUDIT,
+    "stream_profit_by_cell_hot": _HOT,
+    "stream_profitable_areas_split": _PROFITABLE,
+    "stream_replicated_distance": (
+        f"select cast(q.query_id as integer) as query_id, d.* from ({_TRIP_DISTANCE}) d, range(0, 4) q(query_id)"),
+    "checked_groups": _CHECKED,
+    "discarded_rows": f"select count(*) as n, sum(count)::bigint as trips from ({_TRIP_DISTANCE})",
+    "block_scan_some": (
+        f"with {_TRIPS}, {_cached(_KEPT_17)} "
+        "select block_id, line_no, medallion, cache_idx, cache_n from cached where block_id % 6 = 1"),
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import rendered
@@ -22,8 +23,8 @@ from faregrid.sinks import reports
 from faregrid.sources import blocks, replay, trips as T
 from faregrid.session import scratch_dir
 from faregrid.sources.driver_tables import EVENT_GAP_MS, read_events, trips
-from faregrid.streaming import runs
-from faregrid.streaming.profitability import stream_empty_taxis, stream_median_profit
+from faregrid.streaming import landing, runs, state
+from faregrid.streaming.profitability import stream_empty_taxis, stream_last_dropoffs, stream_median_profit
 
 SLIDING = Sliding()
 CACHE_SIZE = 500
@@ -264,7 +265,7 @@ def _text_stream(spark, sf, vendor: bool, query) -> DataFrame:
     half = lines.agg(F.max("seq")).first()[0] // 2
     for part in (lines.where(F.col("seq") <= half), lines.where(F.col("seq") > half),
                  rendered.last_line(spark, vendor)):
-        part.select("value").coalesce(1).write.mode("append").text(arrived)
+        part.select("value").write.mode("append").text(arrived)
         result = query(runs.stamped_lines(spark, arrived, parse))
         runs.run_available(result, out, checkpoint)
     return spark.read.schema(result.schema).parquet(out)
@@ -278,21 +279,161 @@ def stream_text_profitable_areas(spark, sf):
     return _round(_text_stream(spark, sf, False, P.profitable_areas), "profitability")
 
 
-def stream_late_rows(spark, sf):
-    """Late groups, counted from all micro-batches' progress (one file: aggregated in one task)."""
+def _late_arrivals(spark, sf, files: int) -> str:
+    """Three quarters of the trips, then the first quarter again, then the rest, each in so many files;
+    the folder they were landed in."""
     table = trips(spark, sf).select(*(F.col(f.name).cast(f.dataType) for f in S.DISTANCE_TRIP.fields))
     base = scratch_dir(spark, "late")
-    log = runs.ProgressLog(spark)
     last = table.agg(F.max(F.unix_millis("ts"))).first()[0]
-    queries = []
-    # Three quarters arrive, then the first quarter again (late), then the rest.
-    for k, part in enumerate(("ms <= 0.75 * last", "ms < 0.25 * last", "ms > 0.75 * last")):
-        table.withColumns({"ms": F.unix_millis("ts"), "last": F.lit(last)}).where(part).drop("ms", "last").coalesce(
-            1).write.mode("append").parquet(f"{base}/in")
-        result = trip_distance(runs.read_stream(spark, f"{base}/in", S.DISTANCE_TRIP))
-        queries.append(runs.run_available(result, f"{base}/out", f"{base}/checkpoint"))
-    log.wait_for(*queries)
-    return runs.late_rows(log.close()).select("late_rows")
+    for part in ("ms <= 0.75 * last", "ms < 0.25 * last", "ms > 0.75 * last"):
+        rows = table.withColumns({"ms": F.unix_millis("ts"), "last": F.lit(last)}).where(part).drop("ms", "last")
+        rows.repartition(files).write.mode("append").parquet(f"{base}/in")
+        landing.land_rows(runs.read_stream(spark, f"{base}/in", S.DISTANCE_TRIP), f"{base}/landed", 2000)
+    return f"{base}/landed"
+
+
+def stream_late_rows(spark, sf):
+    """Late rows themselves, as they were before any aggregation; how often each arrived late."""
+    late = [landing.late_rows(spark, _late_arrivals(spark, sf, files), S.DISTANCE_TRIP).withColumn("files", F.lit(files))
+            for files in (1, 8)]
+    return late[0].unionAll(late[1]).select(
+        "files", "batch", "seq", F.unix_millis("ts").alias("ts_ms"), "pickup_cell", "trip_distance")
+
+
+def stream_on_time_distance(spark, sf):
+    """What is on time, streamed on from where it was landed: the late rows change nothing."""
+    landed, base = _late_arrivals(spark, sf, 4), scratch_dir(spark, "on-time")
+    landing.land_end(spark, landed, runs.sentinel(spark, S.DISTANCE_TRIP))
+    result = trip_distance(landing.landed_stream(spark, landed, S.DISTANCE_TRIP))
+    runs.run_available(result, f"{base}/out", f"{base}/checkpoint")
+    return _distance(spark.read.schema(result.schema).parquet(f"{base}/out"))
+
+
+def _landed_lines(spark, sf) -> str:
+    """Plain lines, without arrival or number, in two micro-batches of several files. Drop-off times are
+    whole seconds, so many trips of a second differ by their place alone."""
+    base = scratch_dir(spark, "landed-lines")
+    lines = rendered.trip_lines(read_events(spark, sf), False)
+    half = lines.agg(F.max("seq")).first()[0] // 2
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        lines.where(part).repartitionByRange(4, "seq").sortWithinPartitions("seq").select("value").write.mode(
+            "append").text(f"{base}/in")
+        landing.land_lines(spark, f"{base}/in", f"{base}/landed", T.parse_trips17, F.col("dropoff_ts"), 10_000, order=["file"])
+    return f"{base}/landed"
+
+
+def stream_text_last_dropoff(spark, sf):
+    """The last drop-off by arrival, of trips that share a micro-batch and a second."""
+    landed, base = _landed_lines(spark, sf), scratch_dir(spark, "text-last")
+    landing.land_end(spark, landed, runs.sentinel(spark, S.FARE_TRIP))
+    result = stream_last_dropoffs(landing.landed_stream(spark, landed, S.FARE_TRIP), SLIDING)
+    runs.run_available(result, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(result.schema).parquet(f"{base}/out")
+
+
+def landed_order(spark, sf):
+    """Each landed line's rank by arrival."""
+    rows = spark.read.schema(S.FARE_TRIP).parquet(f"{_landed_lines(spark, sf)}/rows")
+    by_block = Window.partitionBy(F.unix_millis("ts")).orderBy("seq")
+    return rows.select(F.unix_millis("ts").alias("ts_ms"), "medallion", "fare", F.row_number().over(by_block).cast("long").alias("place"))
+
+
+def arrival_stamps(spark, sf):
+    """Lines that arrive now: all are stamped, with times from while the stream ran."""
+    base = scratch_dir(spark, "now")
+    rendered.trip_lines(read_events(spark, sf), True).select("value").write.text(f"{base}/in")
+    before = spark.sql("select unix_millis(current_timestamp())").first()[0]
+    runs.run_available(runs.arriving_lines(spark, f"{base}/in", T.parse_trips18), f"{base}/out", f"{base}/checkpoint")
+    after = spark.sql("select unix_millis(current_timestamp())").first()[0]
+    at = F.unix_millis("ts")
+    return spark.read.parquet(f"{base}/out").agg(
+        F.count("*").alias("n"), F.count_if(at.between(before, after) & F.col("seq").isNotNull()).alias("n_stamped"))
+
+
+def _two_streams(spark, sf) -> DataFrame:
+    """Two named queries, each stopped and started again between micro-batches; their progress table."""
+    base, log = scratch_dir(spark, "progress-run"), runs.ProgressLog(spark, every=2)
+    table = trips(spark, sf)
+    half = table.agg(F.max("seq")).first()[0] // 2
+    for name, schema, query in (("distance", S.DISTANCE_TRIP, trip_distance), ("profit", S.FARE_TRIP, P.total_profit_by_cell)):
+        rows = table.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
+        for part in (rows.where(F.col("seq") <= half), rows.where(F.col("seq") > half), runs.sentinel(spark, schema)):
+            part.write.mode("append").parquet(f"{base}/{name}/in")
+            log.wait_for(runs.run_available(
+                query(runs.read_stream(spark, f"{base}/{name}/in", schema)), f"{base}/{name}/out", f"{base}/{name}/state", name=name))
+    return log.close()
+
+
+def stream_emitted_totals(spark, sf):
+    """What streams really read: micro-batches that had rows, and rows, by query."""
+    progress = _two_streams(spark, sf)
+    batches = runs.progress_samples(progress).groupBy("query_id").agg(F.count("*").alias("batches"))
+    return batches.join(runs.progress_totals(progress), "query_id")
+
+
+def stream_source_report(spark, sf):
+    """The report of real streams, but for the lines that hold a measured rate."""
+    return reports.stream_report(_two_streams(spark, sf)).where("part <> 1 and line_no <> 1")
+
+
+def stream_state_audit(spark, sf):
+    """The rows that live in each operator's state after a drain without an end."""
+    base = scratch_dir(spark, "audit")
+    trips(spark, sf).select(*(F.col(f.name).cast(f.dataType) for f in S.FARE_TRIP.fields)).write.parquet(f"{base}/in")
+    runs.run_available(P.profitable_areas(runs.read_stream(spark, f"{base}/in", S.FARE_TRIP)), f"{base}/out", f"{base}/checkpoint")
+    part = lambda name: F.get_json_object("key", f"$.{name}")
+    return state.live_rows(spark, f"{base}/checkpoint").select(
+        "operator_id", "operator", "window_end", part("cell_we").cast("int").alias("cell_we"), part("cell_ns").cast("int").alias("cell_ns"),
+        part("medallion").alias("medallion"), F.round(part("gain").cast("double"), 9).alias("gain"))
+
+
+def stream_profit_by_cell_hot(spark, sf):
+    """All trips picked up in one cell, the median's state split by bands of gains."""
+    def query(t):
+        return stream_median_profit(t.withWatermark("ts", "0 seconds"), SLIDING, 16).select(
+            F.unix_millis("window.end").alias("window_end"), "cell_we", "cell_ns", "profit")
+    hot = trips(spark, sf).withColumns({"pickup_we": F.lit(300), "pickup_ns": F.lit(301)})
+    return _round(runs.drain(spark, hot, S.FARE_TRIP, query), "profit")
+
+
+def stream_profitable_areas_split(spark, sf):
+    """The whole query with split medians."""
+    return _round(runs.drain(spark, trips(spark, sf), S.FARE_TRIP, partial(P.profitable_areas, state_bands=4)), "profitability")
+
+
+def stream_replicated_distance(spark, sf):
+    """Four streams at the same time, each with a source, a state and a scheduler pool of its own."""
+    base = scratch_dir(spark, "replicas")
+    trips(spark, sf).select(*(F.col(f.name).cast(f.dataType) for f in S.DISTANCE_TRIP.fields)).write.parquet(f"{base}/in")
+    runs.sentinel(spark, S.DISTANCE_TRIP).write.mode("append").parquet(f"{base}/in")
+    return _distance(runs.run_replicas(
+        lambda i: runs.read_stream(spark, f"{base}/in", S.DISTANCE_TRIP), trip_distance, 4, f"{base}/out", f"{base}/checkpoint"))
+
+
+def checked_groups(spark, sf):
+    """Counts that passed the test for one window per slot, by window label; pairs that passed that for equal labels."""
+    counts = empty_taxis(spark, sf).groupBy("window_end").agg(F.count("*").alias("groups"))
+    pairs = P.profitable_areas(trips(spark, sf)).groupBy("window_end").agg(F.count("*").alias("pairs"))
+    return counts.join(pairs, "window_end", "left")
+
+
+def discarded_rows(spark, sf):
+    """Rows that reached the sink that keeps nothing."""
+    seen = Observation()
+    reports.discard(trip_distance(trips(spark, sf)).observe(seen, F.count("*").alias("n"), F.sum("count").alias("trips")))
+    return spark.createDataFrame([(seen.get["n"], seen.get["trips"])], "n long, trips long")
+
+
+def _some_blocks(spark, sf) -> range:
+    return range(1, -(-read_events(spark, sf).count() // CACHE_SIZE), 6)
+
+
+def block_scan_some(spark, sf):
+    """A few blocks out of an indexed folder: only the files that hold them are opened."""
+    path, index = rendered.write_trips(spark, sf, vendor=False), scratch_dir(spark, "index")
+    blocks.index_lines(spark, path, index)
+    lines = blocks.read_blocks(spark, path, CACHE_SIZE, blocks=_some_blocks(spark, sf), index=index)
+    return blocks.cached_events(T.parse_trips17(lines)).select("block_id", "line_no", "medallion", "cache_idx", "cache_n")
 
 
 def stream_empty_taxi_count(spark, sf):
@@ -342,4 +483,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_text_trip_distance": stream_text_trip_distance,
     "stream_text_profitable_areas": stream_text_profitable_areas,
     "stream_late_rows": stream_late_rows,
+    "stream_on_time_distance": stream_on_time_distance,
+    "stream_text_last_dropoff": stream_text_last_dropoff,
+    "landed_order": landed_order,
+    "arrival_stamps": arrival_stamps,
+    "stream_emitted_totals": stream_emitted_totals,
+    "stream_source_report": stream_source_report,
+    "stream_state_audit": stream_state_audit,
+    "stream_profit_by_cell_hot": stream_profit_by_cell_hot,
+    "stream_profitable_areas_split": stream_profitable_areas_split,
+    "stream_replicated_distance": stream_replicated_distance,
+    "checked_groups": checked_groups,
+    "discarded_rows": discarded_rows,
+    "block_scan_some": block_scan_some,
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from faregrid.functions.scalars import gain, profitability
+from faregrid.functions.scalars import gain, profitability, window_end_ms
+from faregrid.operators.invariants import checked
 from faregrid.operators.median import BANDS_PER_OCTAVE, sliding_median
 from faregrid.operators.panes import Sliding, explode_windows, gather
 
@@ -45,9 +47,17 @@ def total_profit(trips: DataFrame, sliding: Sliding) -> DataFrame:
 
 
 def join_profitability(profit: DataFrame, counts: DataFrame, window_key: str) -> DataFrame:
-    """Median profit divided by empty taxis, where both exist for a cell and window label."""
-    return (
-        profit.join(counts, [window_key, *CELL])
-        .where(F.col("count") != 0)
-        .select(window_key, *CELL,
-                profitability(F.col("profit"), F.col("count")).alias("profitability")))
+    """Median profit divided by empty taxis, where both exist for a cell and window label.
+
+    Both sides' labels must be the same in every pair; the job fails if they are not.
+    """
+    counts = counts.withColumn("_label", _label(counts, window_key))
+    pairs = profit.join(counts, [window_key, *CELL]).where(F.col("count") != 0)
+    return checked(pairs, F.col("_label") == _label(profit, window_key), "a profit joined a count of another window").select(
+        window_key, *CELL, profitability(F.col("profit"), F.col("count")).alias("profitability"))
+
+
+def _label(rows: DataFrame, window_key: str) -> Column:
+    """The end of a window, also where the key is a window itself."""
+    is_window = isinstance(rows.schema[window_key].dataType, StructType)
+    return window_end_ms(F.col(window_key)) if is_window else F.col(window_key)

@@ -17,18 +17,19 @@ TRIP_COLUMNS = ["seq", "ts", "medallion", "pickup_we", "pickup_ns", "dropoff_we"
 
 def profitable_areas(
     trips: DataFrame, window_ms: int = 150_000, slide_ms: int = 10_000,
-    bands_per_octave: int = BANDS_PER_OCTAVE, delay: str = "0 seconds",
+    bands_per_octave: int = BANDS_PER_OCTAVE, delay: str = "0 seconds", state_bands: int | None = None,
 ) -> DataFrame:
     """Profitability per cell and sliding window, for a batch or a streaming DataFrame.
 
     Profit of the window that ends at E is divided by the number of taxis whose last trip
     in the window that ended one slide earlier dropped off in the cell. On a stream, trips may
-    arrive up to `delay` behind the latest one.
+    arrive up to `delay` behind the latest one, and `state_bands` (bands per doubling of the gain) keeps a
+    cell that sees very many different gains in a window from being one state row.
     """
     sliding = Sliding(window_ms, slide_ms)
     trips = trips.select(*TRIP_COLUMNS)
     if trips.isStreaming:
-        return stream_profitable_areas(trips, sliding, delay)
+        return stream_profitable_areas(trips, sliding, delay, state_bands)
     profit = median_profit(trips, sliding, bands_per_octave)
     counts = empty_taxi_count(last_dropoff_by_taxi(trips, sliding), slide_ms)
     return join_profitability(profit, counts, "window_end")

@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     # Window state can outgrow the heap on a real stream.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A micro-batch uploads what it changed, not the whole store; a join keeps one store, not four.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
     "spark.ui.enabled": "false",
 }
 

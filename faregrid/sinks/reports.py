@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from faregrid.functions.scalars import format_ms
+from faregrid.operators import throughput
 from faregrid.sources.logs import (
-    RESULT_LINE, RULE, SAMPLES_HEAD, SAMPLES_TAIL, STEADY_LABEL, TOTAL_LABEL, open_folder)
+    RESULT_LINE, RULE, SAMPLES_HEAD, SAMPLES_TAIL, STEADY_LABEL, TOTAL_LABEL, default_scheme, open_folder)
+from faregrid.streaming import runs
 
 
 def discard(result: DataFrame) -> None:
@@ -35,6 +39,14 @@ def source_report(samples: DataFrame, steady: DataFrame, totals: DataFrame, keys
         .union(line(totals, 2, F.lit(2), subtask, F.lit(f" {TOTAL_LABEL} "), F.col("total_events").cast("string"))))
 
 
+def stream_report(progress: DataFrame) -> DataFrame:
+    """The report of streaming queries, each as one source, from their progress table: samples at steps
+    of a second or more, their steady-state mean, and the rows read. Keys: `query_id`."""
+    samples = throughput.samples_from_checkpoints(runs.progress_checkpoints(progress), ["query_id"])
+    totals = runs.progress_totals(progress)
+    return source_report(samples, throughput.steady_state(samples, ["query_id"], totals), totals, ["query_id"])
+
+
 def write_source_report(report: DataFrame, run_dir: str, keys: list[str]) -> None:
     """Appends the lines to `.csv` files of `run_dir`, in order by source and line over its files.
 
@@ -68,11 +80,24 @@ def summary_lines(totals: DataFrame) -> DataFrame:
 def write_summary(totals: DataFrame, main_dir: str) -> None:
     """Writes `result.txt` into each run's own folder below `main_dir`; touches nothing else.
 
-    One small file per run; the runs' names come from a listing on the driver as well.
+    One small file per run, written by the tasks that hold the runs. Spark's writers cannot name
+    files, so this needs a local (shared) or HDFS folder; elsewhere use `write_summary_table`.
     """
-    files, root = open_folder(main_dir.rstrip("/"))
-    for row in summary_lines(totals).toLocalIterator():
-        folder = f"{root}/{row['run']}"
-        files.create_dir(folder)
-        with files.open_output_stream(f"{folder}/result.txt") as out:
-            out.write(f"{row['value']}\n".encode())
+    default = default_scheme(totals.sparkSession)
+    if open_folder(main_dir, default)[0] is None:
+        raise ValueError(f"{main_dir}: files can be named on local and HDFS folders only; use write_summary_table")
+
+    def write(rows: Iterator[Row]) -> None:
+        files, root = open_folder(main_dir, default)
+        for row in rows:
+            folder = f"{root.rstrip('/')}/{row['run']}"
+            files.create_dir(folder)
+            with files.open_output_stream(f"{folder}/result.txt") as out:
+                out.write(f"{row['value']}\n".encode())
+
+    summary_lines(totals).foreachPartition(write)
+
+
+def write_summary_table(totals: DataFrame, path: str) -> None:
+    """The same lines as text below `<path>/run=<run>`, on any file system that Spark writes."""
+    summary_lines(totals).write.mode("overwrite").partitionBy("run").text(path)

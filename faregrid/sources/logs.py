@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from fnmatch import fnmatch
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the log format.
@@ -19,25 +18,57 @@ STEADY_LABEL = "Steady-State Average Throughput (events/sec):"
 STEADY_PATTERN = r"Steady-State Average Throughput \(events/sec\):\s*([0-9.]+(?:E-?[0-9]+)?)"
 
 
-def open_folder(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path on it."""
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match("file:/(?!/)", path) else path)
-    return fs.LocalFileSystem(), path
+def _anchored(main_dir: str) -> str:
+    """A pattern of `<main>/<run>/<file>` with the run as its group, for paths with or without scheme.
 
-
-def _entries(path: str) -> list[fs.FileInfo]:
-    files, root = open_folder(path.rstrip("/"))
-    return sorted(files.get_file_info(fs.FileSelector(root)), key=lambda f: f.base_name)
+    A path without scheme is on the session's default file system, as everywhere in Spark.
+    """
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", main_dir).rstrip("/")
+    start = "^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*" if root.startswith("/") else "(?:^|/)"
+    return f"{start}{re.escape(root.lstrip('/'))}/([^/]+)/[^/]+$"
 
 
-def run_names(main_dir: str) -> list[str]:
-    """Run folders directly below `main_dir`, empty ones included (a directory listing)."""
-    return [f.base_name for f in _entries(main_dir) if f.type == fs.FileType.Directory]
+def _decoded(uri: Column) -> Column:
+    """A file's path from its URI; a plus sign is itself."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def list_runs(spark: SparkSession, main_dir: str) -> DataFrame:
-    return spark.createDataFrame([(name,) for name in run_names(main_dir)], "run string")
+    """`run` of every folder directly below `main_dir` that holds a file of any name, and of empty ones
+    where folders can be empty.
+
+    Spark lists the files, on its executors once there are many folders, on any file system it reads.
+    Object stores have no empty folders; a local or HDFS one is asked for them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(main_dir).select(
+        F.regexp_extract("path", _anchored(main_dir), 1).alias("run")).where("run <> ''").distinct()
+    empty = spark.createDataFrame([(name,) for name in empty_folders(spark, main_dir)], "run string")
+    return files.unionAll(empty).distinct()
+
+
+def empty_folders(spark: SparkSession, main_dir: str) -> list[str]:
+    """Names of the folders below `main_dir` that hold nothing, on a local or HDFS file system."""
+    files, root = open_folder(main_dir, default_scheme(spark))
+    if files is None:
+        return []
+    found = files.get_file_info(fs.FileSelector(root.rstrip("/"), allow_not_found=True))
+    return sorted(f.base_name for f in found if f.type == fs.FileType.Directory and not f.base_name.startswith(("_", "."))
+                  and not files.get_file_info(fs.FileSelector(f.path)))
+
+
+def default_scheme(spark: SparkSession) -> str:
+    """The file system of paths without scheme."""
+    return spark.sparkContext.getConf().get("spark.hadoop.fs.defaultFS", "file:///")
+
+
+def open_folder(path: str, default: str = "file:///") -> tuple[fs.FileSystem | None, str]:
+    """The file system of a path or URI, and the path on it; None for one that only Spark reads."""
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]*:", path):
+        path = default.rstrip("/") + path if not default.startswith("file:") else f"file:{path}"
+    scheme, host, root = re.match("([^:]+):(//[^/]*)?(.*)", path, re.DOTALL).groups()
+    if scheme == "file":
+        return fs.LocalFileSystem(), root
+    return (fs.FileSystem.from_uri(f"hdfs:{host or '//default'}/")[0], root) if scheme == "hdfs" else (None, path)
 
 
 def steady_rates(lines: DataFrame) -> DataFrame:
@@ -52,17 +83,9 @@ def steady_rates(lines: DataFrame) -> DataFrame:
 
 
 def read_steady_rates(spark: SparkSession, main_dir: str, files: str = "*.csv") -> DataFrame:
-    """`run`, `file` and rate for every matching line of every run's own files.
-
-    Files are taken from a listing, so that runs without any are no error.
-    """
-    main = main_dir.rstrip("/")
-    paths = [f"{main}/{run}/{f.base_name}" for run in run_names(main) for f in _entries(f"{main}/{run}")
-             if fnmatch(f.base_name, files) and not f.base_name.startswith(("_", "."))]
-    if not paths:
-        return spark.createDataFrame([], "run string, file string, steady_rate double")
-    lines = spark.read.text(paths).select(
-        "value",
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("run"),
-        F.col("_metadata.file_name").alias("file"))
-    return steady_rates(lines)
+    """`run`, `file` and rate for every matching line of every run's own files; deeper ones are not read."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(main_dir)
+    path = _decoded(F.col("_metadata.file_path"))
+    found = lines.select("value", F.regexp_extract(path, _anchored(main_dir), 1).alias("run"),
+                         _decoded(F.col("_metadata.file_name")).alias("file"))
+    return steady_rates(found.where("run <> ''"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
@@ -36,7 +39,7 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, **options: s
 
 def run_available(
     result: DataFrame, out: str, checkpoint: str,
-    per_batch: Callable[[DataFrame], DataFrame] | None = None, **options: str,
+    per_batch: Callable[[DataFrame], DataFrame] | None = None, name: str | None = None, **options: str,
 ) -> StreamingQuery:
     """Processes what has arrived, writes parquet in append mode, and stops.
 
@@ -47,6 +50,8 @@ def run_available(
     writer = (result.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint).options(**options)
               .trigger(availableNow=True))
+    if name is not None:
+        writer = writer.queryName(name)
     if per_batch is None:
         query = writer.format("parquet").option("path", out).start()
     else:
@@ -66,11 +71,40 @@ def discard_stream(result: DataFrame, checkpoint: str, name: str, **trigger) ->
 
 def start_replicas(
     trips: Callable[[int], DataFrame], query: Callable[[DataFrame], DataFrame], copies: int,
-    checkpoint: str, **trigger,
+    checkpoint: str, start: Callable[[DataFrame, str, str], StreamingQuery] | None = None, **trigger,
 ) -> list[StreamingQuery]:
-    """Runs `copies` identical queries side by side, each on a source of its own."""
-    return [discard_stream(query(trips(i)), f"{checkpoint}/q{i}", f"query_{i}", **trigger)
-            for i in range(copies)]
+    """Starts `copies` identical queries side by side, each on a source of its own.
+
+    Each has a scheduler pool of its own name, so that under `spark.scheduler.mode` FAIR no copy waits
+    for another one's tasks. `start` takes (result, checkpoint, name); by default results are discarded.
+    """
+    start = start or (lambda result, state, name: discard_stream(result, state, name, **trigger))
+    context, queries = SparkSession.active().sparkContext, []
+    before = context.getLocalProperty("spark.scheduler.pool")
+    try:
+        for i in range(copies):
+            # A query's thread takes over the pool of the one that starts it.
+            context.setLocalProperty("spark.scheduler.pool", f"query_{i}")
+            queries.append(start(query(trips(i)), f"{checkpoint}/q{i}", f"query_{i}"))
+    finally:
+        context.setLocalProperty("spark.scheduler.pool", before)
+    return queries
+
+
+def run_replicas(
+    trips: Callable[[int], DataFrame], query: Callable[[DataFrame], DataFrame], copies: int, out: str, checkpoint: str,
+) -> DataFrame:
+    """Runs the copies at the same time on what has arrived; all that they emitted, by `query_id`."""
+    def start(result: DataFrame, state: str, name: str) -> StreamingQuery:
+        return (result.writeStream.outputMode("append").queryName(name).format("parquet")
+                .option("checkpointLocation", state).option("path", f"{out}/query_id={name.split('_')[1]}")
+                .trigger(availableNow=True).start())
+    for running in start_replicas(trips, query, copies, checkpoint, start):
+        running.awaitTermination()
+    result = query(trips(0))
+    parts = [result.sparkSession.read.schema(result.schema).parquet(f"{out}/query_id={i}").select(
+        F.lit(i).alias("query_id"), "*") for i in range(copies)]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def drain(
@@ -105,16 +139,20 @@ def drain(
 class ProgressLog(StreamingQueryListener):
     """Keeps one row of every micro-batch's progress and appends it to a table.
 
-    Spark itself only remembers the latest progress of a query. Rows are written when a query
-    ends, or by `flush`; until then the driver holds one small row per micro-batch.
+    Spark itself only remembers the latest progress of a query. Rows are written every `every` events
+    and when the log is flushed, so the driver holds fewer than that. A micro-batch that is run
+    again after a restart, or rows written twice, appear twice in the table; `progress_rows` reads each
+    micro-batch once.
     """
 
-    SCHEMA = "query string, run string, batch long, at string, rows long, rate double, late long, state_rows long"
+    SCHEMA = ("query_id string, query string, run string, batch long, at_ms long, took_ms long, rows long, rate double, "
+              "watermark string, late_groups long, state_rows long")
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch_dir(spark, "progress")
+    def __init__(self, spark: SparkSession, path: str | None = None, every: int = 32):
+        self.spark, self.path, self.every = spark, path or scratch_dir(spark, "progress"), every
         self.pending: list[tuple] = []
         self.ended: set[str] = set()
+        self.lock = threading.Lock()
         spark.streams.addListener(self)
 
     def onQueryStarted(self, event) -> None:
@@ -125,43 +163,87 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.pending.append((
-            p.name or str(p.id), str(p.runId), p.batchId, p.timestamp, p.numInputRows,
-            float(p.processedRowsPerSecond), sum(op.numRowsDroppedByWatermark for op in p.stateOperators),
-            sum(op.numRowsTotal for op in p.stateOperators)))
+        started = datetime.fromisoformat(p.timestamp.replace("Z", "+00:00"))
+        with self.lock:
+            self.pending.append((
+                str(p.id), p.name or str(p.id), str(p.runId), p.batchId, int(started.timestamp() * 1000),
+                int(p.batchDuration), p.numInputRows, float(p.processedRowsPerSecond), dict(p.eventTime).get("watermark"),
+                sum(op.numRowsDroppedByWatermark for op in p.stateOperators), sum(op.numRowsTotal for op in p.stateOperators)))
+            full = len(self.pending) >= self.every
+        if full:
+            self._write()
 
     def onQueryTerminated(self, event) -> None:
         self.ended.add(str(event.runId))
 
-    def wait_for(self, *queries: StreamingQuery, seconds: float = 30) -> None:
+    def wait_for(self, *queries: StreamingQuery, seconds: float = 60) -> None:
         """Until the last event of every given (stopped) query has arrived."""
         until = time.monotonic() + seconds
-        while not {str(q.runId) for q in queries} <= self.ended and time.monotonic() < until:
+        while not {str(q.runId) for q in queries} <= self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError(f"progress of a stopped query did not arrive in {seconds} s: the log is incomplete")
             time.sleep(0.05)
 
+    def _write(self) -> None:
+        with self.lock:
+            rows, self.pending = self.pending, []
+        if rows:
+            try:
+                self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+            except BaseException:
+                with self.lock:  # written next time; rows that did arrive are read once
+                    self.pending = rows + self.pending
+                raise
+
     def flush(self) -> DataFrame:
         """Writes what is pending; returns the table."""
-        rows, self.pending = self.pending, []
-        self.spark.createDataFrame(rows, self.SCHEMA).write.mode("append").parquet(self.path)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        self._write()
+        return read_progress(self.spark, self.path)
 
     def close(self) -> DataFrame:
         self.spark.streams.removeListener(self)
         return self.flush()
 
 
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    spark.createDataFrame([], ProgressLog.SCHEMA).write.mode("append").parquet(path)  # so that the folder is there
+    return spark.read.schema(ProgressLog.SCHEMA).parquet(path)
+
+
+def progress_rows(progress: DataFrame) -> DataFrame:
+    """One row per query and micro-batch: of one that was run again, its last run's."""
+    columns = [c for c in progress.columns if c not in ("query_id", "batch")]
+    return progress.groupBy("query_id", "batch").agg(F.max_by(F.struct(*columns), F.struct("at_ms", "took_ms", "rows")).alias("p")).select(
+        "query_id", "batch", "p.*")
+
+
 def progress_samples(progress: DataFrame) -> DataFrame:
     """Rate of every micro-batch that read rows, by query, from a progress table."""
-    return progress.where("rows > 0").select(
+    return progress_rows(progress).where("rows > 0").select(
         F.col("query").alias("query_id"), F.col("batch").alias("sample_no"), "rate")
 
 
-def late_rows(progress: DataFrame) -> DataFrame:
-    """Rows that the watermark has dropped, by query, from a progress table.
+def progress_checkpoints(progress: DataFrame) -> DataFrame:
+    """(query_id, t_ms, total): how many rows a query had read when each micro-batch was done, and 0 at its start."""
+    rows = progress_rows(progress).select(
+        F.col("query").alias("query_id"), "batch", "at_ms", (F.col("at_ms") + F.col("took_ms")).alias("t_ms"), "rows")
+    upto = Window.partitionBy("query_id").orderBy("batch")  # one row per micro-batch
+    done = rows.select("query_id", "t_ms", F.sum("rows").over(upto).alias("total"))
+    return done.unionAll(rows.groupBy("query_id").agg(F.min("at_ms").alias("t_ms")).select("query_id", "t_ms", F.lit(0).cast("long")))
+
+
+def progress_totals(progress: DataFrame) -> DataFrame:
+    """Rows read by every query."""
+    return progress_rows(progress).groupBy(F.col("query").alias("query_id")).agg(F.sum("rows").alias("total_events"))
+
+
+def late_groups(progress: DataFrame) -> DataFrame:
+    """What the watermark has dropped, by query, from a progress table.
 
-    Spark counts them as they reach the state, behind the aggregation inside a task.
+    Spark counts as rows reach the state, behind the aggregation inside a task: groups, not rows.
+    `faregrid.streaming.landing` has the rows.
     """
-    return progress.groupBy(F.col("query").alias("query_id")).agg(F.sum("late").alias("late_rows"))
+    return progress_rows(progress).groupBy(F.col("query").alias("query_id")).agg(F.sum("late_groups").alias("late_groups"))
 
 
 def stamped_lines(
@@ -180,7 +262,8 @@ def arriving_lines(
     spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], **options: str,
 ) -> DataFrame:
     """A text stream as trips that arrive now: the lines of a micro-batch share its time. A text
-    stream has no positions, so among them `seq` is a fixed order by hash."""
+    stream has no positions, so among them `seq` is a fixed order by hash; `landing.land_lines` keeps
+    the order of arrival."""
     lines = spark.readStream.options(**options).text(path).withColumn(
         "place", F.pmod(F.xxhash64("value"), F.lit(1 << 20)))
     return parse(lines).withColumns({

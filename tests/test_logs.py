@@ -1,7 +1,10 @@
+import re
+
 from faregrid.operators import throughput
 from faregrid.plans.summary import throughput_summary
 from faregrid.schema import RUN_TOTAL
 from faregrid.sinks import reports
+from faregrid.sources import logs
 
 LABEL = "Steady-State Average Throughput (events/sec):"
 
@@ -38,6 +41,26 @@ def test_summary(spark, tmp_path):
     assert throughput_summary(spark, f"file://{tmp_path}").collect() == totals.collect()
 
 
+def test_odd_names_and_schemes(spark, tmp_path):
+    """Names with blanks, plus and percent signs; the same folder with and without a scheme."""
+    main = tmp_path / "a b+c"
+    for run in ("run 1", "100%", "x+y", "main"):
+        (main / run).mkdir(parents=True)
+        (main / run / "q 0.csv").write_text(f"Subtask 0 {LABEL} 2.5\n")
+    (main / "empty").mkdir()
+    (main / "run 1" / "deep").mkdir()
+    (main / "run 1" / "deep" / "q.csv").write_text(f"Subtask 0 {LABEL} 9.0\n")
+    want = [("100%", 2.5), ("empty", 0.0), ("main", 2.5), ("run 1", 2.5), ("x+y", 2.5)]
+    for path in (str(main), f"{main}/", f"file:{main}", f"file://{main}"):
+        assert [tuple(r) for r in throughput_summary(spark, path).collect()] == want, path
+    for pattern, uri in ((logs._anchored("s3a://bucket/x/logs/"), "s3a://bucket/x/logs/r1/f.csv"),
+                         (logs._anchored("/x/logs"), "hdfs://host:8020/x/logs/r1/f.csv"), (logs._anchored("logs"), "dbfs:/home/logs/r1/f.csv")):
+        assert re.search(pattern, uri).group(1) == "r1" and not re.search(pattern, uri.replace("/f.csv", "/d/f.csv"))
+    reports.write_summary_table(throughput_summary(spark, str(main)), str(tmp_path / "table"))
+    assert spark.read.text(str(tmp_path / "table")).count() == 5
+    assert logs.open_folder("s3a://bucket/x")[0] is None and logs.open_folder("/x", "s3a://bucket")[0] is None
+
+
 def test_runs_without_any_log(spark, tmp_path):
     (tmp_path / "r1").mkdir()
     (tmp_path / "r2").mkdir()

@@ -1,19 +1,22 @@
 import contextlib
 import io
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from faregrid import schema as S
 from faregrid.operators import throughput
+from faregrid.operators.median import value_band
 from faregrid.operators.panes import Sliding
+from faregrid.operators.profit import median_profit
 from faregrid.plans import profitability as P
 from faregrid.plans.distance import trip_distance
 from faregrid.sources import replay as R
 from faregrid.sources.driver_tables import trips
 from faregrid.sources.trips import parse_trips18
-from faregrid.streaming import runs
-from faregrid.streaming.profitability import stream_empty_taxis
+from faregrid.streaming import runs, state
+from faregrid.streaming.profitability import stream_empty_taxis, stream_median_profit
 
 
 def rows(df):
@@ -82,11 +85,11 @@ def late_case(spark, tmp_path, delay):
 
     queries = [arrive(100, 1900, 4100), arrive(500, 8100), arrive(30_000)]
     log.wait_for(*queries)
-    late = runs.late_rows(log.close()).agg(F.sum("late_rows")).first()[0]
+    late = runs.late_groups(log.close()).agg(F.sum("late_groups")).first()[0]
     return late, [tuple(r) for r in spark.read.parquet(out).orderBy("window_end").collect()]
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
+def test_late_rows_are_dropped_by_group(spark, tmp_path):
     late, areas = late_case(spark, tmp_path, "0 seconds")   # 500 ms is in a reported window
     assert late == 1 and areas == [(2000, 600, 2, 2.0), (6000, 600, 1, 2.0), (10_000, 600, 1, 2.0)]
 
@@ -177,3 +180,89 @@ def test_live_replay_and_replicas(spark, tmp_path):
         log.wait_for(*queries)
         samples = runs.progress_samples(log.close()).collect()
     assert {r.query_id for r in samples} == {"query_0", "query_1"} and all(r.rate > 0 for r in samples)
+
+
+def test_a_batch_that_is_run_again_is_one_sample(spark, tmp_path):
+    """Killed behind its work and before its commit, a micro-batch is repeated after the restart."""
+    log = runs.ProgressLog(spark, str(tmp_path / "progress"), every=1)
+    arrived, state_dir = str(tmp_path / "in"), tmp_path / "state"
+
+    def run(n):
+        spark.range(n).write.mode("append").parquet(arrived)
+        query = runs.discard_stream(runs.read_stream(spark, arrived, "id long"), str(state_dir), "again", availableNow=True)
+        query.awaitTermination()
+        log.wait_for(query)
+    run(10)
+    run(20)
+    (state_dir / "commits" / "1").unlink()
+    (state_dir / "commits" / ".1.crc").unlink(missing_ok=True)
+    run(30)
+    table = log.close()
+    assert table.where("batch = 1").count() == 2
+    rows = sorted((r.batch, r.rows) for r in runs.progress_rows(table).collect())
+    assert rows == [(0, 10), (1, 20), (2, 30)]
+    assert [tuple(r) for r in runs.progress_totals(table).collect()] == [("again", 60)]
+    marks = sorted((r.total, r.t_ms) for r in runs.progress_checkpoints(table).collect())
+    assert [m[0] for m in marks] == [0, 10, 30, 60] and [m[1] for m in marks] == sorted(m[1] for m in marks)
+    # Rows that are written twice count once, too.
+    assert runs.progress_rows(table.unionAll(table)).count() == 3
+
+
+def test_a_lost_end_is_an_error(spark, tmp_path):
+    log = runs.ProgressLog(spark, str(tmp_path / "progress"))
+    try:
+        with pytest.raises(TimeoutError):
+            log.wait_for(type("Stopped", (), {"runId": "never"})(), seconds=0.2)
+    finally:
+        assert log.close().count() == 0
+
+
+def hot_cell(spark, n):
+    """Many different gains of one cell: negative, equal, zero and of very different size."""
+    return spark.range(n).select(
+        F.col("id").alias("seq"), F.timestamp_millis(F.col("id") * (160_000 // n)).alias("ts"), F.lit("m").alias("medallion"),
+        F.lit(5).alias("pickup_we"), F.lit(6).alias("pickup_ns"), F.lit(5).alias("dropoff_we"), F.lit(6).alias("dropoff_ns"),
+        F.expr("case id % 7 when 0 then -exp(id % 30) when 1 then 0.0 when 2 then 3.5 else pow(1.01, (id * 7) % 500) end").alias("fare"),
+        F.lit(0.0).alias("tip"))
+
+
+def test_split_medians_equal_batch(spark, tmp_path):
+    sliding, table = Sliding(20_000, 10_000), hot_cell(spark, 4000)
+
+    def query(t):
+        return stream_median_profit(t.withWatermark("ts", "0 seconds"), sliding, 4).select(
+            F.unix_millis("window.end").alias("w"), "profit")
+    want = {r.window_end: r.profit for r in median_profit(table, sliding).collect()}
+    got = runs.drain(spark, table, S.FARE_TRIP, query).collect()
+    assert {r.w: r.profit for r in got} == {w: pytest.approx(p) for w, p in want.items()}
+    assert len(got) == len(want) > 10
+
+
+def test_no_state_row_is_over_one_band(spark, tmp_path):
+    sliding = Sliding(20_000, 10_000)
+    table = hot_cell(spark, 4000)
+    arrived, kept = str(tmp_path / "in"), str(tmp_path / "state")
+    table.select(*(F.col(f.name).cast(f.dataType) for f in S.FARE_TRIP.fields)).write.parquet(arrived)
+    stream = runs.read_stream(spark, arrived, S.FARE_TRIP).withWatermark("ts", "0 seconds")
+    runs.run_available(stream_median_profit(stream, sliding, 4).drop("window"), str(tmp_path / "out"), kept)
+    # Lists are bytes in a state row, shown in base 64: four characters for three bytes.
+    sizes = [len(r.value) * 3 // 4 for r in state.live_rows(spark, kept).collect()]
+    bands = table.groupBy(value_band(F.col("fare"), 4).alias("band")).agg(F.count_distinct("fare").alias("n"))
+    entries = max(2 * bands.agg(F.max("n")).first()[0], bands.count())  # two panes of a band; or all bands' counts
+    window = table.groupBy(F.window("ts", "20 seconds")).agg(F.count_distinct("fare").alias("n")).agg(F.max("n")).first()[0]
+    assert max(sizes) <= 60 * entries + 200 and entries < window
+
+
+def test_replicas_have_pools_of_their_own(spark, tmp_path):
+    seen = []
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+
+    def start(result, checkpoint, name):
+        def note(batch, _):
+            seen.append((name, batch.sparkSession.sparkContext.getLocalProperty("spark.scheduler.pool")))
+        return result.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    for query in runs.start_replicas(lambda i: runs.read_stream(spark, str(tmp_path / "in"), "id long"), lambda t: t, 3,
+                                     str(tmp_path / "state"), start):
+        query.awaitTermination()
+    assert {name for name, _ in seen} == {"query_0", "query_1", "query_2"}
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
