@@ -18,8 +18,11 @@ rows are ordered by a hash.
 Everything is DataFrame functions; all draws are hashes of the seed and the documents, so reruns
 agree. Per-source rows are joined to documents under a salt, so a hot source is spread.
 
-Cases: null text has size 0; a null source is a source of its own; repeated rows share one
-decision; without words all targets are 0; an input column named like a result is replaced.
+Rows that repeat id, source and text are counted, and each becomes a unit of its own, dealt and drawn
+like any other document; which of the repeated rows a unit stands for is settled when rows are joined.
+
+Cases: null text has size 0; a null source is a source of its own; repeated rows are drawn one by
+one; without words all targets are 0; an input column named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 256
 #: Blocks whose sizes are summed up before one running sum over a whole source.
 GROUP = 256
-#: A prime above any number of block copies, so that multiples of it permute them.
-_STEP = (1 << 31) - 1
+#: A prime above any 64-bit number of block copies up to 2e18, so that multiples of it permute them.
+_STEP = (1 << 61) - 1
+#: Repeated rows of which one task makes the units at once.
+REPEATS = 4096
 
 
 @dataclass(frozen=True)
@@ -57,10 +62,20 @@ def _keys(docs: DataFrame) -> dict[str, Column]:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, skey, doc_hash, size), written to the shared folder."""
-    return common.stored(docs.select(
+    """(doc_id, source, skey, doc_hash, size, m, nth, unit), a row per document, written to the shared
+    folder: the nth of m rows that repeat each other, and the hash that it is dealt by."""
+    same = ["doc_id", "source", "skey", "doc_hash", "size"]
+    counted = docs.select(
         "doc_id", "source", *(c.alias(k) for k, c in _keys(docs).items()),
-        F.regexp_count(common.whole_text(), F.lit(WORD)).cast("long").alias("size")), "sized")
+        F.regexp_count(common.whole_text(), F.lit(WORD)).cast("long").alias("size")).groupBy(*same).agg(F.count("*").alias("m"))
+    counted = common.stored(counted, "counted")
+    few = counted.where(f"m <= {REPEATS}").withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    parts = counted.where(f"m > {REPEATS}").withColumn(
+        "part", F.explode(F.expr(f"sequence(0L, (m - 1) div {REPEATS})"))).repartition(*same, "part")
+    many = parts.withColumn("nth", F.explode(F.expr(
+        f"sequence(part * {REPEATS}, least(m, (part + 1) * {REPEATS}) - 1)"))).drop("part")
+    unit = F.when(F.col("nth") == 0, F.col("doc_hash")).otherwise(F.xxhash64("doc_hash", "nth"))
+    return common.stored(few.unionByName(many).withColumn("unit", unit), "sized")
 
 
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -91,14 +106,14 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Joins per-source rows; each source is there once per salt, so none gathers in one task."""
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod("doc_hash", F.lit(SALTS)).cast("int")).join(
+    return rows.withColumn("salt", F.pmod("unit", F.lit(SALTS)).cast("int")).join(
         salted, ["skey", "salt"]).drop("salt")
 
 
 def draw(sizes: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
     """`sizes` with the source's figures, `block` and `copies`, written to the shared folder."""
     dealt = _with_source(sizes, sources.drop("place")).withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(mix.seed), "doc_hash"), F.col("n_blocks")))
+        "block", F.pmod(F.xxhash64(F.lit(mix.seed), "unit"), F.col("n_blocks")))
     blocks = dealt.groupBy("skey", "block", "rest").agg(F.sum("size").alias("words")).withColumn(
         "part", F.expr(f"block div {GROUP}"))
     # Running sums in two steps: over groups of blocks, then inside a group.
@@ -115,33 +130,33 @@ def draw(sizes: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
     border = lined.where("left > 0 and not inside")
     picked = _fill(border).withColumn("picked", F.lit(True))
     drawn = lined.where("not (left > 0 and not inside)").withColumn("picked", F.col("inside")).unionByName(
-        border.join(picked, ["skey", "doc_hash"], "left").withColumn("picked", F.coalesce("picked", F.lit(False))))
+        border.join(picked, ["skey", "unit"], "left").withColumn("picked", F.coalesce("picked", F.lit(False))))
     return common.stored(drawn.withColumn(
         "copies", F.col("passes") + F.col("picked").cast("long")).drop("left", "inside"), "drawn")
 
 
 def _fill(border: DataFrame) -> DataFrame:
-    """(skey, doc_hash) of the documents taken from each source's border block, a block of about
+    """(skey, unit) of the documents taken from each source's border block, a block of about
     `block_docs` documents."""
-    lists = border.groupBy("skey", "doc_hash").agg(
+    lists = border.groupBy("skey", "unit").agg(
         F.sum("size").alias("size"), F.min("left").alias("left")).groupBy("skey").agg(
         F.min("left").alias("left"), F.array_sort(F.collect_list(F.struct(
-            (-F.col("size")).alias("minus"), "doc_hash"))).alias("docs"))
+            (-F.col("size")).alias("minus"), "unit"))).alias("docs"))
     start = F.struct(F.col("left"), F.array().cast("array<bigint>").alias("taken"))
 
     def step(state: Column, doc: Column) -> Column:
         fits = -doc["minus"] <= state["left"]
         return F.struct(F.when(fits, state["left"] + doc["minus"]).otherwise(state["left"]).alias("left"),
-                        F.when(fits, F.concat(state["taken"], F.array(doc["doc_hash"])))
+                        F.when(fits, F.concat(state["taken"], F.array(doc["unit"])))
                         .otherwise(state["taken"]).alias("taken"))
     filled = lists.withColumn("end", F.aggregate("docs", start, step))
     # The smallest document left out, if it overshoots by less than what is missing.
-    rest = F.filter("docs", lambda d: ~F.array_contains("end.taken", d["doc_hash"]))
+    rest = F.filter("docs", lambda d: ~F.array_contains("end.taken", d["unit"]))
     last = F.element_at("rest", -1)
     one_more = (F.size("rest") > 0) & (-last["minus"] < 2 * F.col("end.left"))
     return filled.withColumn("rest", F.when(F.size("docs") > F.size("end.taken"), rest).otherwise(F.filter("docs", lambda d: F.lit(False)))).select(
-        "skey", F.explode(F.when(one_more, F.concat("end.taken", F.array(F.expr("rest[size(rest) - 1].doc_hash"))))
-                          .otherwise(F.col("end.taken"))).alias("doc_hash"))
+        "skey", F.explode(F.when(one_more, F.concat("end.taken", F.array(F.expr("rest[size(rest) - 1].unit"))))
+                          .otherwise(F.col("end.taken"))).alias("unit"))
 
 
 def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
@@ -212,7 +227,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def place_copies(drawn: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
-    """(skey, doc_hash, copy, shard, mix_order) for every copy that the mix takes."""
+    """(skey, doc_hash, unit, m, nth, copy, shard, mix_order) for every copy that the mix takes."""
     words = drawn.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
     shards = max(1, math.ceil(words / mix.shard_words))
     picks = drawn.groupBy("skey").agg(F.coalesce(F.max(F.when(F.col("picked"), F.col("block"))) + 1, F.lit(0)).alias("n_picked"))
@@ -226,12 +241,21 @@ def place_copies(drawn: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
     filed = ranges.select("skey", "shard", (F.col("end") - F.col("quota")).alias("begin"), "end", F.explode(F.sequence(
         F.expr("(end - quota) div step"), F.expr("(end - 1) div step"))).alias("stretch"))
     copies = drawn.where("copies > 0").select(
-        "skey", "doc_hash", "block", "passes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).distinct()
-    at = _with_source(copies, quotas.drop("place")).withColumn(
-        "at", F.expr(f"((copy * n_blocks + block) * {_STEP} + {mix.seed}) % quota")).withColumn(
+        "skey", "doc_hash", "unit", "m", "nth", "block",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    at = _with_source(copies, quotas.drop("place")).withColumn("at", permuted(mix.seed)).withColumn(
         "stretch", F.expr(f"at div ((quota + {shards - 1}) div {shards})"))
     return at.join(filed, ["skey", "stretch"]).where("at >= begin and at < end").select(
-        "skey", "doc_hash", "copy", "shard", F.xxhash64(F.lit(mix.seed), "doc_hash", "copy").alias("mix_order"))
+        "skey", "doc_hash", "unit", "m", "nth", "copy", "shard", F.xxhash64(F.lit(mix.seed), "unit", "copy").alias("mix_order"))
+
+
+def permuted(seed: int) -> Column:
+    """Where a block's copy (`copy`, `block` of `n_blocks`) stands among the `quota` of its source.
+
+    Products pass 64 bits for large sources, so they are decimals of up to 38 digits.
+    """
+    number = "(cast(copy as decimal(18,0)) * cast(n_blocks as decimal(18,0)) + block)"
+    return F.expr(f"cast(pmod(cast({number} as decimal(18,0)) * cast({_STEP} as decimal(19,0)) + {seed}, cast(quota as decimal(18,0))) as bigint)")
 
 
 def plan(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
@@ -242,23 +266,38 @@ def plan(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     return drawn, place_copies(drawn, sources, mix)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with `nth` among those of their (skey, doc_hash), from 0: counted inside partitions, then over
+    them, so that one task never holds a whole group."""
+    rows = common.stored(rows.withColumn("pid", F.spark_partition_id()), "repeated")
+    earlier = Window.partitionBy("skey", "doc_hash").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("skey", "doc_hash", "pid").agg(F.count("*").alias("n")).select(
+        "skey", "doc_hash", "pid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("skey", "doc_hash", "pid").orderBy(F.xxhash64("row")))
+    return rows.withColumn("inside", inside).join(bases, ["skey", "doc_hash", "pid"]).withColumn(
+        "nth", F.col("base") + F.col("inside") - 1).drop("pid", "base", "inside")
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """`docs` as the mix has them: each row as often as it is taken, dealt by `shard` and in the
     shard's order, with `shard` and `copy`."""
     _, places = plan(docs, mix)
+    places = common.stored(places, "places")
     kept = common.kept_columns(docs, ["shard", "copy"])
-    keys = {k: common.free_name(docs, k) for k in ("skey", "doc_hash", "mix_order")}
-    places = places.select(*(F.col(k).alias(v) for k, v in keys.items()), "shard", "copy")
-    keyed = docs.select(*map(common.quoted, kept), *(c.alias(keys[k]) for k, c in _keys(docs).items()))
+    keyed = docs.select(F.struct(*map(common.quoted, kept)).alias("row"), *(c.alias(k) for k, c in _keys(docs).items()))
+    out = ["row", "shard", "copy", "mix_order"]
+    once = keyed.join(places.where("m = 1"), ["skey", "doc_hash"]).select(*out)
+    again = places.where("m > 1")
+    numbered = _numbered(keyed.join(again.select("skey", "doc_hash").distinct(), ["skey", "doc_hash"]))
+    repeated = numbered.join(again, ["skey", "doc_hash", "nth"]).select(*out)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.join(places, [keys["skey"], keys["doc_hash"]]).repartition(n, "shard").sortWithinPartitions(
-        "shard", keys["mix_order"]).select(*map(common.quoted, kept), "shard", "copy")
+    return once.unionAll(repeated).repartition(n, "shard").sortWithinPartitions("shard", "mix_order").select("row.*", "shard", "copy")
 
 
 def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """What the mix takes of every document, and the shards that hold its copies."""
     drawn, places = plan(docs, mix)
-    held = places.groupBy("skey", "doc_hash").agg(F.array_join(F.array_sort(F.collect_list("shard")), ",").alias("shards"))
-    return drawn.join(held, ["skey", "doc_hash"], "left").select(
+    held = places.groupBy("skey", "unit").agg(F.array_join(F.array_sort(F.collect_list("shard")), ",").alias("shards"))
+    return drawn.join(held, ["skey", "unit"], "left").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"),
         F.coalesce("shards", F.lit("")).alias("shards"))

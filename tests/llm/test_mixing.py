@@ -114,6 +114,38 @@ def test_odd_rows(spark):
     assert all(copies[r.doc_id] == r.taken // r.size for r in rows if r.size and r.doc_id not in (3, None))
 
 
+@pytest.mark.parametrize("text", ["same " * 11, "other " * 11, "x y z w v u t s r q p", "again " * 11])
+def test_repeated_rows_are_drawn_one_by_one(spark, monkeypatch, text):
+    """A group of repeated rows with half of a source's words is neither taken nor left as a whole."""
+    monkeypatch.setattr(mixing, "REPEATS", 16)
+    rows = [(k, "w " * 10, "en", "b", 0) for k in range(100)] + [(500, text, "en", "b", k) for k in range(100)]
+    rows += [(1000 + k, "v " * 30, "en", "a", 0) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = mixing.taken(docs).collect()
+    assert len(found) == len(rows)
+    targets = water_fill({"a": 3000, "b": 2100})
+    for source, ids in (("a", range(1000, 1100)), ("b", [*range(100), 500])):
+        got = sum(r.taken for r in found if r.doc_id in set(ids))
+        assert abs(got - targets[source]) <= 0.01 * targets[source]
+    # Each of the repeated rows is in the mix as often as one unit was drawn; none is lost or doubled.
+    copies = Counter((r.doc_id, r.n_chars) for r in mixing.mixed(docs).collect())
+    drawn = Counter(r.taken // 11 for r in found if r.doc_id == 500)
+    assert Counter(copies.get((500, k), 0) for k in range(100)) == drawn
+    assert sum(n for (i, _), n in copies.items() if i < 100) == sum(r.taken // 10 for r in found if r.doc_id < 100)
+
+
+def test_permutation_of_many_blocks(spark):
+    """Six thousand million blocks, taken up to twice: no overflow, places within the quota, no two alike."""
+    n_blocks = 6_000_000_000
+    quota = 2 * n_blocks - 12345
+    numbers = [(c, b) for c in (0, 1) for b in (0, 1, 2, 4_400_000_000, n_blocks - 20_000, n_blocks - 12_346)]
+    rows = spark.createDataFrame(numbers, "copy long, block long").selectExpr("*", f"{n_blocks}L as n_blocks", f"{quota}L as quota")
+    got = [r.at for r in rows.select("*", mixing.permuted(7).alias("at")).collect()]
+    assert got == [((c * n_blocks + b) * ((1 << 61) - 1) + 7) % quota for c, b in numbers] and len(set(got)) == len(got)
+    small = spark.range(1000).selectExpr("0L as copy", "id as block", "1000L as n_blocks", "1000L as quota")
+    assert {r.at for r in small.select(mixing.permuted(3).alias("at")).collect()} == set(range(1000))
+
+
 def test_empty_and_wordless_tables(spark):
     assert mixing.taken(empty_documents(spark)).count() == 0
     assert mixing.mixed(empty_documents(spark)).count() == 0
