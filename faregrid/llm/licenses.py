@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosines of passages to templates, inherited along paths.
 
 Terms are weighed by their rarity over all documents. Passages are the lines of every text, and
-of texts that name a license or copyright:
+of license files and other texts that name a license or copyright:
 
 * windows of as many terms as a statement, a standard header or a short license has, across lines
   or inside of one: wherever the text has one of a template's seed terms, the window lies as it
@@ -15,8 +15,8 @@ templates have all of those as seeds. Products are sums over a join of terms. In
 whole texts the logarithm of a term's count is weighed, for in long texts "the" would decide.
 
 A document keeps the license of its best passage. One without a license has that of the nearest
-directory above it whose license file has one. Directories are resolved from the top down by
-joins on the parent's path, each directory once. All of it is DataFrame functions.
+directory above it whose license file has one: a join of each directory's ancestors' paths with those
+that have a license. All of it is DataFrame functions.
 
 Cases: a null text has no passage; of equal cosines the first license by name counts, of several
 license files in a directory the one with the best cosine, then name; repeated rows each get
@@ -104,7 +104,8 @@ TITLES = {
 }
 #: Whole licenses, files of `license_texts`.
 BODIES = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
-#: Texts with one of these name a license or copyright; all templates do.
+#: Texts with one of these name a license or copyright. All statements, notices and whole licenses do, which
+#: `Scan` tests; titles need not, as license files are always read.
 NAMED = ("licen", "copyright", "public domain")
 #: Templates up to so many terms are searched by windows as well; above FEW terms they have SEEDS seeds.
 WINDOW, FEW, SEEDS = 256, 24, 8
@@ -136,6 +137,13 @@ class Scan:
     headers: tuple[tuple[str, str], ...] = _pairs(HEADERS)
     titles: tuple[tuple[str, str], ...] = _pairs(TITLES)
     bodies: tuple[str, ...] = BODIES
+    named: tuple[str, ...] = NAMED
+
+    def __post_init__(self) -> None:
+        texts = [text for _, own in self.templates for text in own] + [text for _, text in self.headers] + [*map(_body, self.bodies)]
+        unnamed = [text[:60] for text in texts if not any(word in text.lower() for word in self.named)]
+        if unnamed:
+            raise ValueError(f"texts like these would not be looked at, as none of {self.named} is in them: {unnamed}")
 
     @property
     def longer(self) -> list[tuple[str, str, list[str]]]:
@@ -231,7 +239,7 @@ def _longer(docs: DataFrame, scan: Scan, weights: dict[str, float], rare: float)
     """Windows, heads and whole texts."""
     spark = docs.sparkSession
     lowered = F.lower(common.whole_text())
-    named = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(word)) for word in NAMED))
+    named = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(word)) for word in scan.named), _is_file(docs))
     # Distinct, as repeated rows have one key.
     terms = common.stored(docs.where(named).select(
         _row_key(docs).alias("row_key"), _is_file(docs).alias("is_file"),
@@ -292,27 +300,24 @@ def _parent(path: Column) -> Column:
 
 
 def directory_licenses(files: DataFrame) -> DataFrame:
-    """(dir, license, licensed_by): each directory's license, its own or that of the nearest above."""
-    dirs = files.where("path is not null").select(_parent(F.col("path")).alias("dir")).distinct()
-    # All directories above as well; a path has as many as it has slashes.
-    steps = F.split("dir", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
-    dirs = common.stored(dirs.select(F.explode(above).alias("dir")).distinct().withColumn(
-        "depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))), "dirs")
+    """(dir, license, licensed_by) of each directory that has a license: its own or that of the nearest above.
+
+    Every directory meets those above it in one join, and the deepest one that has a license counts; the
+    number of jobs does not depend on how deep paths are.
+    """
     named = files.where("own_license is not null").withColumn("dir", _parent(F.col("path"))).where(
         F.regexp_extract("path", "[^/]*$", 0).rlike(LICENSE_FILE))
     own = named.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "own_license", "path")).alias("x")).select(
-        "dir", F.col("x.own_license").alias("license"), F.col("x.path").alias("licensed_by"))
-    marked = common.stored(dirs.join(own, "dir", "left"), "dirs")
-    deepest = marked.agg(F.max("depth")).first()[0] or 0
-    done = marked.where("depth = 0").select("dir", "license", "licensed_by")
-    level = done
-    for depth in range(1, deepest + 1):
-        up = level.select(F.col("dir").alias("up"), F.col("license").alias("up_license"), F.col("licensed_by").alias("up_by"))
-        level = common.stored(marked.where(F.col("depth") == depth).withColumn("up", _parent(F.col("dir"))).join(up, "up", "left").select(
-            "dir", F.coalesce("license", "up_license").alias("license"), F.coalesce("licensed_by", "up_by").alias("licensed_by")), "dirs")
-        done = done.unionAll(level)
-    return done
+        F.col("dir").alias("above"), F.col("x.own_license").alias("license"), F.col("x.path").alias("licensed_by"))
+    dirs = files.where("path is not null").select(_parent(F.col("path")).alias("dir")).distinct()
+    # A path has as many directories above as slashes, besides the top.
+    steps = F.split("dir", "/")
+    depths = F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(steps)))
+    above = dirs.select("dir", F.explode(depths).alias("depth")).withColumn(
+        "above", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
+    # The top's license meets every directory: a skewed join, which Spark splits as it runs.
+    return above.join(own, "above").groupBy("dir").agg(F.max(F.struct("depth", "license", "licensed_by")).alias("x")).select(
+        "dir", "x.license", "x.licensed_by")
 
 
 def scan_licenses(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:

@@ -1,6 +1,7 @@
 """License scans against plain Python."""
 
 import math
+import random
 import re
 import textwrap
 from collections import Counter
@@ -105,6 +106,61 @@ def test_whole_files_and_wrapped_headers(spark):
     assert found["c/other.md"][0] is None
 
 
+def test_every_title_makes_a_license_file(spark):
+    """Also titles that hold no word like license."""
+    titles = [(name, text) for name, own in licenses.TITLES.items() for text in own]
+    rows = [(k, text + end, f"{k}/{path}") for k, (_, text) in enumerate(titles) for path, end in (("LICENSE", ""), ("copying.md", "\n\nthe river"))]
+    rows += [(1000 + k, "stones and rivers of the night", f"x/{k}") for k in range(200)]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, path string")).where("doc_id < 1000").collect()
+    assert len(found) == 2 * len(titles)
+    assert {(r.doc_id, r.own_license) for r in found} == {(k, name) for k, (name, _) in enumerate(titles)}
+
+
+def test_templates_that_would_not_be_looked_at_are_refused():
+    with pytest.raises(ValueError, match="would not be looked at"):
+        Scan(headers=(("X", "Attribution 4.0 International"),))
+
+
+def test_damaged_notices_are_found(spark):
+    """One word in ten of the longer notices and short licenses is another one. Windows are placed by a few
+    rare terms only; that costs next to none of the passages whose cosine is high enough."""
+    rng = random.Random(6)
+    scan = Scan()
+    long = [own for kind, _, own in scan.longer if kind == "window" and len(own) > licenses.FEW] * 6
+    prose = ["stones", "rivers", "night", "road"]
+    damaged = [[rng.choice(prose) if rng.random() < 0.1 else t for t in own] for own in long]
+    rows = [(k, " ".join([*prose * 20, *words, "license", *prose * 20]), f"{k}/a.txt") for k, words in enumerate(damaged)]
+    rows += [(1000 + k, " ".join(prose * 5), f"x/{k}") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    weights, rare = licenses.term_weights(docs, scan)
+
+    def vector(words):
+        return {t: (1 + math.log(n)) * weights.get(t, rare) for t, n in Counter(words).items()}
+
+    def cosine(a, b):
+        a, b = vector(a), vector(b)
+        return sum(w * b.get(t, 0) for t, w in a.items()) / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+    near = [k for k, (own, words) in enumerate(zip(long, damaged)) if cosine(own, words) >= scan.cosine]
+    found = {r.doc_id: r.own_license for r in licenses.scan_licenses(docs).collect()}
+    assert len(near) >= 0.3 * len(long) and sum(found[k] is not None for k in near) >= 0.95 * len(near)
+
+
+def test_deep_and_shallow_paths_take_equally_many_jobs(spark):
+    """A license at the top, one half way down and 200 levels of directories."""
+    jobs = {}
+    for depth in (4, 200):
+        at = lambda n: "/".join(f"d{k}" for k in range(n))
+        rows = [("LICENSE", "MIT", 1.0), (f"{at(depth // 2)}/COPYING", "GPL-3.0", 0.9), (f"{at(depth)}/x.txt", None, None),
+                (f"{at(depth // 2 - 1)}/y.txt", None, None), ("z.txt", None, None), ("other/z.txt", None, None)]
+        files = spark.createDataFrame(rows, "path string, own_license string, score double")
+        spark.sparkContext.setJobGroup(f"depth{depth}", "")
+        found = {r.dir: r.license for r in licenses.directory_licenses(files).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[depth] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"depth{depth}"))
+        assert found == {"": "MIT", "other": "MIT", at(depth // 2 - 1): "MIT", at(depth // 2): "GPL-3.0", at(depth): "GPL-3.0"}
+    assert jobs[4] == jobs[200] > 0
+
+
 def test_empty_table_and_clashing_columns(spark, docs):
     empty = empty_documents(spark).withColumn("path", F.lit("a/b"))
     assert licenses.scan_licenses(empty).count() == 0
