@@ -32,24 +32,104 @@ from tokenizers import Tokenizer
 
 from faregrid.llm import common
 from faregrid.llm.bpe import byte_letters, read_vocabulary
+from faregrid.llm.words import Words, span_hashes
 
 MAGIC = b"RPR1"
 HEAD = struct.Struct("<4sIQQQQ")
 SHARD_IDS = 1 << 20
-#: Chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_400_000
+#: Bytes of chunks and their ids that a worker remembers; beyond that it starts anew.
+REMEMBERED = 96 << 20
 #: A pair has to occur so often, without overlaps, to become a rule.
 LEAST_COUNT = 4
-SLOT_BITS = 18
-
 
 #: Chunks of these letters alone are one word that normalising leaves as it is, so the library's
 #: model may be asked directly: a to z, and the small letters of two bytes from U+00DF to U+00FF.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
 SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 # Ids of texts
 
+class Chunks:
+    """Different chunks, numbered, with their ids: bytes and ids each in one array, found by a table of hashes."""
+
+    def __init__(self, bits: int = 16):
+        self.hashes, self.numbers = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.text, self.ids = np.empty(1 << 20, np.uint8), np.empty(1 << 18, np.uint32)
+        # Where each chunk's text and ids begin; the next one's begin is its end.
+        self.text_at, self.ids_at, self.n = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), 0
+
+    def size(self) -> int:
+        """Bytes that are in use."""
+        return int(self.text_at[self.n] + 4 * self.ids_at[self.n]) + 28 * self.n
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the chunk with each hash, -1 if there is none."""
+        found = np.full(len(hashes), -1, np.int32)
+        left, mask = np.arange(len(hashes)), len(self.hashes) - 1
+        slot = hashes.astype(np.int64) & mask
+        while len(left):
+            number = self.numbers[slot]
+            same = (number >= 0) & (self.hashes[slot] == hashes[left])
+            found[left[same]] = number[same]
+            on = (number >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & mask
+        return found
+
+    def add(self, hashes: np.ndarray, texts: list[bytes], ids: list[bytes]) -> None:
+        """Chunks that are not there yet, of different hashes."""
+        n = self.n + len(texts)
+        self.text_at = _grown(self.text_at, n + 1)
+        self.ids_at = _grown(self.ids_at, n + 1)
+        for at, flat, name, width in ((self.text_at, texts, "text", 1), (self.ids_at, ids, "ids", 4)):
+            at[self.n + 1:n + 1] = at[self.n] + np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) // width)
+            own = _grown(getattr(self, name), int(at[n]))
+            own[at[self.n]:at[n]] = np.frombuffer(b"".join(flat), own.dtype)
+            setattr(self, name, own)
+        numbers = np.arange(self.n, n, dtype=np.int32)
+        self.n = n
+        if 2 * n > len(self.hashes):
+            used = self.numbers >= 0
+            hashes, numbers = np.concatenate((self.hashes[used], hashes)), np.concatenate((self.numbers[used], numbers))
+            size = 1 << (4 * n).bit_length()
+            self.hashes, self.numbers = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        mask = len(self.hashes) - 1
+        slot = hashes.astype(np.int64) & mask
+        while len(slot):
+            free = self.numbers[slot] < 0
+            self.numbers[slot[free]] = numbers[free]
+            won = free & (self.numbers[slot] == numbers)
+            self.hashes[slot[won]] = hashes[won]
+            hashes, numbers, slot = hashes[~won], numbers[~won], (slot[~won] + 1) & mask
+
+    def differ(self, numbers: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which spans of `data` are not, byte by byte, the chunk of their number: equal hashes decide nothing."""
+        lengths = ends - starts
+        other = self.text_at[numbers + 1] - self.text_at[numbers] != lengths
+        lengths = np.where(other, 0, lengths)
+        mine, theirs = _spans(starts, lengths), _spans(self.text_at[numbers], lengths)
+        wrong = np.concatenate(([0], np.cumsum(data[mine] != self.text[theirs])))
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        return other | (wrong[upto[1:]] != wrong[upto[:-1]])
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these chunks in a row, and where each chunk's end."""
+        lengths = self.ids_at[numbers + 1] - self.ids_at[numbers]
+        return self.ids[_spans(self.ids_at[numbers], lengths)], np.cumsum(lengths)
+
+
+def _grown(array_: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a larger one with its values, that has room for `n`."""
+    return array_ if n <= len(array_) else np.concatenate((array_, np.empty(max(n, 2 * len(array_)) - len(array_), array_.dtype)))
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, … of all spans in a row."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each different chunk between white space once.
 
@@ -63,32 +143,66 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.known = Chunks()
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunks = [self._chunks(text) for text in texts]
-        known = self.known
-        new = set()
-        for row in chunks:
-            new.update(row)
-        with common.uncollected():
-            self._learn(new.difference(known))
-        return [b"".join([known[c] for c in row]) for row in chunks]
-
-    @staticmethod
-    def _chunks(text: bytes) -> list[bytes]:
-        lowered = text.lower().split()
-        special = b"<|" in text
-        if special or not text.isascii():
-            return [b if b.isascii() and not (special and b"<|" in b) else a for a, b in zip(text.split(), lowered)]
-        return lowered
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        known = self.known
+        if self.known.size() > REMEMBERED:
+            self.known = Chunks()
+        words = Words(texts)
+        starts, ends, data = words.starts, words.ends, _LOWER[words.data]
+        # Chunks with other letters, or that may be special tokens, keep their case.
+        odd = words.data >= 128
+        odd[:-1] |= (words.data[:-1] == ord("<")) & (words.data[1:] == ord("|"))
+        odd = np.concatenate(([0], np.cumsum(odd)))
+        odd = np.flatnonzero(odd[ends] != odd[starts])
+        own = _spans(starts[odd], (ends - starts)[odd])
+        data[own] = words.data[own]
+
+        hashes = span_hashes(data, starts, ends)
+        numbers = self.known.find(hashes)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            first = new[np.unique(hashes[new], return_index=True)[1]]
+            raw = data.tobytes()
+            with common.uncollected():
+                self._learn([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            numbers[new] = self.known.find(hashes[new])
+        ids, upto = self.known.ids_of(numbers)
+        upto = np.concatenate(([0], upto))[words.first]
+        out = [ids[a:b].tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+        differ = self.known.differ(numbers, data, starts, ends)
+        for k in np.unique(words.text_of_word()[differ]).tolist():
+            # Another chunk has the hash of one of this text's: it is encoded without the table.
+            chunks = [data[a:b].tobytes() for a, b in zip(starts[words.first[k]:words.first[k + 1]], ends[words.first[k]:words.first[k + 1]])]
+            found = self._encoded(set(chunks))
+            out[k] = b"".join(found[c] for c in chunks)
+        return out
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Puts chunks and the words that they are made of into the table."""
+        found = self._encoded(set(chunks))
+        texts = [*found]
+        hashes = _hashed(texts)
+        first = np.unique(hashes, return_index=True)[1]
+        first = first[self.known.find(hashes[first]) < 0]
+        self.known.add(hashes[first], [texts[k] for k in first.tolist()], [found[texts[k]] for k in first.tolist()])
+
+    def _remembered(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Those of the chunks that are in the table, with their ids."""
+        if not chunks:
+            return {}
+        words = Words([b"\n".join(chunks)])
+        numbers = self.known.find(words.hashes())
+        there = np.flatnonzero(numbers >= 0)
+        there = there[~self.known.differ(numbers[there], words.data, words.starts[there], words.ends[there])]
+        ids, upto = self.known.ids_of(numbers[there])
+        raw, upto = ids.tobytes(), (4 * upto).tolist()
+        return {chunks[k]: raw[a:b] for k, a, b in zip(there.tolist(), [0, *upto], upto)}
+
+    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks, and of the words and marks that some of them are cut into."""
         # Final marks behind a letter or digit are words of their own.
         ended = {}
         for chunk in chunks:
@@ -96,11 +210,13 @@ class ChunkEncoder:
                 core = chunk.rstrip(b".,!?:;")
                 if core[-1:].isalnum():
                     ended[chunk] = core, chunk[len(core):]
-        cores = {part for pair in ended.values() for part in pair}
+        parts = {part for pair in ended.values() for part in pair}
+        known = self._remembered([*parts])
         plain = []
         tokenize = self.tokenizer.model.tokenize
-        for chunk in (chunks.difference(ended) | cores).difference(known):
-            if SIMPLE.fullmatch(chunk):
+        for chunk in (chunks.difference(ended) | parts).difference(known):
+            # Only chunks in small letters, or not ASCII, come here.
+            if chunk.isalpha() or (not chunk.isascii() and SIMPLE.fullmatch(chunk)):
                 word = chunk.decode("latin-1").translate(self.letters)
                 known[chunk] = array("I", [token.id for token in tokenize(word)]).tobytes()
             else:
@@ -118,6 +234,11 @@ class ChunkEncoder:
                 known[chunk] = raw[a:b]
         for chunk, (core, end) in ended.items():
             known[chunk] = known[core] + known[end]
+        return known
+
+
+def _hashed(chunks: list[bytes]) -> np.ndarray:
+    return Words([b"\n".join(chunks)]).hashes()
 
 
 @lru_cache(maxsize=2)
@@ -127,31 +248,25 @@ def encoder(file: str) -> ChunkEncoder:
 
 # Grammars
 
-def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the distinct codes, each code's place among them).
+def _numbered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct pairs as first << 32 | second, each pair's place among them).
 
-    A slot speaks for one of the codes that fall into it; the others are dealt anew by another factor.
+    Pair and place share a number where they fit, as sorting numbers is much faster than sorting places.
     """
-    n_slots = 1 << SLOT_BITS
-    place = np.empty(len(codes), np.int64)
-    left, distinct, n = np.arange(len(codes)), [np.empty(0, np.int64)], 0
-    holds, number = np.empty(n_slots, np.int64), np.empty(n_slots, np.int64)
-    factor = 0x9E3779B97F4A7C15
-    while len(left):
-        own = codes[left]
-        slot = ((own.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        holds[slot] = own
-        met = holds[slot] == own
-        taken = np.zeros(n_slots, bool)
-        taken[slot] = True
-        taken = np.flatnonzero(taken)
-        number[taken] = n + np.arange(len(taken))
-        distinct.append(holds[taken])
-        n += len(taken)
-        place[left[met]] = number[slot[met]]
-        left = left[~met]
-        factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
-    return np.concatenate(distinct), place
+    n = len(first)
+    width, room = int(second.max(initial=0)) + 1, max(n, 1).bit_length()
+    if (int(first.max(initial=0)) + 1) * width << room < 1 << 63:
+        both = np.sort(((first * width + second) << room) | np.arange(n))
+        order, codes = both & ((1 << room) - 1), both >> room
+    else:
+        width = 1 << 32
+        order = np.argsort((first << 32) | second, kind="stable")
+        codes = ((first << 32) | second)[order]
+    new = np.ones(n, bool)
+    new[1:] = codes[1:] != codes[:-1]
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return (codes[new] // width << 32) | codes[new] % width, place
 
 
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +288,7 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(open_)
         whole = len(at) == len(open_)
         first, second = seq[at], seq[at + 1]
-        distinct, pair = _numbered((first << 32) | second)
+        distinct, pair = _numbered(first, second)
         # Of a run of places with one symbol twice, every other one counts.
         counts_here = np.ones(len(at), bool)
         twice = np.flatnonzero(first == second)

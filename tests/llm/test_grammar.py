@@ -39,6 +39,41 @@ def test_case_of_special_tokens_and_marked_letters(library):
     assert [np.frombuffer(f, np.uint32).tolist() for f in found] == want
 
 
+def test_equal_hashes_do_not_mix_chunks(library, monkeypatch):
+    """With hashes of four values nearly all chunks collide; ids are right all the same."""
+    real = grammar.span_hashes
+    monkeypatch.setattr(grammar, "span_hashes", lambda *a: real(*a) % np.uint64(4))
+    monkeypatch.setattr(grammar, "_hashed", lambda chunks: grammar.Words([b"\n".join(chunks)]).hashes() % np.uint64(4))
+    monkeypatch.setattr(grammar.Words, "hashes", lambda self: real(self.data, self.starts, self.ends) % np.uint64(4))
+    every = texts() + ["one two. two! three 3.", "", "two"]
+    want = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
+    encoder = grammar.ChunkEncoder(read_vocabulary(PATH))
+    for _ in range(2):
+        assert [np.frombuffer(f, np.uint32).tolist() for f in encoder.encode([t.encode() for t in every])] == want
+
+
+def test_the_table_grows_and_starts_anew(library, monkeypatch):
+    rng = random.Random(8)
+    every = [" ".join("".join(rng.choice("abcdeé.") for _ in range(rng.randrange(1, 9))) for _ in range(300)) for _ in range(60)]
+    want = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
+    for limit in (1 << 30, 5000):
+        monkeypatch.setattr(grammar, "REMEMBERED", limit)
+        encoder = grammar.ChunkEncoder(read_vocabulary(PATH))
+        encoder.known = grammar.Chunks(bits=4)
+        found = [x for k in range(0, 60, 7) for x in encoder.encode([t.encode() for t in every[k:k + 7]])]
+        assert [np.frombuffer(f, np.uint32).tolist() for f in found] == want
+    assert encoder.known.size() < 100_000
+
+
+def test_pairs_are_numbered_alike_in_either_way():
+    rng = np.random.default_rng(1)
+    for top in (5, 1000, 1 << 31):
+        first, second = rng.integers(0, top, (2, 3000))
+        distinct, place = grammar._numbered(first, second)
+        assert (distinct[place] == (first << 32) | second).all() and (np.diff(distinct) > 0).all()
+    assert [len(x) for x in grammar._numbered(np.empty(0, np.int64), np.empty(0, np.int64))] == [0, 0]
+
+
 @pytest.mark.parametrize("ids", [
     [], [5], [5, 5], [7] * 1001, [1, 2] * 600, list(range(3000)), [0, 1, 2, 3] * 50 + [9] * 7 + [1, 2] * 9,
     [random.Random(1).randrange(6) for _ in range(5000)], [70_000, 2 ** 31 - 1] * 40])
@@ -86,7 +121,7 @@ def test_no_frequent_pair_is_left(n, kinds):
 def test_colliding_pairs_are_counted():
     codes = np.random.default_rng(3).integers(0, 1 << 62, 400_000)
     codes = np.concatenate((codes, codes))
-    distinct, place = grammar._numbered(codes)
+    distinct, place = grammar._numbered(codes >> 32, codes & 0xFFFFFFFF)
     assert len(np.unique(distinct)) == len(distinct) and (distinct[place] == codes).all()
 
 
