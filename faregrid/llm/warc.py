@@ -10,7 +10,8 @@ task; a group never holds more than `fanout` nodes, or the records of one range.
 
 Cases: a null payload is an empty record; a file or range that only one replica has differs;
 two records of a replica at one offset are both compared (by digest, in order); a null url is
-empty; an empty table has no files.
+empty; pages without id are dealt to files of their own by a hash of what they hold; columns are taken by
+name and further ones, whatever they are called, are not read; an empty table has no files.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from faregrid.llm import common
 RANGE_BYTES = 1 << 15
 FANOUT = 8
 FILE_RECORDS = 64
+#: Files that pages without id are dealt to.
+NAMELESS_FILES = 1 << 20
 
 
 def warc_records(pages: DataFrame, per_file: int = FILE_RECORDS) -> DataFrame:
@@ -35,7 +38,9 @@ def warc_records(pages: DataFrame, per_file: int = FILE_RECORDS) -> DataFrame:
                     F.lit(">\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "),
                     F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     record = F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
-    named = pages.select("page_id", F.format_string("pages-%06d.warc", F.coalesce(F.expr(f"page_id div {per_file}"), F.lit(0))).alias("file"),
+    nameless = F.format_string("pages-none-%05x.warc", F.pmod(F.xxhash64("url", "html"), F.lit(NAMELESS_FILES)))
+    file = F.when(F.col("page_id").isNull(), nameless).otherwise(F.format_string("pages-%06d.warc", F.expr(f"page_id div {per_file}")))
+    named = pages.select("page_id", file.alias("file"),
                          record.alias("record")).withColumn("length", F.octet_length("record").cast("long"))
     before = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
     return named.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))

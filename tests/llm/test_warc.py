@@ -2,6 +2,7 @@
 
 import random
 
+from helpers import with_clashes
 from pyspark.sql import functions as F
 
 from faregrid.llm import queries, warc
@@ -62,6 +63,17 @@ def test_equal_replicas_and_one_sided_files(spark):
     assert [r.file for r in files.where("their_root is null").collect()] == ["pages-000002.warc"]
 
 
+def test_clashing_columns_and_pages_without_id(spark):
+    names = ("file", "offset", "length", "record", "node", "hash", "begin", "end", "n", "digest")
+    plain, clash = pages(spark), with_clashes(pages(spark), *names)
+    assert sorted(map(tuple, warc.warc_records(clash).collect()), key=str) == sorted(map(tuple, warc.warc_records(plain).collect()), key=str)
+    nameless = spark.createDataFrame([(None, f"u{k}", "x" * k) for k in range(300)], PAGES)
+    ours = warc.warc_records(nameless)
+    assert ours.select("file").distinct().count() > 250
+    files, damage = warc.audit(ours, ours)
+    assert damage.count() == 0 and files.agg(F.sum("our_n")).first()[0] == 300
+
+
 def test_empty_tables(spark):
     empty = warc.warc_records(spark.createDataFrame([], PAGES))
     files, damage = warc.audit(empty, empty)
