@@ -142,10 +142,16 @@ select u.file, u.n as n_records, u.b::bigint as n_bytes, u.hash as our_root, t.h
 from ours_root u left join theirs_root t using (file) left join bad using (file)"""
 
 
-def near_vectors() -> str:
+_COPIES = """
+  union all
+  select vec_id + k * 1000000, label, list_transform(embedding::double[], lambda x, i: x * (1 + (((vec_id * 31 + (i - 1) * 17 + k) % 7) - 3) / 100e0))
+  from embeddings, (values (1), (2)) c(k) where k = 1 or vec_id % 5 = 0"""
+
+
+def near_vectors(more: str = "") -> str:
     """All pairs of a label, and everything that can be reached."""
-    return """
-with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+    return f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings{more}),
 pairs as (select a.vec_id, b.vec_id as other from v a join v b
           on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93),
 reach as (select vec_id, vec_id as other from v
@@ -209,6 +215,7 @@ ORACLES = {
     "op3_license_scan": license_scan(),
     "op4_warc_audit": warc_audit(),
     "op7_near_vectors": near_vectors(),
+    "near_vectors_with_copies": near_vectors(_COPIES),
     "op8_chat": chat_format(),
     "op12_ranked_search": ranked_search(),
     "op13_phrase_collocations": phrase_collocations(),

@@ -86,6 +86,17 @@ def op7_near_vectors(spark, sf):
     return vectors.near_vectors(common.read_table(spark, sf, "embeddings"))
 
 
+def near_vectors_with_copies(spark, sf):
+    """The same over all vectors and slightly changed copies of them, so that there are links: one copy
+    of each, and a second one of every fifth."""
+    vectors_ = common.read_table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    copies = vectors_.withColumn("k", F.explode(F.when(F.expr("vec_id % 5 = 0"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    changed = copies.select(
+        (F.col("vec_id") + F.col("k") * 1_000_000).alias("vec_id"), "label",
+        F.transform("embedding", lambda x, i: x * (1 + (((F.col("vec_id") * 31 + i * 17 + F.col("k")) % 7) - 3) / 100.0)).alias("embedding"))
+    return vectors.near_vectors(vectors_.unionAll(changed))
+
+
 def op8_chat(spark, sf):
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -124,6 +135,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_near_vectors": op7_near_vectors,
+    "near_vectors_with_copies": near_vectors_with_copies,
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_source_mix": op10_source_mix,
