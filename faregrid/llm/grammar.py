@@ -11,7 +11,8 @@ and commits the files on any file system and a lost task leaves nothing behind.
 
 Cases: a null or empty text has the end id alone; documents without id come first; documents of
 the same id follow each other in the order of a hash of their texts; a document longer than a shard is a
-shard of its own; an empty table gives no shard.
+shard of its own; columns are taken by name and further ones, whatever they are called, are not read; an
+empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -108,10 +109,9 @@ class Chunks:
         lengths = ends - starts
         other = self.text_at[numbers + 1] - self.text_at[numbers] != lengths
         lengths = np.where(other, 0, lengths)
-        mine, theirs = _spans(starts, lengths), _spans(self.text_at[numbers], lengths)
-        wrong = np.concatenate(([0], np.cumsum(data[mine] != self.text[theirs])))
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        return other | (wrong[upto[1:]] != wrong[upto[:-1]])
+        wrong = np.flatnonzero(data[_spans(starts, lengths)] != self.text[_spans(self.text_at[numbers], lengths)])
+        other[np.searchsorted(np.cumsum(lengths), wrong, "right")] = True
+        return other
 
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these chunks in a row, and where each chunk's end."""
@@ -127,7 +127,9 @@ def _grown(array_: np.ndarray, n: int) -> np.ndarray:
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places start, start + 1, … of all spans in a row."""
     ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
 
 class ChunkEncoder:

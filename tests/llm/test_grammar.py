@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers import empty_documents, odd_documents
+from helpers import empty_documents, odd_documents, with_clashes
 from pyspark.sql import functions as F
 from test_bpe import texts
 from tokenizers import Tokenizer
@@ -143,6 +143,15 @@ def test_files(spark, library, tmp_path, shard_ids):
     assert sorted(map(tuple, grammar.read_ids(files).collect()), key=str) == sorted(expected(docs, library), key=str)
 
 
+def test_clashing_columns(spark, tmp_path):
+    docs = odd_documents(spark, 30)
+    found = []
+    for k, df in enumerate((docs, with_clashes(docs, "part", "shard", "n_ids", "doc_ids", "data", "text_hash", "start", "n_tokens"))):
+        grammar.write_ids(df, str(tmp_path / str(k)), PATH)
+        found.append(sorted(map(tuple, grammar.read_ids(spark.read.parquet(str(tmp_path / str(k)))).collect()), key=str))
+    assert found[0] == found[1]
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "ids")
     grammar.write_ids(empty_documents(spark), path, PATH)
