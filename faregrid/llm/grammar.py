@@ -255,7 +255,7 @@ def _numbered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
 
     Pair and place share a number where they fit, as sorting numbers is much faster than sorting places.
     """
-    n = len(first)
+    n, first, second = len(first), first.astype(np.int64), second.astype(np.int64)
     width, room = int(second.max(initial=0)) + 1, max(n, 1).bit_length()
     if (int(first.max(initial=0)) + 1) * width << room < 1 << 63:
         both = np.sort(((first * width + second) << room) | np.arange(n))
@@ -280,8 +280,9 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     leave out places whose pair was too rare, until no other is left; then all are counted again, as
     a rule used once more can make a rare pair frequent.
     """
-    seq = ids.astype(np.int64)
-    base = int(seq.max()) + 1 if len(seq) else 1
+    base = int(ids.max()) + 1 if len(ids) else 1
+    # Every rule saves three places at least, so there are fewer rules than ids.
+    seq = ids.astype(np.int32 if base + len(ids) < 1 << 31 else np.int64)
     # Some places of a pair may be taken in a later round, by the same rule.
     rules, symbols = {}, base
     # Places whose pair may be frequent.
@@ -336,7 +337,7 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         open_[last] = False
         seq, open_ = seq[stays], open_[stays][:-1]
     codes = np.array(list(rules), np.int64)
-    return base, codes >> 32, codes & 0xFFFFFFFF, seq
+    return base, codes >> 32, codes & 0xFFFFFFFF, seq.astype(np.int64)
 
 
 class Grammar:
@@ -358,16 +359,18 @@ class Grammar:
         return self._expand(self.seq[a:b + 1])[begin - skipped:end - skipped]
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        while len(new := np.flatnonzero(seq >= self.base)):
-            width = np.ones(len(seq), np.int64)
-            width[new] = 2
-            at = np.cumsum(width) - width
-            out = np.empty(len(seq) + len(new), np.int64)
-            out[at] = seq
-            rule = seq[new] - self.base
-            out[at[new]], out[at[new] + 1] = self.left[rule], self.right[rule]
-            seq = out
-        return seq
+        """The ids of symbols, from the top of their rules down; each pass touches open symbols only."""
+        lengths = self.lengths[seq]
+        at = np.cumsum(lengths) - lengths
+        out = np.empty(int(lengths.sum()), np.int64)
+        while len(seq):
+            done = seq < self.base
+            out[at[done]] = seq[done]
+            at, rule = at[~done], seq[~done] - self.base
+            left, right = self.left[rule], self.right[rule]
+            at = np.concatenate((at, at + self.lengths[left]))
+            seq = np.concatenate((left, right))
+        return out
 
 
 def expansion_lengths(base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
