@@ -45,6 +45,8 @@ LEAST_COUNT = 4
 
 #: Chunks of these letters alone are one word that normalising leaves as it is, so the library's
 #: model may be asked directly: a to z, and the small letters of two bytes from U+00DF to U+00FF.
+#: Final marks that are words of their own.
+_MARKS = b".,!?:;"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
@@ -208,21 +210,24 @@ class ChunkEncoder:
         # Final marks behind a letter or digit are words of their own.
         ended = {}
         for chunk in chunks:
-            if chunk[-1:] in b".,!?:;":
-                core = chunk.rstrip(b".,!?:;")
+            if chunk[-1] in _MARKS:
+                core = chunk.rstrip(_MARKS)
                 if core[-1:].isalnum():
                     ended[chunk] = core, chunk[len(core):]
         parts = {part for pair in ended.values() for part in pair}
         known = self._remembered([*parts])
-        plain = []
-        tokenize = self.tokenizer.model.tokenize
+        plain, simple, flat, ends = [], [], [], [0]
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
         for chunk in (chunks.difference(ended) | parts).difference(known):
             # Only chunks in small letters, or not ASCII, come here.
             if chunk.isalpha() or (not chunk.isascii() and SIMPLE.fullmatch(chunk)):
-                word = chunk.decode("latin-1").translate(self.letters)
-                known[chunk] = array("I", [token.id for token in tokenize(word)]).tobytes()
+                flat += [token.id for token in tokenize(chunk.decode("latin-1").translate(letters))]
+                simple.append(chunk)
+                ends.append(4 * len(flat))
             else:
                 plain.append(chunk)
+        raw = array("I", flat).tobytes()
+        known.update(zip(simple, [raw[a:b] for a, b in zip(ends, ends[1:])]))
         for i in range(0, len(plain), 256):
             some = plain[i:i + 256]
             words = [c.decode() for c in some]
