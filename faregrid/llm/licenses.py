@@ -239,11 +239,16 @@ def _longer(docs: DataFrame, scan: Scan, weights: dict[str, float], rare: float)
     """Windows, heads and whole texts."""
     spark = docs.sparkSession
     lowered = F.lower(common.whole_text())
-    named = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(word)) for word in scan.named), _is_file(docs))
+    named = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(word)) for word in scan.named))
+    # Of a license file that names nothing, only the head is compared: as many terms as the longest title has.
+    head = max((len(own) for kind, _, own in scan.longer if kind == "head"), default=0)
+    found = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
+    mark = common.free_name(docs, "named")
     # Distinct, as repeated rows have one key.
-    terms = common.stored(docs.where(named).select(
-        _row_key(docs).alias("row_key"), _is_file(docs).alias("is_file"),
-        F.posexplode(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))).alias("pos", "term")).distinct(), "license-terms")
+    read = common.stored(docs.withColumn(mark, named).where(F.col(mark) | _is_file(docs)).select(
+        _row_key(docs).alias("row_key"), _is_file(docs).alias("is_file"), F.col(mark).alias("named"),
+        F.posexplode(F.when(F.col(mark), found).otherwise(F.slice(found, 1, head))).alias("pos", "term")).distinct(), "license-terms")
+    terms = read.where("named")
     seeds, titles, vectors = [], [], []
     for k, (kind, name, own) in enumerate(scan.longer):
         vector = {t: (1 + math.log(n)) * weights[t] for t, n in Counter(own).items()}
@@ -265,11 +270,11 @@ def _longer(docs: DataFrame, scan: Scan, weights: dict[str, float], rare: float)
 
     windows = terms.join(seeds, "term").select("row_key", "k", (F.col("pos") - F.col("j")).alias("start"), "n").distinct()
     title = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in titles))).alias("t")
-    heads = terms.where("is_file and pos = 0").select("row_key", title).select("row_key", "t.k", F.lit(0).alias("start"), "t.n")
+    heads = read.where("is_file and pos = 0").select("row_key", title).select("row_key", "t.k", F.lit(0).alias("start"), "t.n")
     places = windows.unionByName(heads).select("row_key", "k", "start", F.explode(
         F.sequence(F.greatest("start", F.lit(0)), F.col("start") + F.col("n") - 1)).alias("pos"))
     weight = (1 + F.log("n")) * F.coalesce("idf", F.lit(rare))
-    counted = places.join(terms.select("row_key", "pos", "term"), ["row_key", "pos"]).groupBy("row_key", "k", "start", "term").agg(
+    counted = places.join(read.select("row_key", "pos", "term"), ["row_key", "pos"]).groupBy("row_key", "k", "start", "term").agg(
         F.count("*").alias("n"))
     near = counted.join(idf, "term", "left").withColumn("weight", weight).join(products.select("k", "term", "share"), ["k", "term"], "left").groupBy(
         "row_key", "k", "start").agg((F.sum(F.col("weight") * F.col("share")) / F.sqrt(F.sum(F.col("weight") * F.col("weight")))).alias("cosine"))
