@@ -77,9 +77,10 @@ def stream_seconds(spark: SparkSession, table: DataFrame, schema, query, name: s
     running.awaitTermination()
     seconds = round(time.perf_counter() - start, 3)
     log.wait_for(running)
-    batches = log.close().where("rows > 0").agg(
-        F.count("*"), F.median("rate"), F.max("state_rows")).first()
-    found[name] = {"batches": batches[0], "median_rows_per_sec": round(batches[1]), "most_state_rows": batches[2]}
+    batches = runs.progress_rows(log.close()).where("rows > 0").agg(
+        F.count("*"), F.median("rate"), F.max("state_rows"), F.median("took_ms")).first()
+    found[name] = {"batches": batches[0], "median_rows_per_sec": round(batches[1]), "most_state_rows": batches[2],
+                   "median_batch_sec": round(batches[3] / 1000, 3)}
     return seconds
 
 

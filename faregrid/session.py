@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     # A micro-batch uploads what it changed, not the whole store; a join keeps one store, not four.
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.join.stateFormatVersion": "3",
+    # Queries that run side by side share the cores.
+    "spark.scheduler.mode": "FAIR",
     "spark.ui.enabled": "false",
 }
 
