@@ -39,8 +39,8 @@ RESULTS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols"
 @dataclass(frozen=True)
 class QualityRules:
     buckets: int = 1 << 16
-    #: At most so many trusted documents are used to count the target; the corpus is counted whole.
-    trusted_limit: int = 20_000
+    #: All trusted documents count. Up to so many of their ids are broadcast; more of them are joined by a shuffle.
+    broadcast_ids: int = 2_000_000
     #: Added to each bucket's counts, as a share of the mean count of the target: n-grams of a few documents
     #: say little.
     smoothing: float = 0.5
@@ -62,10 +62,9 @@ def _grams(words: Words, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray,
 
 
 def _marked(docs: DataFrame, trusted: DataFrame, flag: str) -> DataFrame:
-    """`docs` with whether they are trusted; there are at most `trusted_limit` ids, so they may be
-    broadcast."""
+    """`docs` with whether they are trusted. `trusted` carries the broadcast hint if its ids are few enough."""
     ids = trusted.select("doc_id").distinct().withColumn(flag, F.lit(True))
-    return docs.join(F.broadcast(ids), "doc_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return docs.join(ids, "doc_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame, rules: QualityRules) -> DataFrame:
@@ -225,14 +224,15 @@ def _judge(texts: list[bytes], trusted: np.ndarray, totals: np.ndarray, rules: Q
             ~failed & ~(scores < (-np.inf if floor is None else floor)))
 
 
-def trusted_sample(labels: DataFrame, rules: QualityRules) -> DataFrame:
-    """Ids of documents labelled as good: those with the smallest hashes, up to the limit."""
-    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_limit)
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled as good."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """All steps: count the two multinomials over `docs`, see how trusted documents score, judge every document."""
-    trusted = common.stored(trusted_sample(labels, rules), "trusted")
+    trusted = common.stored(trusted_documents(labels), "trusted")
+    if trusted.count() <= rules.broadcast_ids:
+        trusted = F.broadcast(trusted)
     totals = collected(gram_counts(docs, trusted, rules), rules)
     return apply_rules(docs, totals, trusted, rules, score_floor(docs, totals, trusted, rules))

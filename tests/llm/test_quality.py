@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 from helpers import empty_documents, odd_documents, with_clashes
+from pyspark.sql import functions as F
 
 from faregrid.llm import common, quality
 from faregrid.llm.quality import QualityRules
@@ -101,6 +102,20 @@ def test_junk_is_told_from_held_out_good_text(spark, sf_dir, sf, junk_kept):
     assert sum(r.llr for r in junk) / len(junk) < sum(r.llr for r in good) / len(good) - 0.5
 
 
+def test_all_trusted_documents_count(spark):
+    """More of them than were once taken; also with ids that are joined by a shuffle."""
+    n = 20_100
+    words = "some plain words of a text that is long enough to pass every count there is in this test"
+    docs = spark.range(n + 400).select(F.col("id").alias("doc_id"), F.format_string(f"%d a{n} b%d {words}", "id", F.col("id") % 7).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    ids = quality.trusted_documents(labels)
+    counts = quality.collected(quality.gram_counts(docs, ids, QualityRules()), QualityRules()).sum(axis=1)
+    assert ids.count() == n and counts[1] * (n + 400) == counts[0] * n  # every text has equally many n-grams
+    some = docs.where(F.col("doc_id") % 100 == 0)
+    rows = [sorted(quality.judge_documents(some, labels, rules).collect()) for rules in (QualityRules(), QualityRules(broadcast_ids=0))]
+    assert rows[0] == rows[1] and len(rows[0]) == 205
+
+
 def test_few_trusted_documents_reject_nothing_by_score(spark):
     docs = spark.createDataFrame([(k, f"word{k} " + "some plain words of a text " * 4) for k in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, 1, 0) for k in range(5)], LABELS)
