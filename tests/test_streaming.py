@@ -31,6 +31,28 @@ def test_distance_stream_equals_batch(spark, sf_dir):
         trip_distance(table).withColumn("avg_trip_distance", mean))
 
 
+def test_state_partitions_are_bounded(spark, sf_dir, tmp_path):
+    """A session set for large tables: the state has a few partitions per core, the setting stays."""
+    arrived, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    trips(spark, sf_dir).select(*(F.col(f.name).cast(f.dataType) for f in S.DISTANCE_TRIP.fields)).write.parquet(arrived)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        runs.run_available(trip_distance(runs.read_stream(spark, arrived, S.DISTANCE_TRIP)), out, checkpoint)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.numPartitions for r in state.operators(spark, checkpoint).collect()} == {4 * spark.sparkContext.defaultParallelism}
+
+
+def test_slices_are_bounded_and_hold_every_trip_once(spark, sf_dir):
+    table = trips(spark, sf_dir)
+    n = table.count()
+    parts = [part.agg(F.count("*"), F.min("ts"), F.max("ts")).first() for part in runs.time_slices(table, 2, n // 5)]
+    assert len(parts) >= 5 and sum(p[0] for p in parts) == n
+    assert all(a[2] < b[1] for a, b in zip(parts, parts[1:]))
+    assert len(runs.time_slices(table, 2)) == 2 and runs.time_slices(table.limit(0), 2) == []
+
+
 def test_areas_stream_equals_batch_and_frees_its_state(spark, sf_dir, tmp_path):
     table = trips(spark, sf_dir)
     fields = [F.col(f.name).cast(f.dataType) for f in S.FARE_TRIP.fields]
