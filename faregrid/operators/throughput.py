@@ -62,13 +62,66 @@ def _next_place(place: Column) -> Column:
     return F.element_at("nodes", place)["next_place"]
 
 
+def _with_neighbours(points: DataFrame, step: int) -> DataFrame:
+    """(source, t, before, after): every point with the nearest one before and behind it. They are looked
+    for inside groups of FANOUT steps, then in runs of FANOUT groups, then over the runs."""
+    rows = points.select("source", "t", floor_div(F.col("t"), step * FANOUT).alias("g"))
+    order = Window.partitionBy("source", "g").orderBy("t")
+    rows = rows.withColumns({"before": F.lag("t").over(order), "after": F.lead("t").over(order)})
+    ends = [F.min("first").alias("first"), F.max("last").alias("last")]
+    groups = rows.withColumns({"first": F.col("t"), "last": F.col("t")}).groupBy("source", "g").agg(*ends).withColumn(
+        "run", floor_div(F.col("g"), FANOUT))
+    order = Window.partitionBy("source", "run").orderBy("g")
+    runs = groups.groupBy("source", "run").agg(*ends)
+    groups = groups.withColumns({"near_before": F.lag("last").over(order), "near_after": F.lead("first").over(order)})
+    order = Window.partitionBy("source").orderBy("run")
+    runs = runs.select("source", "run", F.lag("last").over(order).alias("far_before"), F.lead("first").over(order).alias("far_after"))
+    groups = groups.join(runs, ["source", "run"]).select(
+        "source", "g", F.coalesce("near_before", "far_before").alias("group_before"), F.coalesce("near_after", "far_after").alias("group_after"))
+    return rows.join(groups, ["source", "g"]).select(
+        "source", "t", F.coalesce("before", "group_before").alias("before"), F.coalesce("after", "group_after").alias("after"))
+
+
+def _sessions(points: DataFrame, step: int) -> DataFrame:
+    """(source, t) with the source made narrower: its points from one that `opens` up to the next such one."""
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1])
+    first, now = Window.unboundedPreceding, Window.currentRow
+    rows = points.withColumn("g", floor_div(F.col("t"), step * FANOUT)).withColumn("opened", F.when(F.col("opens"), F.col("t")))
+    rows = rows.withColumn("start", F.last("opened", ignorenulls=True).over(upto("source", "g", "t").rowsBetween(first, now)))
+    groups = rows.groupBy("source", "g").agg(F.max("opened").alias("opened")).withColumn("run", floor_div(F.col("g"), FANOUT))
+    runs = groups.groupBy("source", "run").agg(F.max("opened").alias("opened"))
+    groups = groups.withColumn("near", F.last("opened", ignorenulls=True).over(upto("source", "run", "g").rowsBetween(first, -1)))
+    runs = runs.select("source", "run", F.last("opened", ignorenulls=True).over(upto("source", "run").rowsBetween(first, -1)).alias("far"))
+    groups = groups.join(runs, ["source", "run"]).select("source", "g", F.coalesce("near", "far").alias("earlier"))
+    return rows.join(groups, ["source", "g"]).select(
+        F.struct("source", F.coalesce("start", "earlier").alias("start")).alias("source"), "t")
+
+
+def _taken(points: DataFrame, step: int, low: int, high: int) -> DataFrame:
+    """(source, t, next) of the points that are met from each source's first by going to the successor.
+
+    A point that lies `step` or more behind the one before it is always met: whatever was met last before
+    it, it is that one's successor. So walks are only needed inside sessions, points at closer
+    distances from such a point to the next one, and a session of one point needs none.
+    """
+    near = stored(_with_neighbours(points, step).select(
+        "source", "t", "after", F.coalesce(F.col("t") - F.col("before") >= step, F.lit(True)).alias("opens"),
+        F.coalesce(F.col("after") - F.col("t") >= step, F.lit(True)).alias("closes")), "neighbours")
+    close = near.where("not (opens and closes)")
+    if close.isEmpty():
+        return near.select("source", "t", F.col("after").alias("next"))
+    walked = _chain(stored(_sessions(close, step), "sessions"), step, low, high)
+    met = near.where("opens and closes").select("source", "t").unionAll(walked.select("source.source", "t"))
+    return _with_neighbours(stored(met, "met"), step).select("source", "t", F.col("after").alias("next"))
+
+
 def _chain(points: DataFrame, step: int, low: int, high: int) -> DataFrame:
     """(source, t, next) of the points that are met from each source's first by going to the successor.
 
     Two of them are never in one interval of `step`, so inside a group of FANOUT intervals a walk has
     that many steps at most. Walks from all points at which a group may be entered make the links
-    between groups, which are grouped in turn, until a group spans everything. Then the entries that
-    are really met are told from the top down. Work on each level is spread by group, also of one source.
+    between groups, which are grouped in turn, until a group spans everything or no link leaves one. Then the
+    entries that are really met are told from the top down. Work on each level is spread by group, also of one source.
     """
     steps = F.sequence(F.lit(1), F.lit(FANOUT))
     first = points.groupBy("source").agg(F.min("t").alias("t"))
@@ -76,9 +129,9 @@ def _chain(points: DataFrame, step: int, low: int, high: int) -> DataFrame:
     while True:
         groups = stored(_linked(nodes, span), "links")
         levels.append((groups, span))
-        if low // span == high // span:
-            break
         pointers = groups.select("source", "g", F.explode("nodes").alias("n")).where("n.next is not null and n.next_place is null")
+        if low // span == high // span or pointers.isEmpty():
+            break
         entries = pointers.select("source", F.col("n.next").alias("t")).unionAll(first).distinct()
         last = F.aggregate(steps, F.col("at"), lambda at, _: F.coalesce(_next_place(at), at))
         nodes = _entered(groups, entries, span).select("source", "t", F.element_at("nodes", last)["next"].alias("next"))
@@ -110,7 +163,7 @@ def samples_from_checkpoints(
         return points.select("source.*", F.lit(0).cast("long").alias("sample_no"), F.lit(0.0).alias("rate"))
     # Times from 0 on: all groups above are then one in the end.
     points = points.withColumn("t", F.col("t") - low)
-    taken = stored(_chain(points, min_interval_ms, 0, high - low), "taken")
+    taken = stored(_taken(points, min_interval_ms, 0, high - low), "taken")
     # Numbers inside runs of time, then over a source's runs.
     run = floor_div(F.col("t"), min_interval_ms * FANOUT * FANOUT)
     runs = taken.groupBy("source", run.alias("run")).agg(F.count("*").alias("n"))

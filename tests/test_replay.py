@@ -149,6 +149,16 @@ def test_samples_match_plain_python(spark, step):
     assert sorted(map(tuple, got.collect()), key=str) == plain_samples(rows, step)
 
 
+def test_only_close_checkpoints_are_walked(spark, monkeypatch):
+    """Far checkpoints make no links; of a few close ones among them, only those do, on one level."""
+    linked, walked = throughput._linked, []
+    monkeypatch.setattr(throughput, "_linked", lambda nodes, span: walked.append(nodes.count()) or linked(nodes, span))
+    rows = [("ab"[k % 2], 100_000 * k, k) for k in range(300)]
+    assert samples_of(spark, rows) == sorted(plain_samples(rows, 1000)) and walked == []
+    rows += [("a", 7_000_000 + 400 * k, k) for k in range(6)]
+    assert samples_of(spark, rows) == sorted(plain_samples(rows, 1000)) and walked == [6]
+
+
 def test_one_source_is_spread_over_tasks(spark):
     """No Python, and every step's groups are bounded by time, not by source."""
     df = spark.range(40_000).select(F.lit("a").alias("q"), (F.col("id") * 300).alias("t_ms"), F.col("id").alias("total"))
