@@ -37,6 +37,11 @@ from pyspark.sql import functions as F
 from faregrid.llm import common
 from faregrid.llm.components import components
 
+#: Buckets of at most so many vectors are compared many at a time, pair by pair.
+SMALL = 32
+#: Numbers of each side that are gathered at once for that.
+GATHERED = 1 << 22
+
 
 @dataclass(frozen=True)
 class Near:
@@ -112,11 +117,13 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
 
 
 def by_tiles(rows: DataFrame, payload: list[str], near: Near, schema: str,
-             compare: Callable[[int, list, np.ndarray, np.ndarray], pa.RecordBatch | None]) -> DataFrame:
+             compare: Callable[[int, list, np.ndarray, np.ndarray], pa.RecordBatch | None],
+             compare_pairs: Callable[[np.ndarray, list, np.ndarray, np.ndarray], pa.RecordBatch | None]) -> DataFrame:
     """Brings the rows of each (label, table, key, size) together, tile by tile with each other.
 
     `compare(table, columns, first, second)` gets two tiles of one bucket as row numbers, or the
-    same tile twice, and returns its result rows.
+    same tile twice, and returns its result rows. The pairs of small buckets of one label are compared in one
+    go: `compare_pairs(tables, columns, first, second)` gets each row's table and the pairs' row numbers.
     """
     place = ["label", "table", "key"]
     rows = common.stored(rows, "filed")
@@ -151,8 +158,11 @@ def by_tiles(rows: DataFrame, payload: list[str], near: Near, schema: str,
         return np.concatenate(([0], np.flatnonzero(change) + 1, [len(table)]))
 
     def _each(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(bounds)
+        few = (sizes > 1) & (sizes <= SMALL)
+        yield from _together(table, bounds[:-1][few], sizes[few])
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if b - a > 1:
+            if b - a > SMALL:
                 own = table.slice(a, b - a)
                 at, low, high, tile = (own.column(k).to_numpy() for k in (1, 3, 4, 5))
                 first, second = np.flatnonzero(tile == low[0]), np.flatnonzero(tile == high[0])
@@ -161,9 +171,43 @@ def by_tiles(rows: DataFrame, payload: list[str], near: Near, schema: str,
                     if out is not None:
                         yield out
 
+    def _together(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(starts):
+            return
+        labels = table.column(0).take(pa.array(starts)).combine_chunks().dictionary_encode()
+        labels = labels.chunk(0) if isinstance(labels, pa.ChunkedArray) else labels
+        label = labels.indices.to_numpy(zero_copy_only=False)
+        for own in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(label)) + 1):  # one label: one length
+            begin = int(starts[own[0]])
+            part = table.slice(begin, int(starts[own[-1]] + sizes[own[-1]]) - begin)
+            first, second = _pairs_within(starts[own] - begin, sizes[own])
+            tile, low, high = (part.column(k).to_numpy() for k in (5, 3, 4))
+            asked = (low[first] == high[first]) | (tile[first] != tile[second])
+            out = compare_pairs(part.column(1).to_numpy(), part.columns[6:], first[asked], second[asked])
+            if out is not None:
+                yield out
+
     return common.map_arrow(ordered, step, schema)
 
 
+def _pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs of rows that lie in the same bucket."""
+    first, second = [], []
+    for size in np.unique(sizes).tolist():
+        a, b = np.triu_indices(size, 1)
+        at = starts[sizes == size][:, None]
+        first.append((at + a).ravel())
+        second.append((at + b).ravel())
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _products(x: np.ndarray, y: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Inner products of rows `first` of x with rows `second` of y."""
+    step = max(GATHERED // max(x.shape[1], 1), 1)
+    parts = [np.einsum("ij,ij->i", x[first[k:k + step]], y[second[k:k + step]]) for k in range(0, len(first), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _matrix(column: pa.ChunkedArray, kind=np.float64) -> np.ndarray:
     values = column.combine_chunks()
     values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
@@ -179,16 +223,18 @@ def not_ruled_out(items: DataFrame, near: Near) -> DataFrame:
     filed = items.select("id", "label", F.posexplode("keys").alias("table", "key"), "code", "factor", "small", "scale")
     lean = np.sqrt(1 - near.cosine ** 2)
 
-    def compare(table: int, columns: list, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
-        ids = columns[0].to_numpy()
+    def unpacked(columns: list) -> tuple:
         small = _of_bytes(columns[3], np.int8).astype(np.float32)
         size = small.shape[1]
         signs = np.unpackbits(_of_bytes(columns[1], np.uint8), axis=1)[:, :size].astype(np.float32) * 2 - 1
         factor, scale = columns[2].to_numpy(), columns[4].to_numpy()
-        turned = small * scale[:, None].astype(np.float32)
-        close = np.zeros(len(ids), bool)
         # The error shrinks as the angle does: at the wanted cosine its deviation is this one.
         error = near.sure * lean * np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor / np.sqrt(max(size - 1, 1))
+        return columns[0].to_numpy(), size, signs, small * scale[:, None].astype(np.float32), factor, error
+
+    def compare(table: int, columns: list, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
+        ids, size, signs, turned, factor, error = unpacked(columns)
+        close = np.zeros(len(ids), bool)
         for a, b in ((first, second), (second, first)):
             guess = (signs[a] @ turned[b].T) / np.sqrt(size) / factor[a][:, None]
             hit = guess >= near.cosine - error[a][:, None] - 0.01
@@ -200,7 +246,18 @@ def not_ruled_out(items: DataFrame, near: Near) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[close]), pa.array(np.full(close.sum(), table), pa.int32())], names=["id", "table"])
 
-    return by_tiles(filed, ["id", "code", "factor", "small", "scale"], near, "id long, table int", compare).distinct()
+    def compare_pairs(tables: np.ndarray, columns: list, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
+        ids, size, signs, turned, factor, error = unpacked(columns)
+        close = np.zeros(len(ids), bool)
+        for a, b in ((first, second), (second, first)):
+            guess = _products(signs, turned, a, b) / np.sqrt(size) / factor[a]
+            hit = guess >= near.cosine - error[a] - 0.01
+            close[a[hit]] = close[b[hit]] = True
+        if not close.any():
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(ids[close]), pa.array(tables[close], pa.int32())], names=["id", "table"])
+
+    return by_tiles(filed, ["id", "code", "factor", "small", "scale"], near, "id long, table int", compare, compare_pairs).distinct()
 
 
 def exact_links(items: DataFrame, maybe: DataFrame, near: Near) -> DataFrame:
@@ -229,13 +286,34 @@ def exact_links(items: DataFrame, maybe: DataFrame, near: Near) -> DataFrame:
             least[second] = np.minimum(least[second], far)
             if (least == before).all():
                 break
+        return linked_rows(ids, least, found)
+
+    def compare_pairs(tables: np.ndarray, columns: list, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch | None:
+        ids, vectors, keys, n = columns[0].to_numpy(), _matrix(columns[1]), _matrix(columns[2], np.int32), columns[3].to_numpy()
+        linked = (_products(vectors, vectors, first, second) >= near.cosine) & (ids[first] != ids[second])
+        first, second = first[linked], second[linked]
+        # The pair's first table is the first one with equal keys.
+        fresh = (keys[first] == keys[second]).argmax(axis=1) == tables[first]
+        found = np.zeros(len(ids), np.int64)
+        np.add.at(found, first[fresh], n[second[fresh]])
+        np.add.at(found, second[fresh], n[first[fresh]])
+        least = ids.copy()
+        while True:
+            before = least.copy()
+            np.minimum.at(least, first, least[second])
+            np.minimum.at(least, second, least[first])
+            if (least == before).all():
+                break
+        return linked_rows(ids, least, found)
+
+    def linked_rows(ids: np.ndarray, least: np.ndarray, found: np.ndarray) -> pa.RecordBatch | None:
         some = np.flatnonzero((found > 0) | (least != ids))
         if not len(some):
             return None
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[some]), pa.array(least[some]), pa.array(found[some])], names=["u", "v", "n"])
 
-    return by_tiles(filed, ["id", "vector", "keys", "n"], near, "u long, v long, n long", compare)
+    return by_tiles(filed, ["id", "vector", "keys", "n"], near, "u long, v long, n long", compare, compare_pairs)
 
 
 def near_vectors(rows: DataFrame, near: Near = Near()) -> DataFrame:

@@ -1,6 +1,7 @@
 """Embedding near-duplicates against all cosines."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from faregrid.llm import vectors
@@ -99,3 +100,22 @@ def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame(groups(3), SCHEMA).withColumns({c: F.lit("own") for c in ("id", "n", "root", "kept", "own_label")})
     assert vectors.near_vectors(df).columns == ["vec_id", "n_links", "component_id", "kept"]
     assert vectors.near_vectors(df).count() == df.count()
+
+
+def test_small_buckets_are_compared_together(spark):
+    """150 buckets of four: each pair once, and never one bucket at a time."""
+    rows = spark.createDataFrame([(k, f"4/{k % 2}", k % 3, k // 24) for k in range(600)], "id long, label string, table int, key int")
+
+    def never(*_):
+        raise AssertionError("a small bucket was compared by itself")
+
+    def pairs(tables, columns, first, second):
+        ids = columns[0].to_numpy()
+        assert (tables == ids % 3).all()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[first]), pa.array(ids[second]), pa.array(np.full(len(first), len(first)))], names=["u", "v", "n"])
+
+    found = vectors.by_tiles(rows, ["id"], Near(), "u long, v long, n long", never, pairs).collect()
+    want = {(a, b) for a in range(600) for b in range(a) if a % 6 == b % 6 and a // 24 == b // 24}
+    assert len(found) == len(want) and {(max(r.u, r.v), min(r.u, r.v)) for r in found} == want
+    assert sum(r.n == 6 for r in found) <= 4 * 6  # each of four tasks has its last bucket left
