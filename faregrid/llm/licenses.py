@@ -320,8 +320,9 @@ def directory_licenses(files: DataFrame) -> DataFrame:
     depths = F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(steps)))
     above = dirs.select("dir", F.explode(depths).alias("depth")).withColumn(
         "above", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
-    # The top's license meets every directory: a skewed join, which Spark splits as it runs.
-    return above.join(own, "above").groupBy("dir").agg(F.max(F.struct("depth", "license", "licensed_by")).alias("x")).select(
+    # The top's license meets every directory: a skewed join, which Spark splits as it runs. It stays a sorted one:
+    # whether it became a broadcast, with a job more, would depend on which side is done first.
+    return above.join(own.hint("merge"), "above").groupBy("dir").agg(F.max(F.struct("depth", "license", "licensed_by")).alias("x")).select(
         "dir", "x.license", "x.licensed_by")
 
 
