@@ -2,8 +2,8 @@
 
 Texts are cut into pieces at marks and line ends, pieces into words, and counted per language:
 1. blocks of words, each with its own small dictionary, are written to the shared folder;
-2. the blocks' dictionaries are summed up; a word that is rare cannot be part of a frequent phrase,
-   the others get a number, and blocks are rewritten in these numbers;
+2. the blocks' dictionaries are brought together by word and summed up; a word that is rare cannot be part of a
+   frequent phrase, the others get a number there, and blocks are rewritten in these numbers;
 3. for two to five words, each task counts its blocks' n-grams in quotient filters and sends them cut by
    quotient; the filters of a range are merged, and the frequent n-grams kept;
 4. frequent n-grams are scored, those that a longer one holds are dropped, the rest is ranked.
@@ -114,15 +114,28 @@ def blocks(docs: DataFrame, options: Mining) -> DataFrame:
         "block string, lang string, words array<string>, counts array<long>, ids binary"), "blocks")
 
 
-def _numbered(df: DataFrame, name: str, column: str) -> DataFrame:
-    """`df`, written, with numbers from 1 on: counted per task, then summed up over tasks."""
-    df = common.stored(df.withColumn("_at", F.monotonically_increasing_id()), name)
-    task, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = df.groupBy(task.alias("_task")).agg(F.count("*").alias("_n")).select(
-        "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return df.withColumn("_task", task).join(F.broadcast(tasks), "_task").withColumn(
-        column, (F.col("_base") + inside + 1).cast("int")).drop("_at", "_task", "_base")
+def listed_words(held: DataFrame, options: Mining) -> tuple[DataFrame, DataFrame]:
+    """(block, lang, pos, word, a, is_new, task, inside) of every block's frequent words, `a` their count in the
+    language, and (task, base): `base + inside` is a word's number from 1 on. Both are written to the shared folder.
+
+    The shuffle that counts a word brings all blocks that hold it together, so they get its number there, without a
+    join; windows keep their rows on disk where they are many, so a word may be in any number of blocks.
+    """
+    same = Window.partitionBy("lang", "word")
+    rows = held.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select(
+        "block", "lang", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    rows = rows.withColumns({"nth": F.row_number().over(same.orderBy("block", "pos")), "a": F.sum("n").over(same)})
+    # A word's rows follow each other in one task: it is numbered where its first one stands.
+    rows = rows.where(F.col("a") >= options.least).select(
+        "block", "lang", "pos", "word", "a", (F.col("nth") == 1).cast("int").alias("is_new"),
+        F.monotonically_increasing_id().alias("at"))
+    rows = common.stored(rows.withColumn("task", F.shiftright("at", 33)), "listed")
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("task").agg(F.sum("is_new").alias("n")).select(
+        "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    upto = Window.partitionBy("task").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumn("inside", F.sum("is_new").over(upto)).drop("at")
+    return common.stored(numbered, "numbered"), common.stored(tasks, "bases")
 
 
 def _small(df: DataFrame, n: int, options: Mining) -> DataFrame:
@@ -130,11 +143,12 @@ def _small(df: DataFrame, n: int, options: Mining) -> DataFrame:
     return F.broadcast(df) if n <= options.broadcast_rows else df
 
 
-def rewritten(held: DataFrame, dictionary: DataFrame, n_words: int, options: Mining) -> DataFrame:
+def rewritten(held: DataFrame, listed: DataFrame, bases: DataFrame) -> DataFrame:
     """(lang, ids): the blocks in the numbers of frequent words, each run of other words and breaks as one 0."""
-    known = _small(dictionary.select("lang", "word", "id"), n_words, options)
-    names = held.select("block", "lang", F.posexplode("words").alias("pos", "word")).join(known, ["lang", "word"])
-    names = names.groupBy("block", "lang").agg(F.collect_list(F.struct("pos", "id")).alias("names"))
+    names = listed.groupBy("block", "lang", "task").agg(F.collect_list(F.struct("pos", "inside")).alias("some")).join(
+        F.broadcast(bases), "task")
+    moved = F.transform("some", lambda x: F.struct(x["pos"].alias("pos"), (F.col("base") + x["inside"]).cast("int").alias("id")))
+    names = names.groupBy("block", "lang").agg(F.flatten(F.collect_list(moved)).alias("names"))
     both = held.select("block", "lang", F.size("words").alias("n"), "ids").join(names, ["block", "lang"]).select(
         "lang", "n", "ids", "names.pos", "names.id")
 
@@ -268,16 +282,16 @@ def scored(grams: DataFrame, totals: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, options: Mining = Mining()) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first phrases of every language."""
     held = blocks(docs, options)
-    words = held.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(
-        "lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("a"))
-    words = common.stored(words, "words")
-    totals = common.stored(words.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-    dictionary = _numbered(words.where(F.col("a") >= options.least), "dictionary", "id")
+    totals = common.stored(held.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda n, k: n + k).alias("n")).groupBy(
+        "lang").agg(F.sum("n").alias("n")), "totals")
+    listed, bases = listed_words(held, options)
+    dictionary = listed.where("is_new = 1").join(F.broadcast(bases), "task").select(
+        "lang", "word", (F.col("base") + F.col("inside")).cast("int").alias("id"), "a")
     n_words = dictionary.count()
     bits = max(n_words, 1).bit_length()
     if bits > 31:
         raise ValueError("over 2**31 frequent words: raise `least`")
-    corpus = rewritten(held, dictionary, n_words, options)
+    corpus = rewritten(held, listed, bases)
     n_all = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     range_bits = max(0, (n_all // options.range_words).bit_length())
     found, shorter = [dictionary.select("lang", F.array("id").alias("ids"), "a")], None

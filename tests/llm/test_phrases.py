@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from helpers import empty_documents, odd_documents, with_clashes
+from pyspark.sql import functions as F
 
 from faregrid.llm import phrases, quotient
 from faregrid.llm.phrases import Mining
@@ -115,6 +116,26 @@ def test_matches_plain_python(spark, options):
     assert sorted(map(tuple, found.collect())) == want and want
 
 
+def test_words_of_blocks_get_their_numbers_without_a_lookup(spark):
+    """One number per frequent word in all blocks that hold it, from 1 on without gaps; no join has the words as key."""
+    options = Mining(least=12, block_words=50, broadcast_rows=0)
+    held = phrases.blocks(documents(spark).repartition(3), options)
+    counts, at, langs = Counter(), {}, {}
+    for r in held.collect():
+        langs[r.block] = r.lang
+        for pos, (word, n) in enumerate(zip(r.words, r.counts)):
+            counts[r.lang, word] += n
+            at[r.block, pos] = word
+    listed, bases = phrases.listed_words(held, options)
+    rows = listed.join(bases, "task").withColumn("id", F.expr("base + inside")).collect()
+    frequent = {w for w, n in counts.items() if n >= 12}
+    assert len(rows) == sum((langs[block], word) in frequent for (block, _), word in at.items())
+    assert all(at[r.block, r.pos] == r.word and langs[r.block] == r.lang and counts[r.lang, r.word] == r.a for r in rows)
+    numbers = {(r.lang, r.word, r.id) for r in rows}
+    assert sorted(i for *_, i in numbers) == [*range(1, len(frequent) + 1)] and {w[:2] for w in numbers} == frequent
+    assert sorted((r.lang, r.word) for r in rows if r.is_new) == sorted(frequent) and len(rows) > 2 * len(frequent)
+
+
 def test_wide_products_are_exact(spark):
     grams = spark.createDataFrame([("x", [1], 4 * 10 ** 12), ("x", [2], 3 * 10 ** 12), ("x", [1, 2], 10 ** 12 + 7)], "lang string, ids array<int>, a long")
     totals = spark.createDataFrame([("x", 9 * 10 ** 12)], "lang string, n long")
