@@ -291,7 +291,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     numbered = _numbered(keyed.join(again.select("skey", "doc_hash").distinct(), ["skey", "doc_hash"]))
     repeated = numbered.join(again, ["skey", "doc_hash", "nth"]).select(*out)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return once.unionAll(repeated).repartition(n, "shard").sortWithinPartitions("shard", "mix_order").select("row.*", "shard", "copy")
+    # Shards are about as large as each other; dealt in turn, not by a hash, no task gets several times its share.
+    return once.unionAll(repeated).repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "mix_order").select("row.*", "shard", "copy")
 
 
 def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

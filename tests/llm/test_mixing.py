@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from helpers import empty_documents, odd_documents, with_clashes
+from pyspark.sql import functions as F
 
 from faregrid.llm import mixing
 from faregrid.llm.mixing import Mix
@@ -64,6 +65,17 @@ def test_targets_and_draw(spark):
     assert sorted(map(tuple, mixing.taken(docs).collect()), key=str) == sorted(map(tuple, rows), key=str)
 
 
+def test_shards_are_dealt_evenly_to_tasks(spark):
+    """By a hash, some tasks had several times as many shards as others."""
+    mixed = mixing.mixed(many(spark), Mix(shard_words=1200))
+    held = defaultdict(set)
+    for r in mixed.select("shard", F.spark_partition_id().alias("task")).distinct().collect():
+        held[r.task].add(r.shard)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = sorted(map(len, held.values()))
+    assert len(held) == n and sum(sizes) == len(set().union(*held.values())) >= 3 * n and sizes[-1] - sizes[0] <= 1
+
+
 def test_copies_are_dealt_to_shards_exactly(spark):
     docs = many(spark)
     mix = Mix(shard_words=500)
