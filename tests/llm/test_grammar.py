@@ -3,16 +3,18 @@
 import random
 import zlib
 from collections import Counter
+from unittest.mock import MagicMock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import empty_documents, odd_documents, with_clashes
 from pyspark.sql import functions as F
 from test_bpe import texts
 from tokenizers import Tokenizer
 
-from faregrid.llm import grammar
+from faregrid.llm import common, grammar
 from faregrid.llm.bpe import read_vocabulary
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -156,3 +158,21 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "ids")
     grammar.write_ids(empty_documents(spark), path, PATH)
     assert grammar.read_ids(spark.read.parquet(path)).count() == 0
+
+
+def test_texts_are_encoded_in_slices_of_a_megabyte(spark, monkeypatch):
+    """Arrays of eight bytes for each byte of a slice are what a worker holds most of."""
+    seen, steps, context = [], [], MagicMock()
+
+    class Recorder:
+        def encode(self, texts):
+            seen.append(sum(map(len, texts)))
+            return [b""] * len(texts)
+    context.get.return_value.partitionId.return_value = 0
+    monkeypatch.setattr(common, "map_arrow", lambda df, step, schema: steps.append(step) or MagicMock())
+    monkeypatch.setattr(grammar, "encoder", lambda file: Recorder())
+    monkeypatch.setattr(grammar, "TaskContext", context)
+    grammar.write_ids(empty_documents(spark), "", PATH)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["x " * 200_000] * 8)], names=["doc_id", "text"])
+    made, = steps[0](iter([batch]))
+    assert made.column(2)[0].as_py() == 8 and sum(seen) == 8 * 400_000 and max(seen) <= 1 << 20
