@@ -17,10 +17,8 @@ empty table gives no shard.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from faregrid.llm import common
 from faregrid.llm.bpe import byte_letters, read_vocabulary
@@ -43,13 +41,23 @@ REMEMBERED = 96 << 20
 #: A pair has to occur so often, without overlaps, to become a rule.
 LEAST_COUNT = 4
 
-#: Chunks of these letters alone are one word that normalising leaves as it is, so the library's
-#: model may be asked directly: a to z, and the small letters of two bytes from U+00DF to U+00FF.
-#: Final marks that are words of their own.
-_MARKS = b".,!?:;"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
-SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Marks of ASCII that are neither part of a special token nor of a short form as in "it's": behind a
+#: letter or digit, a run of them at the end of a chunk is a word of its own.
+_MARK = np.zeros(256, bool)
+_MARK[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
+_LETTER_OR_DIGIT = np.zeros(256, bool)
+_LETTER_OR_DIGIT[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+#: The second bytes of letters from U+00C0 to U+00FF, whose first one is C3.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+#: Chunks of these bytes alone are one word that normalising leaves as it is, so the library's model may be
+#: asked directly: a to z, and the small letters of two bytes from U+00DF to U+00FF.
+_SIMPLE = _SECOND.copy()
+_SIMPLE[0x80:0x9F] = False
+_SIMPLE[[*range(ord("a"), ord("z") + 1), 0xC3]] = True
 
 
 # Ids of texts
@@ -80,15 +88,16 @@ class Chunks:
             left, slot = left[on], (slot[on] + 1) & mask
         return found
 
-    def add(self, hashes: np.ndarray, texts: list[bytes], ids: list[bytes]) -> None:
-        """Chunks that are not there yet, of different hashes."""
+    def add(self, hashes: np.ndarray, texts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Chunks that are not there yet, of different hashes; `ids` has those of all in a row, `sizes` how many each has."""
         n = self.n + len(texts)
-        self.text_at = _grown(self.text_at, n + 1)
-        self.ids_at = _grown(self.ids_at, n + 1)
-        for at, flat, name, width in ((self.text_at, texts, "text", 1), (self.ids_at, ids, "ids", 4)):
-            at[self.n + 1:n + 1] = at[self.n] + np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) // width)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        for name, lengths, flat in (("text", lengths, np.frombuffer(b"".join(texts), np.uint8)), ("ids", sizes, ids)):
+            at = _grown(getattr(self, f"{name}_at"), n + 1)
+            at[self.n + 1:n + 1] = at[self.n] + np.cumsum(lengths)
             own = _grown(getattr(self, name), int(at[n]))
-            own[at[self.n]:at[n]] = np.frombuffer(b"".join(flat), own.dtype)
+            own[at[self.n]:at[n]] = flat
+            setattr(self, f"{name}_at", at)
             setattr(self, name, own)
         numbers = np.arange(self.n, n, dtype=np.int32)
         self.n = n
@@ -106,13 +115,14 @@ class Chunks:
             self.hashes[slot[won]] = hashes[won]
             hashes, numbers, slot = hashes[~won], numbers[~won], (slot[~won] + 1) & mask
 
-    def differ(self, numbers: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Which spans of `data` are not, byte by byte, the chunk of their number: equal hashes decide nothing."""
-        lengths = ends - starts
+    def differ(self, numbers: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which spans, whose bytes are `flat` in a row, are not the chunk of their number: equal hashes decide nothing."""
         other = self.text_at[numbers + 1] - self.text_at[numbers] != lengths
-        lengths = np.where(other, 0, lengths)
-        wrong = np.flatnonzero(data[_spans(starts, lengths)] != self.text[_spans(self.text_at[numbers], lengths)])
-        other[np.searchsorted(np.cumsum(lengths), wrong, "right")] = True
+        if other.any():
+            flat, lengths = flat[np.repeat(~other, lengths)], np.where(other, 0, lengths)
+        wrong = np.flatnonzero(flat != self.text[_spans(self.text_at[numbers], lengths)])
+        if len(wrong):
+            other[np.searchsorted(np.cumsum(lengths), wrong, "right")] = True
         return other
 
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,21 +144,43 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cut(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) like those of `words`, with the marks at the end of a word as a word of their own."""
+    data, starts, ends = words.data, words.starts, words.ends
+    ended = np.flatnonzero(_MARK[data[ends - 1]])
+    if not len(ended):
+        return starts, ends, words.first
+    solid = np.concatenate(([-1], np.flatnonzero(~_MARK[data])))
+    at = solid[np.searchsorted(solid, ends[ended]) - 1] + 1
+    ended, at = ended[at > starts[ended]], at[at > starts[ended]]
+    last = data[at - 1]
+    cut = _LETTER_OR_DIGIT[last] | (_SECOND[last] & (data[np.maximum(at - 2, 0)] == 0xC3))
+    ended, at = ended[cut], at[cut]
+    return np.insert(starts, ended + 1, at), np.insert(ends, ended, at), words.first + np.searchsorted(ended, words.first)
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each different chunk between white space once.
 
     Fits vocabularies whose words never reach over white space, where ids of a text are the ids
-    of its chunks, and that ignore case. Chunks of ASCII letters are shared in either case. Others
-    reach the library as they are: it composes letters and marks before it lowers them, and finds
-    special tokens, which begin with "<|", in their own case only.
+    of its chunks, and that ignore case. Marks at the end of a chunk are a chunk of their own. Chunks
+    of ASCII letters are shared in either case. Others reach the library as they are: it composes
+    letters and marks before it lowers them, and finds special tokens, which begin with "<|", in
+    their own case only.
     """
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: The same model for words that need no normalising, with a blank between them.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known = Chunks()
-        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.letters = np.zeros(256, "<u4")
+        for letter, byte in byte_letters().items():
+            self.letters[byte] = ord(letter)
+        self.letters[ord(" ")] = ord(" ")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
@@ -164,6 +196,7 @@ class ChunkEncoder:
         own = _spans(starts[odd], (ends - starts)[odd])
         data[own] = words.data[own]
 
+        starts, ends, first_of_text = _cut(words)
         hashes = span_hashes(data, starts, ends)
         numbers = self.known.find(hashes)
         new = np.flatnonzero(numbers < 0)
@@ -174,74 +207,58 @@ class ChunkEncoder:
                 self._learn([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
             numbers[new] = self.known.find(hashes[new])
         ids, upto = self.known.ids_of(numbers)
-        upto = np.concatenate(([0], upto))[words.first]
+        upto = np.concatenate(([0], upto))[first_of_text]
         out = [ids[a:b].tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
-        differ = self.known.differ(numbers, data, starts, ends)
-        for k in np.unique(words.text_of_word()[differ]).tolist():
+        differ = np.flatnonzero(self.known.differ(numbers, data[~words.space], ends - starts))
+        for k in np.unique(np.searchsorted(first_of_text, differ, "right") - 1).tolist():
             # Another chunk has the hash of one of this text's: it is encoded without the table.
-            chunks = [data[a:b].tobytes() for a, b in zip(starts[words.first[k]:words.first[k + 1]], ends[words.first[k]:words.first[k + 1]])]
-            found = self._encoded(set(chunks))
-            out[k] = b"".join(found[c] for c in chunks)
+            own = slice(first_of_text[k], first_of_text[k + 1])
+            out[k] = self._encoded([data[a:b].tobytes() for a, b in zip(starts[own], ends[own])])[0].tobytes()
         return out
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Puts chunks and the words that they are made of into the table."""
-        found = self._encoded(set(chunks))
-        texts = [*found]
-        hashes = _hashed(texts)
-        first = np.unique(hashes, return_index=True)[1]
-        first = first[self.known.find(hashes[first]) < 0]
-        self.known.add(hashes[first], [texts[k] for k in first.tolist()], [found[texts[k]] for k in first.tolist()])
-
-    def _remembered(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Those of the chunks that are in the table, with their ids."""
-        if not chunks:
-            return {}
-        words = Words([b"\n".join(chunks)])
-        numbers = self.known.find(words.hashes())
-        there = np.flatnonzero(numbers >= 0)
-        there = there[~self.known.differ(numbers[there], words.data, words.starts[there], words.ends[there])]
-        ids, upto = self.known.ids_of(numbers[there])
-        raw, upto = ids.tobytes(), (4 * upto).tolist()
-        return {chunks[k]: raw[a:b] for k, a, b in zip(there.tolist(), [0, *upto], upto)}
-
-    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks, and of the words and marks that some of them are cut into."""
-        # Final marks behind a letter or digit are words of their own.
-        ended = {}
-        for chunk in chunks:
-            if chunk[-1] in _MARKS:
-                core = chunk.rstrip(_MARKS)
-                if core[-1:].isalnum():
-                    ended[chunk] = core, chunk[len(core):]
-        parts = {part for pair in ended.values() for part in pair}
-        known = self._remembered([*parts])
-        plain, simple, flat, ends = [], [], [], [0]
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        for chunk in (chunks.difference(ended) | parts).difference(known):
-            # Only chunks in small letters, or not ASCII, come here.
-            if chunk.isalpha() or (not chunk.isascii() and SIMPLE.fullmatch(chunk)):
-                flat += [token.id for token in tokenize(chunk.decode("latin-1").translate(letters))]
-                simple.append(chunk)
-                ends.append(4 * len(flat))
-            else:
-                plain.append(chunk)
-        raw = array("I", flat).tobytes()
-        known.update(zip(simple, [raw[a:b] for a, b in zip(ends, ends[1:])]))
-        for i in range(0, len(plain), 256):
-            some = plain[i:i + 256]
-            words = [c.decode() for c in some]
+        """Puts different chunks, whose hashes differ and are not there, into the table."""
+        self.known.add(_hashed(chunks), chunks, *self._encoded(chunks))
+
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and how many each has. Only chunks in small letters, or not ASCII, come here."""
+        flat = np.frombuffer(b"".join(chunks), np.uint8)
+        begins = np.cumsum([0, *map(len, chunks)])[:-1]
+        simple = np.logical_and.reduceat(_SIMPLE[flat], begins)
+        parts = [np.flatnonzero(simple), np.flatnonzero(~simple)]
+        found = [step([chunks[k] for k in part.tolist()]) for step, part in zip((self._letters_alone, self._normalised), parts)]
+        sizes = np.empty(len(chunks), np.int64)
+        for part, (_, n) in zip(parts, found):
+            sizes[part] = n
+        begins = np.cumsum(sizes) - sizes
+        ids = np.empty(int(sizes.sum()), np.uint32)
+        for part, (own, n) in zip(parts, found):
+            ids[_spans(begins[part], n)] = own
+        return ids, sizes
+
+    def _letters_alone(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Like `_encoded`, of chunks that are one word each and the same when normalised."""
+        text = self.letters[np.frombuffer(b" ".join(chunks), np.uint8)].tobytes().decode("utf-32-le")
+        upto = np.cumsum([0, *(len(c) + 1 for c in chunks)]).tolist()
+        ids, sizes = [], []
+        for i in range(0, len(chunks), 128):
+            j = min(i + 128, len(chunks))
+            found = self.plain.encode(text[upto[i]:upto[j] - 1], add_special_tokens=False)
+            ids += found.ids
+            sizes.append(np.bincount(found.word_ids, minlength=j - i))
+        return np.array(ids, np.uint32), np.concatenate([np.empty(0, np.int64), *sizes])
+
+    def _normalised(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Like `_encoded`, by the whole tokenizer."""
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(chunks), 256):
+            words = [c.decode() for c in chunks[i:i + 256]]
             found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            ids.append(np.array(found.ids, np.uint32))
+            begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
             ends = np.cumsum([len(w) + 1 for w in words])
-            cuts = (4 * np.searchsorted(begins, ends)).tolist()
-            raw = ids.tobytes()
-            for chunk, a, b in zip(some, [0, *cuts], cuts):
-                known[chunk] = raw[a:b]
-        for chunk, (core, end) in ended.items():
-            known[chunk] = known[core] + known[end]
-        return known
+            sizes.append(np.diff(np.searchsorted(begins, ends), prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 def _hashed(chunks: list[bytes]) -> np.ndarray:
@@ -255,25 +272,38 @@ def encoder(file: str) -> ChunkEncoder:
 
 # Grammars
 
-def _numbered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the distinct pairs as first << 32 | second, each pair's place among them).
+def _numbered(first: np.ndarray, second: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct pairs with `least` places as first << 32 | second, each place's pair among them, -1 for a rarer one).
 
     Pair and place share a number where they fit, as sorting numbers is much faster than sorting places.
     """
-    n, first, second = len(first), first.astype(np.int64), second.astype(np.int64)
+    n = len(first)
     width, room = int(second.max(initial=0)) + 1, max(n, 1).bit_length()
+    codes = first.astype(np.int64)
     if (int(first.max(initial=0)) + 1) * width << room < 1 << 63:
-        both = np.sort(((first * width + second) << room) | np.arange(n))
-        order, codes = both & ((1 << room) - 1), both >> room
+        codes *= width
+        codes += second
+        codes <<= room
+        codes |= np.arange(n)
+        codes.sort()
+        order = codes & ((1 << room) - 1)
+        codes >>= room
     else:
         width = 1 << 32
-        order = np.argsort((first << 32) | second, kind="stable")
-        codes = ((first << 32) | second)[order]
+        codes = (codes << 32) | second
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
     new = np.ones(n, bool)
-    new[1:] = codes[1:] != codes[:-1]
-    place = np.empty(n, np.int64)
-    place[order] = np.cumsum(new) - 1
-    return (codes[new] // width << 32) | codes[new] % width, place
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    begins = np.flatnonzero(new)
+    counts = np.diff(begins, append=n)
+    if least > 1:
+        kept = counts >= least
+        order, begins, counts = order[np.repeat(kept, counts)], begins[kept], counts[kept]
+    place = np.full(n, -1, np.int32)
+    place[order] = np.repeat(np.arange(len(begins), dtype=np.int32), counts)
+    codes = codes[begins]
+    return (codes // width << 32) | codes % width, place
 
 
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -295,32 +325,38 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     while True:
         at = np.flatnonzero(open_)
         whole = len(at) == len(open_)
-        first, second = seq[at], seq[at + 1]
-        distinct, pair = _numbered(first, second)
+        distinct, pair = _numbered(seq[at], seq[at + 1], LEAST_COUNT)
+        # Pairs with too few places, overlaps included, are out at once.
+        frequent = np.flatnonzero(pair >= 0)
+        at, pair = at[frequent], pair[frequent]
         # Of a run of places with one symbol twice, every other one counts.
         counts_here = np.ones(len(at), bool)
-        twice = np.flatnonzero(first == second)
+        twice = np.flatnonzero((distinct >> 32 == distinct & 0xFFFFFFFF)[pair])
         if len(twice):
             order = np.arange(len(twice))
             begins = np.concatenate(([True], (np.diff(at[twice]) > 1) | (np.diff(pair[twice]) != 0)))
             counts_here[twice] = (order - np.maximum.accumulate(np.where(begins, order, 0))) % 2 == 0
-        count = np.bincount(pair[counts_here], minlength=len(distinct))
-        frequent = count[pair] >= LEAST_COUNT
-        open_[at[~frequent]] = False
-        at, pair, counts_here = at[frequent], pair[frequent], counts_here[frequent]
+            count = np.bincount(pair[counts_here], minlength=len(distinct))
+            frequent = count[pair] >= LEAST_COUNT
+            at, pair, counts_here = at[frequent], pair[frequent], counts_here[frequent]
+        else:
+            count = np.bincount(pair, minlength=len(distinct))
+        open_[:] = False
+        open_[at] = True
         if not len(at):
             if whole:
                 break
             open_[:] = True
             continue
-        weight = count[pair] * len(distinct) + pair
+        weight = (count * len(distinct) + np.arange(len(distinct)))[pair]
         best = counts_here.copy()
         close = np.diff(at) == 1
-        best[1:] &= ~close | (weight[1:] >= weight[:-1])
-        best[:-1] &= ~close | (weight[:-1] >= weight[1:])
+        heavier = weight[1:] > weight[:-1]
+        best[1:] &= ~close | heavier | (pair[1:] == pair[:-1])
+        best[:-1] &= ~(close & heavier)
         used = np.bincount(pair[best], minlength=len(distinct))
         made = np.flatnonzero(used >= LEAST_COUNT)
-        best &= used[pair] >= LEAST_COUNT
+        best &= (used >= LEAST_COUNT)[pair]
         hits = at[best]
         name = np.zeros(len(distinct), np.int64)
         codes = distinct[made].tolist()

@@ -41,6 +41,30 @@ def test_case_of_special_tokens_and_marked_letters(library):
     assert [np.frombuffer(f, np.uint32).tolist() for f in found] == want
 
 
+def test_words_with_marks_behind_them_are_learned_once(library):
+    """Each word and each run of marks is one chunk, however they meet; only those with other letters or bytes are normalised."""
+    every = ["Tree TREE! tree? tree.. tree$$$ été été! été.. été$$$ tree&&& été*** 12! 12.."]
+    encoder = grammar.ChunkEncoder(read_vocabulary(PATH))
+    seen, real = [], encoder._normalised
+    encoder._normalised = lambda chunks: seen.extend(chunks) or real(chunks)
+    found = encoder.encode([t.encode() for t in every])
+    want = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
+    assert [np.frombuffer(f, np.uint32).tolist() for f in found] == want
+    assert encoder.known.n == len({"tree", "été", "12", "!", "?", "..", "$$$", "&&&", "***"})
+    assert not any(c.isalpha() or "é" in c.decode() for c in seen)
+
+
+def test_marks_behind_every_kind_of_letter(library):
+    marks = [chr(b) for b in range(33, 127) if not chr(b).isalnum()]
+    marks += ["'s", "'s!", "!'s", "'", "!'", "..<", "<|", "|>", "!\u0301", "=\u0338", "--!?", "!x", "é!", "<|endoftext|>!", "_a_", "...."]
+    cores = ["", "a", "Z", "7", "é", "É", "ß", "À", "×", "÷", "中", "😀", "a\u0300", "½", "ª", "\u00a0", "ñandú", "a.b", "<|endoftext|>", "¿", "aÃ"]
+    every = [core + mark for core in cores for mark in marks] + [" ".join(core + mark for mark in marks) for core in cores] + ["", "!", "-" * 3000, "a" + "-" * 3000]
+    want = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
+    encoder = grammar.ChunkEncoder(read_vocabulary(PATH))
+    for _ in range(2):
+        assert [np.frombuffer(f, np.uint32).tolist() for f in encoder.encode([t.encode() for t in every])] == want
+
+
 def test_equal_hashes_do_not_mix_chunks(library, monkeypatch):
     """With hashes of four values nearly all chunks collide; ids are right all the same."""
     real = grammar.span_hashes
@@ -76,6 +100,18 @@ def test_pairs_are_numbered_alike_in_either_way():
     assert [len(x) for x in grammar._numbered(np.empty(0, np.int64), np.empty(0, np.int64))] == [0, 0]
 
 
+def test_rare_pairs_get_no_number():
+    rng = np.random.default_rng(3)
+    for top in (30, 1 << 31):
+        first, second = rng.integers(0, top, (2, 200))[:, rng.integers(0, 200, 3000)] if top > 30 else rng.integers(0, top, (2, 3000))
+        every, place = grammar._numbered(first, second)
+        distinct, kept = grammar._numbered(first, second, 4)
+        often = np.bincount(place) >= 4
+        assert distinct.tolist() == every[often].tolist() and ((kept >= 0) == often[place]).all()
+        assert (distinct[kept[kept >= 0]] == every[place[kept >= 0]]).all()
+    assert [len(x) for x in grammar._numbered(np.empty(0, np.int64), np.empty(0, np.int64), 4)] == [0, 0]
+
+
 @pytest.mark.parametrize("ids", [
     [], [5], [5, 5], [7] * 1001, [1, 2] * 600, list(range(3000)), [0, 1, 2, 3] * 50 + [9] * 7 + [1, 2] * 9,
     [random.Random(1).randrange(6) for _ in range(5000)], [70_000, 2 ** 31 - 1] * 40])
