@@ -60,9 +60,22 @@ def _language():
     return F.coalesce(F.col("lang"), F.lit("und"))
 
 
+def _squeezed(ids: np.ndarray) -> bytes:
+    """32-bit numbers as bytes: their lowest bytes first, then the next ones and so on, as these repeat much more
+    than whole numbers do, compressed. Blocks are stored twice and sent around once, so their size counts."""
+    planes = np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(ids).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(memoryview(data)[8:], 4 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
 def blocks(docs: DataFrame, options: Mining) -> DataFrame:
     """(block, lang, words, counts, ids): words in order of their first occurrence, how often each
-    occurs, and the texts as their numbers from 1 on, 0 between pieces."""
+    occurs, and the texts as their numbers from 1 on, 0 between pieces, squeezed."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n_blocks = TaskContext.get().partitionId(), 0
@@ -81,7 +94,7 @@ def blocks(docs: DataFrame, options: Mining) -> DataFrame:
                 [pa.array([f"{task}-{n_blocks}"]), pa.array([lang]),
                  pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string())),
                  pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(counts, pa.int64())),
-                 pa.array([ids.astype("<i4").tobytes()], pa.binary())],
+                 pa.array([_squeezed(ids)], pa.binary())],
                 names=["block", "lang", "words", "counts", "ids"])
 
         for batch in batches:
@@ -144,7 +157,7 @@ def _small(df: DataFrame, n: int, options: Mining) -> DataFrame:
 
 
 def rewritten(held: DataFrame, listed: DataFrame, bases: DataFrame) -> DataFrame:
-    """(lang, ids): the blocks in the numbers of frequent words, each run of other words and breaks as one 0."""
+    """(lang, ids): the blocks in the numbers of frequent words, each run of other words and breaks as one 0, squeezed."""
     names = listed.groupBy("block", "lang", "task").agg(F.collect_list(F.struct("pos", "inside")).alias("some")).join(
         F.broadcast(bases), "task")
     moved = F.transform("some", lambda x: F.struct(x["pos"].alias("pos"), (F.col("base") + x["inside"]).cast("int").alias("id")))
@@ -157,9 +170,9 @@ def rewritten(held: DataFrame, listed: DataFrame, bases: DataFrame) -> DataFrame
             for k, (lang, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                 to = np.zeros(n + 1, "<i4")
                 to[batch.column(3)[k].values.to_numpy() + 1] = batch.column(4)[k].values.to_numpy()
-                out = to[np.frombuffer(ids, "<i4")]
+                out = to[_unsqueezed(ids)]
                 out = out[np.append(True, (out[1:] != 0) | (out[:-1] != 0))]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([out.tobytes()], pa.binary())], names=["lang", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([_squeezed(out)], pa.binary())], names=["lang", "ids"])
 
     return common.stored(common.map_arrow(both, step, "lang string, ids binary"), "rewritten")
 
@@ -200,7 +213,7 @@ def counted(corpus: DataFrame, packing: Packing, shorter: np.ndarray | None, opt
 
         for batch in batches:
             for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held[lang].append(Filter.of(packing, grams_of(np.frombuffer(ids.as_buffer(), "<i4"), packing, shared.value)))
+                held[lang].append(Filter.of(packing, grams_of(_unsqueezed(ids.as_py()), packing, shared.value)))
                 if sum(map(len, held[lang])) >= options.task_grams // 4:
                     held[lang] = [Filter.merge(held[lang])]
                 if sum(len(f) for filters in held.values() for f in filters) >= options.task_grams:

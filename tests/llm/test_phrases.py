@@ -116,6 +116,26 @@ def test_matches_plain_python(spark, options):
     assert sorted(map(tuple, found.collect())) == want and want
 
 
+@pytest.mark.parametrize("ids", [[], [0], [1, 0, 2 ** 31 - 1] * 5, [*range(70_000)], [7] * 1000])
+def test_squeezed_numbers_come_back(ids):
+    found = phrases._unsqueezed(phrases._squeezed(np.array(ids, np.int64)))
+    assert found.dtype == np.dtype("<i4") and found.tolist() == ids
+
+
+def test_stored_blocks_are_small(spark):
+    """Of words that hardly repeat a block holds far less than four bytes each, before and after they are renumbered."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(vocabulary, k=3000)), "en", "s", 0) for k in range(40)], documents(spark).schema)
+    options = Mining(least=3, block_words=40_000)
+    held = phrases.blocks(docs.repartition(2), options)
+    corpus = phrases.rewritten(held, *phrases.listed_words(held, options))
+    for df in (held, corpus):
+        assert 0 < df.selectExpr("sum(octet_length(ids))").first()[0] < 2 * 120_000
+    words = [w for r in held.collect() for i in phrases._unsqueezed(r.ids).tolist() if i for w in (r.words[i - 1],)]
+    assert Counter(words) == Counter(w for r in docs.collect() for w in r.text.split())
+
+
 def test_words_of_blocks_get_their_numbers_without_a_lookup(spark):
     """One number per frequent word in all blocks that hold it, from 1 on without gaps; no join has the words as key."""
     options = Mining(least=12, block_words=50, broadcast_rows=0)
