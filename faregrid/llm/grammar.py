@@ -150,8 +150,15 @@ def _cut(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ended = np.flatnonzero(_MARK[data[ends - 1]])
     if not len(ended):
         return starts, ends, words.first
-    solid = np.concatenate(([-1], np.flatnonzero(~_MARK[data])))
-    at = solid[np.searchsorted(solid, ends[ended]) - 1] + 1
+    at, left = ends[ended], np.arange(len(ended))
+    for _ in range(8):
+        at[left] -= 1
+        left = left[at[left] > starts[ended[left]]]
+        left = left[_MARK[data[at[left] - 1]]]
+    if len(left):
+        # Some runs of marks are longer.
+        solid = np.concatenate(([-1], np.flatnonzero(~_MARK[data])))
+        at[left] = solid[np.searchsorted(solid, at[left]) - 1] + 1
     ended, at = ended[at > starts[ended]], at[at > starts[ended]]
     last = data[at - 1]
     cut = _LETTER_OR_DIGIT[last] | (_SECOND[last] & (data[np.maximum(at - 2, 0)] == 0xC3))
@@ -191,8 +198,9 @@ class ChunkEncoder:
         # Chunks with other letters, or that may be special tokens, keep their case.
         odd = words.data >= 128
         odd[:-1] |= (words.data[:-1] == ord("<")) & (words.data[1:] == ord("|"))
-        odd = np.concatenate(([0], np.cumsum(odd)))
-        odd = np.flatnonzero(odd[ends] != odd[starts])
+        keeps = np.zeros(len(starts), bool)
+        keeps[np.searchsorted(ends, np.flatnonzero(odd & ~words.space), "right")] = True
+        odd = np.flatnonzero(keeps)
         own = _spans(starts[odd], (ends - starts)[odd])
         data[own] = words.data[own]
 
@@ -223,7 +231,8 @@ class ChunkEncoder:
     def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all chunks in a row, and how many each has. Only chunks in small letters, or not ASCII, come here."""
         flat = np.frombuffer(b"".join(chunks), np.uint8)
-        begins = np.cumsum([0, *map(len, chunks)])[:-1]
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        begins = np.cumsum(lengths) - lengths
         simple = np.logical_and.reduceat(_SIMPLE[flat], begins)
         parts = [np.flatnonzero(simple), np.flatnonzero(~simple)]
         found = [step([chunks[k] for k in part.tolist()]) for step, part in zip((self._letters_alone, self._normalised), parts)]
@@ -239,7 +248,7 @@ class ChunkEncoder:
     def _letters_alone(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Like `_encoded`, of chunks that are one word each and the same when normalised."""
         text = self.letters[np.frombuffer(b" ".join(chunks), np.uint8)].tobytes().decode("utf-32-le")
-        upto = np.cumsum([0, *(len(c) + 1 for c in chunks)]).tolist()
+        upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1))).tolist()
         ids, sizes = [], []
         for i in range(0, len(chunks), 128):
             j = min(i + 128, len(chunks))
@@ -400,6 +409,15 @@ class Grammar:
         return self._expand(self.seq[a:b + 1])[begin - skipped:end - skipped]
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
+        """The ids of symbols; where there are many, each different one is expanded once."""
+        if len(seq) <= len(self.lengths):
+            return self._opened(seq)
+        used = np.flatnonzero(np.bincount(seq))
+        begins = np.zeros(len(self.lengths), np.int64)
+        begins[used] = np.cumsum(self.lengths[used]) - self.lengths[used]
+        return self._opened(used)[_spans(begins[seq], self.lengths[seq])]
+
+    def _opened(self, seq: np.ndarray) -> np.ndarray:
         """The ids of symbols, from the top of their rules down; each pass touches open symbols only."""
         lengths = self.lengths[seq]
         at = np.cumsum(lengths) - lengths

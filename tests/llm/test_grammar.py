@@ -100,6 +100,16 @@ def test_pairs_are_numbered_alike_in_either_way():
     assert [len(x) for x in grammar._numbered(np.empty(0, np.int64), np.empty(0, np.int64))] == [0, 0]
 
 
+def test_repeated_symbols_are_expanded_once():
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, 40, 30_000)
+    g, _ = grammar.unpack(grammar.pack(ids, np.array([len(ids)])))
+    opened, real = [], g._opened
+    g._opened = lambda seq: opened.append(len(seq)) or real(seq)
+    assert g.ids().tolist() == ids.tolist() and g.ids(7000, 29_000).tolist() == ids[7000:29_000].tolist()
+    assert len(g.seq) > len(g.lengths) >= opened[0] and g.ids(70, 75).tolist() == ids[70:75].tolist()
+
+
 def test_rare_pairs_get_no_number():
     rng = np.random.default_rng(3)
     for top in (30, 1 << 31):
