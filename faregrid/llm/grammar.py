@@ -169,8 +169,8 @@ def _cut(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each different chunk between white space once.
 
-    Fits vocabularies whose words never reach over white space, where ids of a text are the ids
-    of its chunks, and that ignore case. Marks at the end of a chunk are a chunk of their own. Chunks
+    Fits vocabularies whose words never reach over white space or from a letter or digit to a mark, where
+    ids of a text are the ids of its chunks, and that ignore case. Marks at the end of a chunk are a chunk of their own. Chunks
     of ASCII letters are shared in either case. Others reach the library as they are: it composes
     letters and marks before it lowers them, and finds special tokens, which begin with "<|", in
     their own case only.
