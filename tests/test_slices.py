@@ -10,6 +10,8 @@ import pytest
 from checks.compare import difference
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
+from faregrid import schema as S
+from faregrid.plans.distance import trip_distance
 from faregrid.sources.trips import parse_trips17, parse_trips18
 from faregrid.streaming import runs
 
@@ -32,7 +34,7 @@ def small_slices(spark, monkeypatch):
     monkeypatch.setattr(runs, "SCANS", 2, raising=False)
 
 
-@pytest.mark.parametrize("name", ["stream_text_profitable_areas"])
+@pytest.mark.parametrize("name", ["stream_profitable_areas", "stream_top_profitable_cells", "stream_text_profitable_areas"])
 def test_micro_batches_are_bounded(spark, events, small_slices, name):
     log = runs.ProgressLog(spark)
     try:
@@ -44,6 +46,18 @@ def test_micro_batches_are_bounded(spark, events, small_slices, name):
     assert len([p for p in progress if p.rows >= ROWS // 2]) >= N // ROWS
 
 
+def test_slices_leave_little_behind(spark, events, small_slices, tmp_path, monkeypatch):
+    """Files of trips go when they have been read, and so does state that is behind the last batches."""
+    from faregrid.sources.driver_tables import trips
+    monkeypatch.setattr(runs, "scratch_dir", lambda _, name: str(tmp_path / name))
+    table = trips(spark, events)
+    got = runs.drain(spark, table, S.DISTANCE_TRIP, trip_distance, slices=1)
+    assert got.count() == trip_distance(table).count()
+    left = [name for name in (tmp_path / "stream" / "in").rglob("part-*.parquet") if name.parent.name != "end"]
+    assert len(left) <= runs.SLICE_FILES
+    assert len([n for n in os.listdir(tmp_path / "stream" / "checkpoint" / "offsets") if n.isdigit()]) <= 4
+
+
 def test_settings_of_the_session_stay(spark):
     kept = "spark.sql.streaming.minBatchesToRetain"
     spark.conf.set(kept, "7")
