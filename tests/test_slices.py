@@ -34,7 +34,7 @@ def small_slices(spark, monkeypatch):
     monkeypatch.setattr(runs, "SCANS", 2, raising=False)
 
 
-@pytest.mark.parametrize("name", ["stream_profitable_areas", "stream_top_profitable_cells", "stream_text_profitable_areas"])
+@pytest.mark.parametrize("name", ["stream_text_profitable_areas", "stream_profitable_areas", "stream_state_audit", "stream_top_profitable_cells"])
 def test_micro_batches_are_bounded(spark, events, small_slices, name):
     log = runs.ProgressLog(spark)
     try:
