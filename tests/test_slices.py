@@ -13,7 +13,7 @@ from checks.queries import QUERIES
 from faregrid import schema as S
 from faregrid.plans.distance import trip_distance
 from faregrid.sources.trips import parse_trips17, parse_trips18
-from faregrid.streaming import runs
+from faregrid.streaming import landing, runs
 
 N, ROWS = 2400, 600
 
@@ -34,7 +34,7 @@ def small_slices(spark, monkeypatch):
     monkeypatch.setattr(runs, "SCANS", 2, raising=False)
 
 
-@pytest.mark.parametrize("name", ["stream_text_profitable_areas", "stream_profitable_areas", "stream_state_audit", "stream_top_profitable_cells"])
+@pytest.mark.parametrize("name", ["stream_text_profitable_areas", "stream_profitable_areas", "stream_state_audit", "stream_text_last_dropoff", "stream_top_profitable_cells"])
 def test_micro_batches_are_bounded(spark, events, small_slices, name):
     log = runs.ProgressLog(spark)
     try:
@@ -80,6 +80,18 @@ def test_a_small_slice_ends_its_run(spark, tmp_path):
     assert ran == [2, 5]
 
 
+def test_landed_batches_are_read_apart(spark, tmp_path):
+    """As long as all in front of the last have as many files."""
+    folder, files = str(tmp_path / "landed"), []
+    for n in (100, 100, 2, 100):
+        spark.range(n).selectExpr("id as seq", "timestamp_millis(id) as ts").write.mode("append").parquet(str(tmp_path / "in"))
+        landing.land_rows(runs.read_stream(spark, str(tmp_path / "in"), "seq long, ts timestamp"), folder, 10**9)
+        files.append(landing.batch_by_batch(spark, folder))
+    limit = {"maxFilesPerTrigger": str(runs.SLICE_FILES)}
+    assert files == [(limit, 1), (limit, 2), (limit, 3), ({}, 4)]
+    assert landing.batch_by_batch(spark, folder, 3) == (limit, 4)
+
+
 def test_a_line_is_split_once(spark, tmp_path):
     """Filters on a trip's fields are not moved in front of the step that reads them, once for every test."""
     (tmp_path / "lines").write_text("a,b\n")
