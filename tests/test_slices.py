@@ -34,7 +34,8 @@ def small_slices(spark, monkeypatch):
     monkeypatch.setattr(runs, "SCANS", 2, raising=False)
 
 
-@pytest.mark.parametrize("name", ["stream_text_profitable_areas", "stream_profitable_areas", "stream_state_audit", "stream_text_last_dropoff", "stream_top_profitable_cells"])
+@pytest.mark.parametrize("name", [
+    "stream_text_profitable_areas", "stream_profitable_areas", "stream_state_audit", "stream_text_last_dropoff", "stream_top_profitable_cells"])
 def test_micro_batches_are_bounded(spark, events, small_slices, name):
     log = runs.ProgressLog(spark)
     try:
